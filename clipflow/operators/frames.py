@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import clips as fc, media
 from ..functions.arith import int_div
@@ -77,9 +77,7 @@ def assemble_clips(
         )
     )
     padded = F.col("_h") < length
-    return grouped.select(
-        *CLIP_KEY, F.transform(F.when(padded, repeated).otherwise(F.col("_found")), lambda f: f["v"]).alias(payload)
-    ).withColumn("n_fetched", F.size(payload).cast("bigint"))
+    return _with_payload(grouped, F.when(padded, repeated).otherwise(F.col("_found")), payload)
 
 
 def clip_members(
@@ -134,9 +132,17 @@ def cut_catalog(videos: DataFrame, seconds: int = media.KEEP_SECONDS) -> DataFra
 
 
 def _collect(fetched: DataFrame, payload: str) -> DataFrame:
-    return (
-        fetched.groupBy(*CLIP_KEY)
-        .agg(F.array_sort(F.collect_list(F.struct("pos", F.col(payload).alias("v")))).alias("_found"))
-        .select(*CLIP_KEY, F.transform("_found", lambda f: f["v"]).alias(payload))
-        .withColumn("n_fetched", F.size(payload).cast("bigint"))
+    found = F.array_sort(F.collect_list(F.struct("pos", F.col(payload).alias("v"))))
+    return _with_payload(fetched.groupBy(*CLIP_KEY).agg(found.alias("_found")), F.col("_found"), payload)
+
+
+def _with_payload(grouped: DataFrame, entries: Column, payload: str) -> DataFrame:
+    """Payload array and its size.
+
+    The generator computes the array once and keeps its lambdas out of what follows:
+    Spark cannot hand an argument with lambdas to a Python model.
+    """
+    values = F.transform(entries, lambda f: f["v"])
+    return grouped.select(*CLIP_KEY, F.explode(F.array(values)).alias(payload)).withColumn(
+        "n_fetched", F.size(payload).cast("bigint")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import text as ft
+from ..functions import paths, text as ft
 from ..functions.models import Captioner
 from ..operators.captions import align_captions, caption_clips, extend_captions, missing_captions
 from ..operators.clips import plan_clips, with_span
@@ -47,19 +47,18 @@ def export_captions(
     them runs once.
     """
     spark = captions.sparkSession
-    named = files.with_coordinates(
-        captions.join(videos.select("video_id", "path"), "video_id"), experiment, folder, F.col("path")
-    ).withColumn("stem", F.replace(F.element_at(F.split("path", "/"), -1), F.lit(".mp4"), F.lit("")))
-    files.write_captions(named, f"{root}/csv_captions")
-    stems = videos.withColumn("stem", F.replace(F.element_at(F.split("path", "/"), -1), F.lit(".mp4"), F.lit("")))
-    written = files.read_captions(spark, f"{root}/csv_captions").join(stems.select("stem", "video_id"), "stem")
-    numbered = written.withColumn("clip_no", F.col("start_frame"))  # starts rise with the clip number
-    documents = subtitle_documents(numbered, videos, prompt)
-    out = files.with_coordinates(
-        documents.join(videos.select("video_id", "path"), "video_id"), experiment, folder, F.element_at(F.split("path", "/"), -1)
-    )
-    files.write_subtitles(out, f"{root}/srt_captions")
-    return files.read_subtitles(spark, f"{root}/srt_captions")
+    names = videos.select("video_id", paths.base_name("path").alias("_name"))
+    coordinates = (experiment, folder, F.col("_name"))
+
+    named = captions.join(names, "video_id")
+    files.write_captions(files.with_coordinates(named, *coordinates), f"{root}/{paths.CAPTION_LAYOUT}")
+
+    stems = names.select("video_id", paths.stem("_name").alias("stem"))
+    written = files.read_captions(spark, f"{root}/{paths.CAPTION_LAYOUT}").join(stems, "stem")
+    in_order = written.withColumn("clip_no", F.col("start_frame"))  # starts rise with the clip number
+    documents = subtitle_documents(in_order, videos, prompt).join(names, "video_id")
+    files.write_subtitles(files.with_coordinates(documents, *coordinates), f"{root}/{paths.SUBTITLE_LAYOUT}")
+    return files.read_subtitles(spark, f"{root}/{paths.SUBTITLE_LAYOUT}")
 
 
 def _strip_known(prompt: str):

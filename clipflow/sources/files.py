@@ -75,11 +75,7 @@ def write_subtitles(documents: DataFrame, path: str, mode: str = "errorifexists"
 
 def read_subtitles(spark: SparkSession, path: str) -> DataFrame:
     coordinates = ", ".join(f"{c} string" for c in COORDINATES)
-    rows = (
-        spark.read.schema(f"value string, {coordinates}, part_no bigint")
-        .option("wholetext", "true")
-        .text(path)
-    )
+    rows = spark.read.schema(f"value string, {coordinates}, part_no bigint").text(path, wholetext=True)
     return rows.select(*COORDINATES, "part_no", F.col("value").alias("body"))
 
 
