@@ -9,6 +9,7 @@ from .arith import as_col, int_div, let
 # The whitespace str.split() recognises, the media tag of the chat
 # template and the cue that opens the model's answer.
 WHITESPACE = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]+"
+ODD_SPACE = r"[\t-\r\x{1c}-\x{1f}\x{85}\x{a0}[\p{Z}&&[^ ]]]"
 VIDEO_TAG = "<video>"
 ANSWER_CUE = " ASSISTANT: "
 
@@ -26,9 +27,9 @@ def word_count(text) -> Column:
     return F.size(words(text)).cast("bigint")
 
 
-def collapse(text) -> Column:
-    """Whitespace runs become one space, none at either end."""
-    return F.trim(F.regexp_replace(as_col(text), WHITESPACE, " "))
+def plain_spaces(text) -> Column:
+    """Every whitespace character becomes one plain space."""
+    return F.regexp_replace(as_col(text), ODD_SPACE, " ")
 
 
 def chunk_count(n_words, size: int, min_tail: int) -> Column:

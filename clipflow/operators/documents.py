@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as ft
-from ..functions.arith import int_div
+from ..functions.arith import int_div, let
 from ..session import PART_CHARS, setting
-from .skew import HotKeys, running_totals
+from .skew import HotKeys, hot_keys, running_totals
 
 
 def join_text(
@@ -45,30 +45,33 @@ def word_chunks(
     Every row cuts its own words at the chunk borders, which follow from the number
     of words before it; the joined text of a key is never built.
     """
-    counted = (
-        rows.select(key, order, ft.words(text).alias("_w"))
-        .withColumn("_n", F.size("_w").cast("bigint"))
-        .filter(F.col("_n") > 0)
-    )
+    texts = rows.select(key, order, F.col(text).alias("_text"))
+    hot = hot_keys(texts, key) if hot is None else hot
+    if not hot:
+        texts = texts.repartition(key)  # so that words are counted where they are cut
+    counted = texts.withColumn("_n", ft.word_count("_text"))
     placed = running_totals(counted, key, [order], {"_at": F.col("_n")}, {"_total": F.col("_n")}, hot=hot)
-    last_chunk = ft.chunk_count("_total", size, min_tail) - 1
+    last = ft.chunk_count("_total", size, min_tail) - 1
+    filled = placed.filter(F.col("_n") > 0).withColumn("_last", last)
     end = F.col("_at") + F.col("_n")
 
-    def piece(k):
-        first = F.greatest(k * size, F.col("_at"))
-        stop = F.least(F.when(k == F.col("_last"), F.col("_total")).otherwise((k + 1) * size), end)
-        taken = F.slice("_w", (first - F.col("_at") + 1).cast("int"), (stop - first).cast("int"))
-        return F.struct(
-            k.alias("chunk_no"),
-            F.col("_at").alias("_at"),
-            (stop - first).alias("_taken"),
-            F.array_join(taken, " ").alias("_piece"),
-        )
+    def cut(w: Column) -> Column:
+        def piece(k: Column) -> Column:
+            first = F.greatest(k * size, F.col("_at"))
+            stop = F.least(F.when(k == F.col("_last"), F.col("_total")).otherwise((k + 1) * size), end)
+            taken = F.slice(w, (first - F.col("_at") + 1).cast("int"), (stop - first).cast("int"))
+            return F.struct(
+                k.alias("chunk_no"),
+                F.col("_at").alias("_at"),
+                (stop - first).alias("_taken"),
+                F.array_join(taken, " ").alias("_piece"),
+            )
 
-    spans = F.sequence(
-        F.least(int_div("_at", size), F.col("_last")), F.least(int_div(end - 1, size), F.col("_last"))
-    )
-    pieces = placed.withColumn("_last", last_chunk).select(key, F.inline(F.transform(spans, piece)))
+        first_chunk = F.least(int_div("_at", size), F.col("_last"))
+        final_chunk = F.least(int_div(end - 1, size), F.col("_last"))
+        return F.transform(F.sequence(first_chunk, final_chunk), piece)
+
+    pieces = filled.select(key, F.inline(let(ft.words("_text"), cut)))
     return pieces.groupBy(key, "chunk_no").agg(
         F.sum("_taken").alias("n_words"),
         F.expr("listagg(_piece, ' ') within group (order by _at)").alias("chunk"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as ft
-from ..functions.arith import as_col
+from ..functions.arith import as_col, let
 from .skew import HotKeys, running_totals, split_hot
 
 MAX_WORDS = 130
@@ -20,12 +20,14 @@ MIN_WORDS = 30
 SENTENCE = r"[^.!?]+[.!?]*"
 SENTENCE_ENDS = r"[.!?]+"
 STARTS_WITH_END = r"^[.!?]"
-NOT_TERM = r"[^\p{L}\p{N} ]"
+NOT_TERM = r"[^\p{L}\p{N} ]+"
 
 
 def cap_words(text, limit: int) -> Column:
-    w = ft.words(text)
-    return F.when(F.size(w) > limit, F.array_join(F.slice(w, 1, limit), " ")).otherwise(as_col(text))
+    return let(
+        ft.words(text),
+        lambda w: F.when(F.size(w) > limit, F.array_join(F.slice(w, 1, limit), " ")).otherwise(as_col(text)),
+    )
 
 
 def summarize_rows(
@@ -35,21 +37,30 @@ def summarize_rows(
     max_words: int = MAX_WORDS,
     min_words: int = MIN_WORDS,
     min_input: int = 0,
-    placed: bool = False,
 ) -> DataFrame:
     """Summarise texts held in one row each: ``keys, summary``.
 
-    The text is shuffled once by its key and everything after that is local; pass
-    ``placed`` when the rows of a key already lie together. Texts under
-    ``min_input`` words pass through with collapsed whitespace.
+    The text is shuffled once, by its key. Ranking works on word rows beside it and
+    brings back only the numbers of the chosen sentences, so no text is sorted or
+    copied per word. Texts under ``min_input`` words pass as they are.
     """
-    rows = texts if placed else texts.repartition(*keys)
-    whole = ft.word_count("_text") < min_input
-    sentences = rows.select(*keys, F.coalesce(text, F.lit("")).alias("_text")).select(
-        *keys, F.posexplode_outer(F.when(whole, F.array("_text")).otherwise(_matches("_text"))).alias("_pos", "_match")
+    rows = texts.select(*keys, F.coalesce(text, F.lit("")).alias("_text")).repartition(*keys)
+
+    def found(whole_text: Column) -> Column:
+        if not min_input:
+            return _matches(whole_text)
+        return F.when(ft.word_count(whole_text) < min_input, F.array(whole_text)).otherwise(_matches(whole_text))
+
+    sentences = rows.select(*keys, F.posexplode(found(F.col("_text"))).alias("_pos", "_match"))
+    chosen = _chosen(sentences, keys, max_words, min_words, spread=False)
+
+    def picked(matches: Column) -> Column:
+        return F.transform("_kept", lambda p: _collapse(F.get(matches, p)))
+
+    joined = F.array_join(let(found(F.col("_text")), picked), " ")
+    return rows.join(chosen, keys, "left").select(
+        *keys, F.coalesce(cap_words(joined, max_words), F.lit("")).alias("summary")
     )
-    frags = _fragments(sentences.withColumn("_ord", F.lit(0)), keys, max_words)
-    return _pick_local(frags, keys, max_words, min_words, many=False)
 
 
 def summarize_pieces(
@@ -67,159 +78,155 @@ def summarize_pieces(
     A sentence may run over several rows. Keys known to be hot take a plan whose
     groups all stay bounded; the others stay in the tasks their rows were sent to.
     """
-    args = (key, order, text, max_words, min_words, min_input)
+    limits = (max_words, min_words, min_input)
     if not hot:
-        return _pick_local(_stitched(rows, *args[:4], min_input, {}), [key], max_words, min_words, many=True)
+        return _summarize_stitched(rows, key, order, text, limits, {})
     cold_rows, hot_rows = split_hot(rows, key, hot)
-    cold = _pick_local(_stitched(cold_rows, *args[:4], min_input, {}), [key], max_words, min_words, many=True)
-    spread = _pick_spread(_stitched(hot_rows, *args[:4], min_input, hot), key, max_words, min_words)
-    return cold.unionByName(spread)
+    cold = _summarize_stitched(cold_rows, key, order, text, limits, {})
+    return cold.unionByName(_summarize_stitched(hot_rows, key, order, text, limits, hot))
+
+
+def _summarize_stitched(rows: DataFrame, key: str, order: str, text: str, limits, hot: HotKeys) -> DataFrame:
+    max_words, min_words, min_input = limits
+    placed = _stitched(rows, key, order, text, min_input, hot)
+    sentences = placed.select(key, "_base", F.posexplode(_row_matches()).alias("_j", "_match")).select(
+        key, (F.col("_base") + F.col("_j")).alias("_pos"), "_match"
+    )
+    chosen = _chosen(sentences, [key], max_words, min_words, spread=bool(hot))
+    if hot:
+        chosen = F.broadcast(chosen)  # at most MAX_HOT_KEYS rows of max_words numbers
+
+    def picked(matches: Column) -> Column:
+        mine = F.filter("_kept", lambda p: (p >= F.col("_base")) & (p < F.col("_base") + F.size(matches)))
+        return F.transform(
+            mine,
+            lambda p: F.struct(
+                p.alias("_pos"),
+                cap_words(_collapse(F.get(matches, (p - F.col("_base")).cast("int"))), max_words).alias("_head"),
+            ),
+        )
+
+    fragments = (
+        placed.join(chosen, key)
+        .select(key, "_ord", F.inline(let(_row_matches(), picked)))
+        .filter(F.col("_head") != "")
+    )
+    # Only the opening words of a sentence can show, so its first rows suffice.
+    opening = Window.partitionBy(key, "_pos").orderBy("_ord")
+    shown = fragments.withColumn("_nth", F.row_number().over(opening)).filter(F.col("_nth") <= max_words)
+    entry = F.struct("_pos", "_ord", "_head")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["_head"]), " ")
+    found = shown.groupBy(key).agg(joined.alias("_joined"))
+    return rows.select(key).distinct().join(found, key, "left").select(
+        key, F.coalesce(cap_words("_joined", max_words), F.lit("")).alias("summary")
+    )
 
 
 def _matches(text) -> Column:
     return F.regexp_extract_all(text, F.lit(SENTENCE), 0)
 
 
-def _stitched(rows: DataFrame, key, order, text, max_words, min_input, hot: HotKeys) -> DataFrame:
-    """Sentence fragments of every row, numbered through the whole text of the key.
+def _split(text) -> Column:
+    return F.array_remove(F.split(text, " ", -1), "")
+
 
-    The join puts a space before every row but the first, so leading punctuation
-    counts only in the first row of a key. A row's first fragment continues the
-    sentence before it unless that one was ended.
+def _collapse(text: Column) -> Column:
+    return F.array_join(ft.words(text), " ")
+
+
+def _stitched(rows: DataFrame, key: str, order: str, text: str, min_input: int, hot: HotKeys) -> DataFrame:
+    """Rows with ``_base``, the number of their first sentence within the key's text.
+
+    The join puts a space before every row but the first, so punctuation at the
+    start counts only there. A row's first fragment continues the sentence before
+    it unless that one was ended.
     """
-    pieces = rows.select(key, order, F.coalesce(text, F.lit("")).alias("_raw"))
+    pieces = rows.select(key, F.col(order).alias("_ord"), F.coalesce(text, F.lit("")).alias("_raw"))
+    if not hot:
+        pieces = pieces.repartition(key)
     placed = running_totals(
         pieces,
         key,
-        [order],
+        ["_ord"],
         {"_done": F.regexp_count("_raw", F.lit(SENTENCE_ENDS)).cast("bigint"), "_rows": F.lit(1).cast("bigint")},
         {"_words": ft.word_count("_raw")},
         hot=hot,
     )
     whole = F.col("_words") < min_input
     first = F.col("_rows") == 0
-    found = (
-        F.when(whole, F.array("_raw"))
-        .when(first, _matches("_raw"))
-        .otherwise(_matches(F.concat(F.lit(" "), F.col("_raw"))))
-    )
     # Punctuation a text starts with is counted above but is no sentence.
     skipped = F.when(first & F.col("_raw").rlike(STARTS_WITH_END), F.lit(1)).otherwise(F.lit(0))
     base = F.when(whole, F.lit(0)).otherwise(F.col("_done") + skipped)
-    step = F.when(whole, F.lit(0)).otherwise(F.lit(1))
-    sentences = placed.select(
-        key, F.col(order).alias("_ord"), base.alias("_base"), step.alias("_step"),
-        F.posexplode_outer(found).alias("_j", "_match"),
-    ).select(
-        key, "_ord", "_match",
-        (F.col("_base") + F.coalesce("_j", F.lit(0)) * F.col("_step")).alias("_pos"),
-    )
-    return _fragments(sentences, [key], max_words)
-
-
-def _fragments(sentences: DataFrame, keys: list[str], max_words: int) -> DataFrame:
-    clean = sentences.withColumn("_sent", ft.collapse(F.coalesce("_match", F.lit(""))))
-    split = F.split("_sent", " ", -1)
-    terms = F.array_remove(F.split(F.regexp_replace(F.lower("_sent"), NOT_TERM, ""), " ", -1), "")
-    n = F.when(F.col("_sent") == "", F.lit(0)).otherwise(F.size(split)).cast("bigint")
-    head = F.when(n > max_words, F.array_join(F.slice(split, 1, max_words), " ")).otherwise(F.col("_sent"))
-    return clean.select(
-        *keys, F.coalesce("_pos", F.lit(0)).cast("bigint").alias("_pos"), "_ord",
-        n.alias("_nw"), F.when(n > 0, head).alias("_head"), terms.alias("_terms"),
-    )
+    return placed.select(key, "_ord", "_raw", whole.alias("_whole"), first.alias("_first"), base.alias("_base"))
 
 
-def _word_rows(frags: DataFrame, keys: list[str], head: bool) -> DataFrame:
-    """One row per word; the first one of a fragment also carries its length and text."""
-    exploded = frags.select(
-        *keys, "_pos", "_ord", "_nw", "_head", F.posexplode_outer("_terms").alias("_i", "_term")
-    )
-    leads = F.coalesce("_i", F.lit(0)) == 0
-    carried = {"_nw": F.when(leads, F.col("_nw")), "_head": F.when(leads, F.col("_head"))}
-    rows = exploded.withColumns(carried).drop("_i")
-    return rows if head else rows.drop("_head", "_ord")
+def _row_matches() -> Column:
+    spaced = F.concat(F.when(F.col("_first"), F.lit("")).otherwise(F.lit(" ")), F.col("_raw"))
+    return F.when(F.col("_whole"), F.array("_raw")).otherwise(_matches(spaced))
 
 
-def _ranked(sentences: DataFrame, keys: list[str], max_words: int, min_words: int) -> DataFrame:
-    """Keep sentences in rank order while the budget lasts.
+def _chosen(sentences: DataFrame, keys: list[str], max_words: int, min_words: int, spread: bool) -> DataFrame:
+    """Numbers of the sentences a summary keeps, in text order: ``keys, _kept``.
 
-    Each sentence has a word, so only the first ``max`` ranks can be kept; the rank
-    filter lets Spark cut every map task's share to that many rows per key.
+    ``sentences`` has ``keys, _pos, _match``; rows of one number form one sentence.
     """
-    best = Window.partitionBy(*keys).orderBy(F.desc("_score"), "_pos")
-    running = F.sum("_nw").over(best.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = sentences.withColumns({"_rank": F.row_number().over(best), "_cum": running})
-    before = F.col("_cum") - F.col("_nw")
-    fits = (F.col("_cum") <= max_words) | (before == 0) | (before < min_words)
-    return ranked.filter(F.col("_rank") <= max(max_words, min_words)).filter(fits)
-
-
-def _score() -> Column:
-    """Mean frequency; a sentence without terms scores 0, a blank one comes last."""
+    # With plain spaces only, the splits below need no pattern.
+    spaced = sentences.select(*keys, "_pos", ft.plain_spaces("_match").alias("_match"))
+    measured = spaced.select(
+        *keys,
+        "_pos",
+        F.size(_split("_match")).cast("bigint").alias("_nw"),
+        _split(F.regexp_replace(F.lower("_match"), NOT_TERM, "")).alias("_terms"),
+    )
+    words = measured.select(*keys, "_pos", "_nw", F.posexplode_outer("_terms").alias("_i", "_term")).select(
+        *keys, "_pos", "_term", F.when(F.coalesce("_i", F.lit(0)) == 0, F.col("_nw")).alias("_nw")
+    )
+    scored = (_scored_spread if spread else _scored_local)(words, keys)
     mean = F.col("_sum").cast("double") / F.col("_cnt")
-    return F.when(F.col("_nw") == 0, F.lit(-1.0)).when(F.col("_cnt") > 0, mean).otherwise(F.lit(0.0))
+    score = F.when(F.col("_cnt") > 0, mean).otherwise(F.lit(0.0))
+    kept = _within_budget(scored.filter(F.col("_nw") > 0).withColumn("_score", score), keys, max_words, min_words)
+    return kept.groupBy(*keys).agg(F.array_sort(F.collect_list("_pos")).alias("_kept"))
 
 
-def _pick_local(frags: DataFrame, keys: list[str], max_words: int, min_words: int, many: bool) -> DataFrame:
-    words = _word_rows(frags, keys, head=True).withColumn(
-        "_tf", F.count("_term").over(Window.partitionBy(*keys, "_term"))
-    )
-    text = F.max("_head")
-    if many:
-        earlier = Window.partitionBy(*keys, "_pos").orderBy("_ord").rowsBetween(Window.unboundedPreceding, -1)
-        seen = F.coalesce(F.sum("_nw").over(earlier), F.lit(0))
-        words = words.withColumn("_seen", seen).withColumn(
-            "_head", F.when(F.col("_seen") < max_words, F.col("_head"))
-        )
-        text = F.expr("listagg(_head, ' ') within group (order by _ord)")
-    sentences = words.groupBy(*keys, "_pos").agg(
+def _scored_local(words: DataFrame, keys: list[str]) -> DataFrame:
+    counted = words.withColumn("_tf", F.count("_term").over(Window.partitionBy(*keys, "_term")))
+    return counted.groupBy(*keys, "_pos").agg(
         F.sum(F.when(F.col("_term").isNotNull(), F.col("_tf"))).alias("_sum"),
         F.count("_term").alias("_cnt"),
-        F.coalesce(F.sum("_nw"), F.lit(0)).alias("_nw"),
-        text.alias("_text"),
-    )
-    kept = _ranked(sentences.withColumn("_score", _score()), keys, max_words, min_words)
-    joined = F.expr("listagg(_text, ' ') within group (order by _pos)")
-    return kept.groupBy(*keys).agg(F.coalesce(joined, F.lit("")).alias("_joined")).select(
-        *keys, cap_words(F.col("_joined"), max_words).alias("summary")
+        F.sum("_nw").alias("_nw"),
     )
 
 
-def _pick_spread(frags: DataFrame, key: str, max_words: int, min_words: int) -> DataFrame:
-    """The same result for hot keys: words counted and looked up by (key, word)."""
-    nothing = F.concat(F.lit(" "), F.xxhash64("_pos", "_nw").cast("string"))
-    words = _word_rows(frags, [key], head=False).withColumns(
-        {"_real": F.col("_term").isNotNull(), "_term": F.coalesce("_term", nothing)}
-    )
-    counts = words.groupBy(key, "_term").agg(F.count("*").alias("_tf"))
-    # Spark splits the rows of a frequent word, as the result is shuffled again.
-    sentences = (
-        words.groupBy(key, "_pos", "_term", "_real")
+def _scored_spread(words: DataFrame, keys: list[str]) -> DataFrame:
+    """The same with words counted and looked up by (key, word), map-side first.
+
+    Spark splits the rows of a frequent word, as the joined rows are shuffled again.
+    """
+    nothing = F.concat(F.lit(" "), F.col("_pos").cast("string"))  # no word holds a space
+    named = words.withColumns({"_real": F.col("_term").isNotNull(), "_term": F.coalesce("_term", nothing)})
+    counts = named.groupBy(*keys, "_term").agg(F.count("*").alias("_tf"))
+    return (
+        named.groupBy(*keys, "_pos", "_term", "_real")
         .agg(F.count("*").alias("_times"), F.sum("_nw").alias("_nw"))
-        .join(counts, [key, "_term"])
-        .groupBy(key, "_pos")
+        .join(counts, [*keys, "_term"])
+        .groupBy(*keys, "_pos")
         .agg(
             F.sum(F.when(F.col("_real"), F.col("_tf") * F.col("_times"))).alias("_sum"),
             F.coalesce(F.sum(F.when(F.col("_real"), F.col("_times"))), F.lit(0)).alias("_cnt"),
-            F.coalesce(F.sum("_nw"), F.lit(0)).alias("_nw"),
+            F.sum("_nw").alias("_nw"),
         )
     )
-    kept = _ranked(sentences.withColumn("_score", _score()), [key], max_words, min_words).select(key, "_pos")
-    # kept: at most MAX_HOT_KEYS keys with max_words sentences each
-    opening = Window.partitionBy(key, "_pos").orderBy("_ord")
-    heads = (
-        frags.select(key, "_pos", "_ord", "_head")
-        .join(F.broadcast(kept), [key, "_pos"])
-        .filter(F.col("_head").isNotNull())
-        .withColumn("_nth", F.row_number().over(opening))
-        .filter(F.col("_nth") <= max_words)
-    )
-    # A sentence is cut to its first words, as one cut from a single row would be.
-    joined = F.expr("listagg(_head, ' ') within group (order by _ord)")
-    text = heads.groupBy(key, "_pos").agg(joined.alias("_text"))
-    whole = F.expr("listagg(_text, ' ') within group (order by _pos)")
-    found = text.groupBy(key).agg(whole.alias("_joined"))
-    # Keys without any word have no head; they get the empty summary.
-    return kept.select(key).distinct().join(found, key, "left").select(
-        key, cap_words(F.coalesce("_joined", F.lit("")), max_words).alias("summary")
-    )
+
+
+def _within_budget(scored: DataFrame, keys: list[str], max_words: int, min_words: int) -> DataFrame:
+    """Keep sentences in rank order while the budget lasts.
+
+    Each sentence has a word, so only the first ``max`` ranks can be kept; the rank
+    filter lets Spark cut every map task's share to that many rows per key.
+    """
+    best = Window.partitionBy(*keys).orderBy(F.desc("_score"), "_pos")
+    running = F.sum("_nw").over(best.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = scored.withColumns({"_rank": F.row_number().over(best), "_cum": running})
+    before = F.col("_cum") - F.col("_nw")
+    fits = (F.col("_cum") <= max_words) | (before == 0) | (before < min_words)
+    return ranked.filter(F.col("_rank") <= max(max_words, min_words)).filter(fits)

@@ -31,9 +31,7 @@ def hierarchical_summary(captions: DataFrame, prompt: str, hot: HotKeys | None =
 
 def _two_levels(texts: DataFrame, hot: HotKeys) -> DataFrame:
     chunks = word_chunks(texts, "video_id", "clip_no", "caption", CHUNK_WORDS, ROUTE_WORDS, hot)
-    parts = summarize_rows(
-        chunks, ["video_id", "chunk_no"], "chunk", MAX_WORDS, MIN_WORDS, min_input=ROUTE_WORDS, placed=True
-    )
+    parts = summarize_rows(chunks, ["video_id", "chunk_no"], "chunk", MAX_WORDS, MIN_WORDS, min_input=ROUTE_WORDS)
     final = summarize_pieces(parts, "video_id", "chunk_no", "summary", hot, MAX_WORDS, MIN_WORDS, ROUTE_WORDS)
     # A video whose captions hold no word has no chunk; its summary is empty.
     every = texts.groupBy("video_id").agg(F.lit("").alias("_none"))
@@ -60,4 +58,4 @@ def head_summary(captions: DataFrame, prompt: str, limit: int = HEAD_CHARS) -> D
         F.expr("listagg(caption, ' ') within group (order by clip_no)").alias("_joined")
     )
     heads = joined.select("video_id", ft.head_chars("_joined", limit).alias("head"))
-    return summarize_rows(heads, ["video_id"], "head", placed=True)
+    return summarize_rows(heads, ["video_id"], "head")
