@@ -24,8 +24,11 @@ NO_CAPTION = "_"
 
 
 def cap_caption(answer, limit: int = MAX_CAPTION_WORDS) -> Column:
-    w = words(answer)
-    return F.when(F.size(w) > limit, F.array_join(F.slice(w, 1, limit), " ")).otherwise(as_col(answer))
+    def cut(text: Column) -> Column:
+        w = words(text)
+        return F.when(F.size(w) > limit, F.array_join(F.slice(w, 1, limit), " ")).otherwise(text)
+
+    return let(as_col(answer), cut)
 
 
 def statistics_captioner(max_words: int = MAX_CAPTION_WORDS) -> Captioner:

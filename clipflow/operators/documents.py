@@ -71,7 +71,8 @@ def word_chunks(
         final_chunk = F.least(int_div(end - 1, size), F.col("_last"))
         return F.transform(F.sequence(first_chunk, final_chunk), piece)
 
-    pieces = filled.select(key, F.inline(let(ft.words("_text"), cut)))
+    # The outer form spares the size check Spark would run on the array beforehand.
+    pieces = filled.select(key, F.inline_outer(let(ft.words("_text"), cut)))
     return pieces.groupBy(key, "chunk_no").agg(
         F.sum("_taken").alias("n_words"),
         F.expr("listagg(_piece, ' ') within group (order by _at)").alias("chunk"),

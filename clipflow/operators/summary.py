@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as ft
-from ..functions.arith import as_col, let
+from ..functions.arith import let
 from .skew import HotKeys, running_totals, split_hot
 
 MAX_WORDS = 130
@@ -23,11 +23,9 @@ STARTS_WITH_END = r"^[.!?]"
 NOT_TERM = r"[^\p{L}\p{N} ]+"
 
 
-def cap_words(text, limit: int) -> Column:
-    return let(
-        ft.words(text),
-        lambda w: F.when(F.size(w) > limit, F.array_join(F.slice(w, 1, limit), " ")).otherwise(as_col(text)),
-    )
+def first_words(text, limit: int) -> Column:
+    """The first words of a text, one space between them."""
+    return F.array_join(F.slice(ft.words(text), 1, limit), " ")
 
 
 def summarize_rows(
@@ -40,26 +38,29 @@ def summarize_rows(
 ) -> DataFrame:
     """Summarise texts held in one row each: ``keys, summary``.
 
-    The text is shuffled once, by its key. Ranking works on word rows beside it and
-    brings back only the numbers of the chosen sentences, so no text is sorted or
-    copied per word. Texts under ``min_input`` words pass as they are.
+    The keys identify a text and are never NULL. The text is shuffled once, by its
+    key; ranking reads the same shuffle and brings back only the numbers of the
+    chosen sentences, so no text is copied per word. Texts under ``min_input`` words
+    pass as they are.
     """
-    rows = texts.select(*keys, F.coalesce(text, F.lit("")).alias("_text")).repartition(*keys)
+    known = texts.select(*keys, F.coalesce(text, F.lit("")).alias("_text")).dropna(subset=keys)
+    rows = known.repartition(*keys)
 
     def found(whole_text: Column) -> Column:
         if not min_input:
             return _matches(whole_text)
         return F.when(ft.word_count(whole_text) < min_input, F.array(whole_text)).otherwise(_matches(whole_text))
 
-    sentences = rows.select(*keys, F.posexplode(found(F.col("_text"))).alias("_pos", "_match"))
+    # The outer form spares the size check Spark would run on the array beforehand.
+    sentences = rows.select(*keys, F.posexplode_outer(found(F.col("_text"))).alias("_pos", "_match"))
     chosen = _chosen(sentences, keys, max_words, min_words, spread=False)
 
     def picked(matches: Column) -> Column:
-        return F.transform("_kept", lambda p: _collapse(F.get(matches, p)))
+        return F.transform("_kept", lambda p: F.get(matches, p))
 
     joined = F.array_join(let(found(F.col("_text")), picked), " ")
     return rows.join(chosen, keys, "left").select(
-        *keys, F.coalesce(cap_words(joined, max_words), F.lit("")).alias("summary")
+        *keys, F.coalesce(first_words(joined, max_words), F.lit("")).alias("summary")
     )
 
 
@@ -72,25 +73,31 @@ def summarize_pieces(
     max_words: int = MAX_WORDS,
     min_words: int = MIN_WORDS,
     min_input: int = 0,
+    every: DataFrame | None = None,
 ) -> DataFrame:
     """Summarise the joined text of each key: ``key, summary``.
 
     A sentence may run over several rows. Keys known to be hot take a plan whose
     groups all stay bounded; the others stay in the tasks their rows were sent to.
+    ``every`` lists the keys to report, if that is cheaper than reading ``rows``.
     """
     limits = (max_words, min_words, min_input)
-    if not hot:
-        return _summarize_stitched(rows, key, order, text, limits, {})
-    cold_rows, hot_rows = split_hot(rows, key, hot)
-    cold = _summarize_stitched(cold_rows, key, order, text, limits, {})
-    return cold.unionByName(_summarize_stitched(hot_rows, key, order, text, limits, hot))
+    known = rows.dropna(subset=[key])
+    if hot:
+        cold_rows, hot_rows = split_hot(known, key, hot)
+        cold = _summarize_stitched(cold_rows, key, order, text, limits, {})
+        found = cold.unionByName(_summarize_stitched(hot_rows, key, order, text, limits, hot))
+    else:
+        found = _summarize_stitched(known, key, order, text, limits, {})
+    keys = known.select(key).distinct() if every is None else every
+    return keys.join(found, key, "left").select(key, F.coalesce("summary", F.lit("")).alias("summary"))
 
 
 def _summarize_stitched(rows: DataFrame, key: str, order: str, text: str, limits, hot: HotKeys) -> DataFrame:
     max_words, min_words, min_input = limits
     placed = _stitched(rows, key, order, text, min_input, hot)
-    sentences = placed.select(key, "_base", F.posexplode(_row_matches()).alias("_j", "_match")).select(
-        key, (F.col("_base") + F.col("_j")).alias("_pos"), "_match"
+    sentences = placed.select(key, "_base", F.posexplode_outer(_row_matches()).alias("_j", "_match")).select(
+        key, (F.col("_base") + F.coalesce("_j", F.lit(0))).alias("_pos"), "_match"
     )
     chosen = _chosen(sentences, [key], max_words, min_words, spread=bool(hot))
     if hot:
@@ -102,13 +109,13 @@ def _summarize_stitched(rows: DataFrame, key: str, order: str, text: str, limits
             mine,
             lambda p: F.struct(
                 p.alias("_pos"),
-                cap_words(_collapse(F.get(matches, (p - F.col("_base")).cast("int"))), max_words).alias("_head"),
+                first_words(F.get(matches, (p - F.col("_base")).cast("int")), max_words).alias("_head"),
             ),
         )
 
     fragments = (
         placed.join(chosen, key)
-        .select(key, "_ord", F.inline(let(_row_matches(), picked)))
+        .select(key, "_ord", F.inline_outer(let(_row_matches(), picked)))
         .filter(F.col("_head") != "")
     )
     # Only the opening words of a sentence can show, so its first rows suffice.
@@ -116,9 +123,8 @@ def _summarize_stitched(rows: DataFrame, key: str, order: str, text: str, limits
     shown = fragments.withColumn("_nth", F.row_number().over(opening)).filter(F.col("_nth") <= max_words)
     entry = F.struct("_pos", "_ord", "_head")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["_head"]), " ")
-    found = shown.groupBy(key).agg(joined.alias("_joined"))
-    return rows.select(key).distinct().join(found, key, "left").select(
-        key, F.coalesce(cap_words("_joined", max_words), F.lit("")).alias("summary")
+    return shown.groupBy(key).agg(joined.alias("_joined")).select(
+        key, first_words("_joined", max_words).alias("summary")
     )
 
 
@@ -130,10 +136,6 @@ def _split(text) -> Column:
     return F.array_remove(F.split(text, " ", -1), "")
 
 
-def _collapse(text: Column) -> Column:
-    return F.array_join(ft.words(text), " ")
-
-
 def _stitched(rows: DataFrame, key: str, order: str, text: str, min_input: int, hot: HotKeys) -> DataFrame:
     """Rows with ``_base``, the number of their first sentence within the key's text.
 

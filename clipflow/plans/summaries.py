@@ -32,10 +32,11 @@ def hierarchical_summary(captions: DataFrame, prompt: str, hot: HotKeys | None =
 def _two_levels(texts: DataFrame, hot: HotKeys) -> DataFrame:
     chunks = word_chunks(texts, "video_id", "clip_no", "caption", CHUNK_WORDS, ROUTE_WORDS, hot)
     parts = summarize_rows(chunks, ["video_id", "chunk_no"], "chunk", MAX_WORDS, MIN_WORDS, min_input=ROUTE_WORDS)
-    final = summarize_pieces(parts, "video_id", "chunk_no", "summary", hot, MAX_WORDS, MIN_WORDS, ROUTE_WORDS)
     # A video whose captions hold no word has no chunk; its summary is empty.
-    every = texts.groupBy("video_id").agg(F.lit("").alias("_none"))
-    return every.join(final, "video_id", "left").select("video_id", F.coalesce("summary", "_none").alias("summary"))
+    return summarize_pieces(
+        parts, "video_id", "chunk_no", "summary", hot, MAX_WORDS, MIN_WORDS, ROUTE_WORDS,
+        every=texts.select("video_id").distinct(),
+    )
 
 
 def oneshot_summary(captions: DataFrame, prompt: str = "", hot: HotKeys | None = None) -> DataFrame:

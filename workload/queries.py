@@ -243,9 +243,9 @@ def word_chunks(spark, sf):
 @query
 def document_chunks(spark, sf):
     docs = fx.table(spark, sf, "documents")
-    return docs.select("doc_id", F.posexplode(ft.chunks("text", 512, 130)).alias("chunk_no", "chunk")).withColumn(
-        "chunk_no", F.col("chunk_no").cast("bigint")
-    )
+    return docs.select("doc_id", F.posexplode_outer(ft.chunks("text", 512, 130)).alias("chunk_no", "chunk")).select(
+        "doc_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), "chunk"
+    ).dropna(subset=["chunk_no"])
 
 
 @query
@@ -389,7 +389,7 @@ def chat_replies(spark, sf):
 
 @query
 def chat_history(spark, sf):
-    said = chat.chat_history(_replies(spark, sf))
+    said = chat.chat_history(_replies(spark, sf), hot=skew.hot_keys(fx.messages(spark, sf), "conv_id"))
     entry = lambda e: F.concat(F.coalesce(e["user"], F.lit("-")), F.lit("|"), F.coalesce(e["bot"], F.lit("-")))
     return said.select("conv_id", "part_no", F.array_join(F.transform("history", entry), "\n").alias("history"))
 
