@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import HOT_ROWS, scratch_path, setting
 
-#: The heaviest keys that are treated. Any other key holds under 1/1000 of the rows.
-MAX_HOT_KEYS = 1_000
+#: The heaviest keys that are treated. Any other key holds under 1/10000 of the rows.
+MAX_HOT_KEYS = 10_000
 #: Upper bound on slices over all hot keys; also bounds every table broadcast here.
 MAX_SLICES = 16_384
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as ft
 from ..operators.documents import word_chunks
-from ..operators.skew import HotKeys, hot_keys, split_hot
+from ..operators.skew import HotKeys, hot_keys, running_totals, split_hot
 from ..operators.summary import MAX_WORDS, MIN_WORDS, summarize_pieces, summarize_rows
 
 #: Words per chunk, and the count below which a text is passed on unsummarised.
@@ -45,17 +45,17 @@ def oneshot_summary(captions: DataFrame, prompt: str = "", hot: HotKeys | None =
     return summarize_pieces(stripped(captions, prompt), "video_id", "clip_no", "caption", hot)
 
 
-def head_summary(captions: DataFrame, prompt: str, limit: int = HEAD_CHARS) -> DataFrame:
+def head_summary(
+    captions: DataFrame, prompt: str, limit: int = HEAD_CHARS, hot: HotKeys | None = None
+) -> DataFrame:
     """Summarise the first ``limit`` characters of the joined captions.
 
-    Every caption takes at least the space before it, so the first ``limit + 1``
-    captions hold all of them; Spark trims each task's share to that many per video
-    before the shuffle.
+    Only captions that start within those characters are joined.
     """
     texts = stripped(captions, prompt).withColumn("caption", ft.head_chars("caption", limit))
-    in_order = F.row_number().over(Window.partitionBy("video_id").orderBy("clip_no"))
-    first = texts.withColumn("_nth", in_order).filter(F.col("_nth") <= limit + 1)
-    joined = first.groupBy("video_id").agg(
+    size = F.length("caption").cast("bigint") + 1
+    placed = running_totals(texts, "video_id", ["clip_no"], {"_at": size}, hot=hot)
+    joined = placed.filter(F.col("_at") < limit).groupBy("video_id").agg(
         F.expr("listagg(caption, ' ') within group (order by clip_no)").alias("_joined")
     )
     heads = joined.select("video_id", ft.head_chars("_joined", limit).alias("head"))

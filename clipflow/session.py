@@ -8,12 +8,14 @@ import uuid
 from pyspark.sql import SparkSession
 
 #: Rows of one key above which its rows are split over several tasks.
-HOT_ROWS = ("spark.clipflow.hotRows", 2_000_000)
+HOT_ROWS = ("spark.clipflow.hotRows", 500_000)
 #: Characters after which a per-key document continues in a further part.
 PART_CHARS = ("spark.clipflow.partChars", 32_000_000)
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+_local_dirs: dict[str, str] = {}
+
 
 def setting(spark: SparkSession, entry: tuple[str, int]) -> int:
     name, default = entry
@@ -42,15 +44,15 @@ def shared_dir(spark: SparkSession) -> str:
     A local session without that setting gets a folder of its own; on a cluster
     a missing setting is an error, because no machine-local folder would do.
     """
-    path = spark.conf.get(CHECKPOINT_DIR, None)
+    context = spark.sparkContext
+    path = spark.conf.get(CHECKPOINT_DIR, None) or context.getCheckpointDir()
     if path:
         return path.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
-    path = tempfile.mkdtemp(prefix="clipflow-")
-    spark.conf.set(CHECKPOINT_DIR, path)
-    return path
+    if context.applicationId not in _local_dirs:
+        _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="clipflow-")
+    return _local_dirs[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

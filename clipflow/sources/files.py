@@ -83,6 +83,31 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema.VIDEOS).parquet(path)
 
 
+def prompt_table(spark: SparkSession, prompts: list[str]) -> DataFrame:
+    """A prompt set given as plain texts."""
+    return spark.createDataFrame(list(enumerate(prompts)), "prompt_id bigint, prompt string")
+
+
+def write_frames(frames: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Frames ordered by video and number, so that readers skip by both.
+
+    Ranges over both columns also divide a video that holds most frames.
+    """
+    key = ("video_id", "frame_idx")
+    frames.repartitionByRange(*key).sortWithinPartitions(*key).write.mode(mode).parquet(path)
+
+
+def read_frames(spark: SparkSession, path: str, payload: T.DataType | None = None) -> DataFrame:
+    layout = T.StructType(
+        [
+            T.StructField("video_id", T.LongType()),
+            T.StructField("frame_idx", T.LongType()),
+            T.StructField("payload", payload or T.DoubleType()),
+        ]
+    )
+    return spark.read.schema(layout).parquet(path)
+
+
 def list_media(spark: SparkSession, path: str, pattern: str = "*.mp4") -> DataFrame:
     """Paths, sizes and times of media files; their content is never read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")

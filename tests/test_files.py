@@ -46,6 +46,19 @@ def test_media_listing(spark, tmp_path):
     assert [(r.length, r.stem) for r in got] == [(3, "a")]
 
 
+def test_frame_table(spark, tmp_path):
+    frames = spark.createDataFrame([(v, i, float(i)) for v in (2, 1) for i in range(50)], "video_id bigint, frame_idx bigint, payload double")
+    files.write_frames(frames, str(tmp_path / "frames"))
+    got = files.read_frames(spark, str(tmp_path / "frames"))
+    assert got.count() == 100
+    plan = got.filter("video_id = 1 and frame_idx < 5")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(video_id), IsNotNull(frame_idx), EqualTo(video_id,1), LessThan(frame_idx,5)]" in plan
+
+
+def test_prompt_table(spark):
+    assert [tuple(r) for r in files.prompt_table(spark, ["a", "b"]).collect()] == [(0, "a"), (1, "b")]
+
+
 def test_stored_captions_are_reused(spark):
     videos = spark.createDataFrame([(1, 4), (2, 4)], "video_id bigint, n_frames bigint")
     frames = spark.createDataFrame([(v, i, float(i)) for v in (1, 2) for i in range(4)], "video_id bigint, frame_idx bigint, payload double")
@@ -58,6 +71,9 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
     class Context:
         master = "spark://host:7077"
 
+        def getCheckpointDir(self):
+            return None
+
     class Conf:
         def get(self, name, default=None):
             return default

@@ -86,6 +86,18 @@ def test_document_parts_join_to_the_whole(spark, short_parts):
     assert " ".join(p.text for p in parts) == " ".join(f"text {i}." for i in range(30))
 
 
+def test_cue_text_keeps_line_breaks_unless_told(spark):
+    from clipflow.operators.subtitles import subtitle_cues, subtitle_documents
+
+    captions = spark.createDataFrame([(1, 0, 0, 27, "P: one\ntwo"), (1, 1, 30, 57, None)], "video_id bigint, clip_no bigint, start_frame bigint, end_frame bigint, caption string")
+    videos = spark.createDataFrame([(1, 30.0)], "video_id bigint, fps double")
+    first = lambda **kw: subtitle_cues(captions, videos, "P: ", **kw).orderBy("cue_no").first().text
+    assert first() == "one\ntwo" and first(strip_newlines=True) == "onetwo"
+    assert subtitle_documents(captions, videos, "P: ").first().body == (
+        "1\n00:00:00,000 --> 00:00:00,900\none\ntwo\n\n2\n00:00:01,000 --> 00:00:01,900\n\n\n"
+    )
+
+
 PIECES = [
     ["Hello there", "you two. And then", "a third piece! Well", "", "...done now. Hello again"],
     ["...", "Starts late. Starts", "again"],
