@@ -35,21 +35,23 @@ def summarize_rows(
     max_words: int = MAX_WORDS,
     min_words: int = MIN_WORDS,
     min_input: int = 0,
+    counted: str | None = None,
 ) -> DataFrame:
     """Summarise texts held in one row each: ``keys, summary``.
 
     The keys identify a text and are never NULL. The text is shuffled once, by its
     key; ranking reads the same shuffle and brings back only the numbers of the
     chosen sentences, so no text is copied per word. Texts under ``min_input`` words
-    pass as they are.
+    pass as they are; ``counted`` names a column that already holds the word count.
     """
-    known = texts.select(*keys, F.coalesce(text, F.lit("")).alias("_text")).dropna(subset=keys)
-    rows = known.repartition(*keys)
+    columns = [F.coalesce(text, F.lit("")).alias("_text"), *([F.col(counted).alias("_n")] if counted else [])]
+    rows = _with_keys(texts.select(*keys, *columns), keys).repartition(*keys)
+    n_words = F.col("_n") if counted else ft.word_count("_text")
 
     def found(whole_text: Column) -> Column:
         if not min_input:
             return _matches(whole_text)
-        return F.when(ft.word_count(whole_text) < min_input, F.array(whole_text)).otherwise(_matches(whole_text))
+        return F.when(n_words < min_input, F.array(whole_text)).otherwise(_matches(whole_text))
 
     # The outer form spares the size check Spark would run on the array beforehand.
     sentences = rows.select(*keys, F.posexplode_outer(found(F.col("_text"))).alias("_pos", "_match"))
@@ -82,7 +84,7 @@ def summarize_pieces(
     ``every`` lists the keys to report, if that is cheaper than reading ``rows``.
     """
     limits = (max_words, min_words, min_input)
-    known = rows.dropna(subset=[key])
+    known = _with_keys(rows, [key])
     if hot:
         cold_rows, hot_rows = split_hot(known, key, hot)
         cold = _summarize_stitched(cold_rows, key, order, text, limits, {})
@@ -128,6 +130,13 @@ def _summarize_stitched(rows: DataFrame, key: str, order: str, text: str, limits
     )
 
 
+def _with_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """A plain filter, as joins on the keys imply it; a shuffle under both sides is then one."""
+    for key in keys:
+        rows = rows.filter(F.col(key).isNotNull())
+    return rows
+
+
 def _matches(text) -> Column:
     return F.regexp_extract_all(text, F.lit(SENTENCE), 0)
 
@@ -151,10 +160,10 @@ def _stitched(rows: DataFrame, key: str, order: str, text: str, min_input: int,
         key,
         ["_ord"],
         {"_done": F.regexp_count("_raw", F.lit(SENTENCE_ENDS)).cast("bigint"), "_rows": F.lit(1).cast("bigint")},
-        {"_words": ft.word_count("_raw")},
+        {"_words": ft.word_count("_raw")} if min_input else {},
         hot=hot,
     )
-    whole = F.col("_words") < min_input
+    whole = F.col("_words") < min_input if min_input else F.lit(False)
     first = F.col("_rows") == 0
     # Punctuation a text starts with is counted above but is no sentence.
     skipped = F.when(first & F.col("_raw").rlike(STARTS_WITH_END), F.lit(1)).otherwise(F.lit(0))

@@ -31,7 +31,9 @@ def hierarchical_summary(captions: DataFrame, prompt: str, hot: HotKeys | None =
 
 def _two_levels(texts: DataFrame, hot: HotKeys) -> DataFrame:
     chunks = word_chunks(texts, "video_id", "clip_no", "caption", CHUNK_WORDS, ROUTE_WORDS, hot)
-    parts = summarize_rows(chunks, ["video_id", "chunk_no"], "chunk", MAX_WORDS, MIN_WORDS, min_input=ROUTE_WORDS)
+    parts = summarize_rows(
+        chunks, ["video_id", "chunk_no"], "chunk", MAX_WORDS, MIN_WORDS, ROUTE_WORDS, counted="n_words"
+    )
     # A video whose captions hold no word has no chunk; its summary is empty.
     return summarize_pieces(
         parts, "video_id", "chunk_no", "summary", hot, MAX_WORDS, MIN_WORDS, ROUTE_WORDS,
