@@ -19,7 +19,8 @@ def active_video_stream(gated: DataFrame, context: str | None = None) -> DataFra
 
     State is one path (and one context text) per session. A group holds the messages
     one micro-batch brought for a session, so its size follows from the source's
-    admission limit; within a batch messages are taken by ``turn``.
+    admission limit; within a batch messages are taken by ``turn``. ``step`` uses no
+    name of this module, so executors need not have it installed.
     """
     rows = gated if context else gated.withColumn("_context", F.lit(None).cast("string"))
     known = context or "_context"
@@ -36,7 +37,8 @@ def active_video_stream(gated: DataFrame, context: str | None = None) -> DataFra
         texts = [*turns[known], text]
         turns["active_video"] = [videos[i] for i in latest]
         turns[known] = [texts[i] for i in latest]
-        state.update((turns["active_video"].iloc[-1], _text(turns[known].iloc[-1])))
+        last = turns[known].iloc[-1]
+        state.update((turns["active_video"].iloc[-1], last if isinstance(last, str) else None))
         yield turns[out.names]
 
     carried = rows.groupBy("conv_id").applyInPandasWithState(
@@ -61,7 +63,3 @@ def reply_stream(messages: DataFrame, summaries_of: DataFrame, translator: Trans
     return reply_rows(
         turns.withColumn("translation", translator(F.col("summary"))), reply_catalog(messages.sparkSession)
     )
-
-
-def _text(value) -> str | None:
-    return value if isinstance(value, str) else None

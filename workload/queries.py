@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from clipflow.functions import clips as fc, media, paths, text as ft, timecode as tc
 from clipflow.functions.models import udf_captioner
@@ -17,7 +16,6 @@ from clipflow.sources import files
 from clipflow.streaming.clips import assemble_clip_stream
 from clipflow.streaming.run import run_to_table
 from clipflow.streaming.sessions import active_video_stream, reply_stream
-from pyspark.sql import types as T
 
 from . import fixtures as fx
 
@@ -138,26 +136,21 @@ def clip_captions(spark, sf):
     return oc.caption_clips(gathered, fx.PROMPT, 5)
 
 
-def _load_statistics():
+@query
+def clip_captions_udf(spark, sf):
     """A stand-in model in Python; it must answer as the built-in captioner does."""
 
-    def answer(payload: pd.Series, prompt: pd.Series) -> pd.Series:
-        out = []
-        for values, asked in zip(payload, prompt):
+    def load():
+        # defined in here, so that it reaches the executors with the query
+        def say(values):
             scaled = [round(float(v) * 1000) for v in values]
-            mean = sum(scaled) // len(scaled)
-            out.append(
-                f"{asked}n={len(scaled)} min={min(scaled) / 1000:.3f} max={max(scaled) / 1000:.3f} mean={mean / 1000:.3f}"
-            )
-        return pd.Series(out)
-
-    return answer
+            low, high, mean = min(scaled), max(scaled), sum(scaled) // len(scaled)
+            return f"n={len(scaled)} min={low / 1000:.3f} max={high / 1000:.3f} mean={mean / 1000:.3f}"
 
+        return lambda payload, prompt: prompt + payload.map(say)
 
-@query
-def clip_captions_udf(spark, sf):
     gathered = of.assemble_clips(fx.videos(spark, sf), fx.frames(spark, sf), 5, 3)
-    return oc.caption_clips(gathered, fx.PROMPT, 5, udf_captioner(_load_statistics))
+    return oc.caption_clips(gathered, fx.PROMPT, 5, udf_captioner(load))
 
 
 @query
