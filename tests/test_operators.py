@@ -94,7 +94,7 @@ def test_cue_text_keeps_line_breaks_unless_told(spark):
     first = lambda **kw: subtitle_cues(captions, videos, "P: ", **kw).orderBy("cue_no").first().text
     assert first() == "one\ntwo" and first(strip_newlines=True) == "onetwo"
     assert subtitle_documents(captions, videos, "P: ").first().body == (
-        "1\n00:00:00,000 --> 00:00:00,900\none\ntwo\n\n2\n00:00:01,000 --> 00:00:01,900\n\n\n"
+        "1\n00:00:00,000 --> 00:00:00,900\none\ntwo\n\n2\n00:00:01,000 --> 00:00:01,899\n\n\n"
     )
 
 
