@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -14,7 +17,7 @@ PART_CHARS = ("spark.clipflow.partChars", 32_000_000)
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
-_local_dirs: dict[str, str] = {}
+_own_dirs: dict[str, str] = {}
 
 
 def setting(spark: SparkSession, entry: tuple[str, int]) -> int:
@@ -41,20 +44,26 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    A local session without that setting gets a folder of its own; on a cluster
-    a missing setting is an error, because no machine-local folder would do.
+    A session inside one process, which shares its folders with itself, gets one of its own
+    that goes when the process ends. Anywhere else a missing setting is an error.
     """
     context = spark.sparkContext
     path = spark.conf.get(CHECKPOINT_DIR, None) or context.getCheckpointDir()
     if path:
         return path.rstrip("/")
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
-    if context.applicationId not in _local_dirs:
-        _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="clipflow-")
-    return _local_dirs[context.applicationId]
+    if context.applicationId not in _own_dirs:
+        _own_dirs[context.applicationId] = own = tempfile.mkdtemp(prefix="clipflow-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return _own_dirs[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/clipflow/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder, deleted when the session's JVM ends."""
+    path = f"{shared_dir(spark)}/clipflow/{name}-{uuid.uuid4().hex}"
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(jvm_path.getParent())
+    files.deleteOnExit(jvm_path)
+    return path
