@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, simhash
+from . import exact, kneser_ney, simhash
 
 QUERIES = {}
 ORACLES = {}
@@ -39,3 +39,8 @@ def op7(spark, sf):
 @query("op6_simhash")
 def op6(spark, sf):
     return simhash.near_groups(table(spark, sf, "documents"))
+
+
+@query("op1_quality_classifier")
+def op1(spark, sf):
+    return kneser_ney.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
