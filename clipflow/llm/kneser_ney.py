@@ -5,6 +5,10 @@ least one. Documents travel in blocks of bounded size. A block asks once for eac
 distinct n-grams; counts are summed and probabilities are joined by (language, n-gram) over
 all tasks, and the answers go back to the block, which adds up its documents. What is
 shuffled per block is its vocabulary, not its text's length.
+
+Documents are dealt into folds by a hash of their id. Each fold is scored by a model of the trusted
+text of all other folds, so that no text is judged by a model that has read it, all trusted text is
+learnt from, and thresholds rest on every trusted document.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import block_count, if_small, stored, volume
 
 ORDER = 4
+FOLDS = 3
 #: Share of the trusted documents of a language that its threshold lets through.
 QUANTILE = 0.99
 #: Accuracy of the quantiles: an error of 1 / ACCURACY of the documents.
@@ -28,7 +33,7 @@ START, END = "\x02", "\x03"
 CHUNK_CHARS = 1_500_000
 TABLE = 1 << 24
 
-SEEN = "block int, lang string, gram string, trusted bigint"
+SEEN = "block int, model string, gram string, trusted bigint"
 SCORES = "doc_id bigint, lang string, n_events bigint, trusted boolean, bits double"
 
 
@@ -76,30 +81,30 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def _by_language(docs: pa.Table) -> Iterator[tuple[str, list, list[str]]]:
+def _by_model(docs: pa.Table) -> Iterator[tuple[str, list, list[str]]]:
     groups: dict[str, tuple[list, list]] = {}
-    for doc_id, lang, text in zip(*(docs[c].to_pylist() for c in ("doc_id", "lang", "text"))):
-        ids, texts = groups.setdefault(lang, ([], []))
+    for doc_id, model, text in zip(*(docs[c].to_pylist() for c in ("doc_id", "model", "text"))):
+        ids, texts = groups.setdefault(model, ([], []))
         ids.append(doc_id), texts.append(text.decode("utf-8", "replace"))
-    for lang, (ids, texts) in groups.items():
+    for model, (ids, texts) in groups.items():
         for a, b in _chunks(texts):
-            yield lang, ids[a:b], texts[a:b]
+            yield model, ids[a:b], texts[a:b]
 
 
 def _seen(order: int):
     def run(docs, labels):
         trusted = set(labels["doc_id"].to_pylist())
         found: dict[tuple[str, str], int] = {}
-        for lang, ids, texts in _by_language(docs):
+        for model, ids, texts in _by_model(docs):
             codes, starts, names = grams(texts, order)
             weight = np.repeat([i in trusted for i in ids], np.diff(np.append(starts, len(codes))))
             for name, n in zip(names, np.bincount(codes, weight, len(names)).tolist()):
-                found[lang, name] = found.get((lang, name), 0) + int(n)
+                found[model, name] = found.get((model, name), 0) + int(n)
         block = docs["block"][0].as_py() if docs.num_rows else 0
         keys = list(found)
         return pa.table({
             "block": pa.array([block] * len(keys), pa.int32()),
-            "lang": pa.array([k[0] for k in keys], pa.string()),
+            "model": pa.array([k[0] for k in keys], pa.string()),
             "gram": pa.array([k[1] for k in keys], pa.string()),
             "trusted": pa.array(found.values(), pa.int64()),
         })
@@ -109,16 +114,16 @@ def _seen(order: int):
 
 def _scored(order: int):
     def run(docs, answers):
-        bits = dict(zip(zip(answers["lang"].to_pylist(), answers["gram"].to_pylist()), answers["bits"].to_pylist()))
-        trusted = {g for lang, g in bits if lang is None}
+        bits = dict(zip(zip(answers["model"].to_pylist(), answers["gram"].to_pylist()), answers["bits"].to_pylist()))
+        trusted = {g for model, g in bits if model is None}
         out: list[list] = [[], [], [], [], []]
-        for lang, ids, texts in _by_language(docs):
+        for model, ids, texts in _by_model(docs):
             codes, starts, names = grams(texts, order)
-            each = np.array([bits[lang, name] for name in names])
+            each = np.array([bits[model, name] for name in names])
             total = np.add.reduceat(each[codes], starts)
             n = np.diff(np.append(starts, len(codes)))
             for column, values in zip(out, (
-                ids, [lang] * len(ids), n.tolist(), [str(i) in trusted for i in ids], (total / n).tolist()
+                ids, [model.partition(":")[2]] * len(ids), n.tolist(), [str(i) in trusted for i in ids], (total / n).tolist()
             )):
                 column.extend(values)
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.float64()]
@@ -131,15 +136,15 @@ def _scored(order: int):
 
 
 def _discounts(level: DataFrame) -> DataFrame:
-    """Per language the three discounts of modified Kneser-Ney from the counts of counts.
+    """Per model the three discounts of modified Kneser-Ney from the counts of counts.
 
     Where a count of counts is zero the estimates are undefined; 0.5, 1 and 1.5 stand in. None is below 0.1.
     """
     n = [F.count_if(F.col("c") == k).cast("double") for k in (1, 2, 3, 4)]
-    counts = level.groupBy("lang").agg(*[v.alias(f"n{k}") for k, v in enumerate(n, 1)])
+    counts = level.groupBy("model").agg(*[v.alias(f"n{k}") for k, v in enumerate(n, 1)])
     y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
     known = F.least("n1", "n2", "n3", "n4") > 0
-    return counts.select("lang", *[
+    return counts.select("model", *[
         F.when(known, F.least(F.greatest(k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"), F.lit(0.1)), F.lit(float(k))))
         .otherwise(0.5 * k).alias(f"d{k}")
         for k in (1, 2, 3)
@@ -147,72 +152,82 @@ def _discounts(level: DataFrame) -> DataFrame:
 
 
 def probabilities(seen: DataFrame, order: int = ORDER) -> DataFrame:
-    """``lang, gram, p`` of every gram in ``seen``, from the trusted counts in it.
+    """``model, gram, p`` of every gram in ``seen``, from the trusted counts in it.
 
-    ``seen`` has ``lang, gram, trusted``, several rows per gram adding up. Below the highest order a
+    ``seen`` has ``model, gram, trusted``, several rows per gram adding up. Below the highest order a
     gram counts as often as there are different symbols before it.
     """
-    targets = stored(seen.groupBy("lang", "gram").agg(F.sum("trusted").alias("c")), "grams")
+    targets = stored(seen.groupBy("model", "gram").agg(F.sum("trusted").alias("c")), "grams")
     levels = {order: targets.filter("c > 0")}
-    wanted = {order: targets.select("lang", "gram")}
+    wanted = {order: targets.select("model", "gram")}
     for n in range(order - 1, 0, -1):
         shorter = F.substring("gram", 2, n).alias("gram")
-        levels[n] = stored(levels[n + 1].groupBy("lang", shorter).agg(F.count("*").alias("c")), "level")
-        wanted[n] = stored(wanted[n + 1].select("lang", shorter).distinct(), "wanted")
+        levels[n] = stored(levels[n + 1].groupBy("model", shorter).agg(F.count("*").alias("c")), "level")
+        wanted[n] = stored(wanted[n + 1].select("model", shorter).distinct(), "wanted")
 
-    # below single symbols all symbols of the language are alike, one more standing for the unseen
-    below = levels[1].groupBy("lang").agg((1 / (F.count("*") + 1)).alias("p0"))
+    # below single symbols all symbols of the model are alike, one more standing for the unseen
+    below = levels[1].groupBy("model").agg((1 / (F.count("*") + 1)).alias("p0"))
     known = None
     for n in range(1, order + 1):
         discounts = if_small(stored(_discounts(levels[n]), "discounts"), 100_000)
         context = F.substring("gram", 1, n - 1).alias("context")
-        counted = levels[n].join(discounts, "lang")
+        counted = levels[n].join(discounts, "model")
         d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        counted = counted.select("lang", "gram", "c", d.alias("d"))
-        contexts = counted.groupBy("lang", context).agg(F.sum("c").alias("total"), F.sum("d").alias("freed"))
-        rows = wanted[n].select("lang", "gram", context, F.substring("gram", 2, n - 1).alias("shorter"))
-        rows = rows.join(counted, ["lang", "gram"], "left").join(contexts, ["lang", "context"], "left")
+        counted = counted.select("model", "gram", "c", d.alias("d"))
+        contexts = counted.groupBy("model", context).agg(F.sum("c").alias("total"), F.sum("d").alias("freed"))
+        rows = wanted[n].select("model", "gram", context, F.substring("gram", 2, n - 1).alias("shorter"))
+        rows = rows.join(counted, ["model", "gram"], "left").join(contexts, ["model", "context"], "left")
         if known is None:
-            rows = rows.join(if_small(stored(below, "below"), 100_000), "lang", "left")
+            rows = rows.join(if_small(stored(below, "below"), 100_000), "model", "left")
             rows = rows.withColumn("lower", F.coalesce("p0", F.lit(1.0)))
         else:
-            rows = rows.join(known.select("lang", F.col("gram").alias("shorter"), F.col("p").alias("lower")), ["lang", "shorter"])
+            rows = rows.join(known.select("model", F.col("gram").alias("shorter"), F.col("p").alias("lower")), ["model", "shorter"])
         own = F.coalesce(F.col("c") - F.col("d"), F.lit(0.0))
         p = F.when(F.col("total").isNull(), F.col("lower")).otherwise(
             (own + F.col("freed") * F.col("lower")) / F.col("total")
         )
-        known = stored(rows.select("lang", "gram", p.alias("p")), "probabilities")
+        known = stored(rows.select("model", "gram", p.alias("p")), "probabilities")
     return known
 
 
-def perplexity(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> DataFrame:
-    """``doc_id, lang, n_events, trusted, bits`` of every row: mean bits per character under its language's model.
+def perplexity(docs: DataFrame, trusted: DataFrame, order: int = ORDER, folds: int = FOLDS) -> DataFrame:
+    """``doc_id, lang, n_events, trusted, bits`` of every row: mean bits per character under the model
+    of its language and fold.
 
     ``trusted`` lists the ids (``doc_id``) of the texts to learn from.
     """
     rows, size = volume(docs)
     n = block_count(size + rows)
-    # labels meet their documents by id; rows without an id have none and are dealt by text
-    block = lambda key: F.pmod(key, F.lit(n)).cast("int")
-    by_id = F.xxhash64("doc_id")
     text = F.coalesce(F.col("text"), F.lit(""))
-    lang = F.coalesce(F.col("lang"), F.lit("")).alias("lang")
+    # labels meet their documents by id; rows without an id have none and are dealt by text
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64(text)).otherwise(F.xxhash64(F.col("doc_id").cast("bigint")))
+    block = F.pmod(key, F.lit(n)).cast("int").alias("block")
+    fold = F.pmod(F.shiftrightunsigned(key, 40), F.lit(folds))
     blocks = docs.select(
-        block(F.when(F.col("doc_id").isNull(), F.xxhash64(text)).otherwise(by_id)).alias("block"),
-        F.col("doc_id").cast("bigint").alias("doc_id"), lang, text.cast("binary").alias("text"),
+        block, F.col("doc_id").cast("bigint").alias("doc_id"),
+        F.concat(fold.cast("string"), F.lit(":"), F.coalesce(F.col("lang"), F.lit(""))).alias("model"),
+        text.cast("binary").alias("text"),
     )
     ids = trusted.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
-    marks = ids.select(block(by_id).alias("block"), "doc_id")
+    marks = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block"), "doc_id")
     seen = stored(
         blocks.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_seen(order), SEEN), "seen"
     )
-    known = probabilities(seen, order)
-    answers = seen.select("block", "lang", "gram").join(known, ["lang", "gram"]).select(
-        "block", "lang", "gram", (-F.log2("p")).alias("bits")
+    own = F.substring_index("model", ":", 1)
+    others = F.array(*[F.lit(str(k)) for k in range(folds)])
+    learnt = seen.filter("trusted > 0").select(
+        F.explode(F.filter(others, lambda k: k != own)).alias("fold"), "model", "gram", "trusted"
+    ).select(
+        F.concat("fold", F.expr("substring(model, instr(model, ':'))")).alias("model"), "gram", "trusted"
+    )
+    asked = seen.select("model", "gram", F.lit(0).cast("bigint").alias("trusted"))
+    known = probabilities(learnt.unionByName(asked), order)
+    answers = seen.select("block", "model", "gram").join(known, ["model", "gram"]).select(
+        "block", "model", "gram", (-F.log2("p")).alias("bits")
     )
-    # trusted ids ride along as answers without a language
+    # trusted ids ride along as answers without a model
     answers = answers.unionByName(marks.select(
-        "block", F.lit(None).cast("string").alias("lang"), F.col("doc_id").cast("string").alias("gram"),
+        "block", F.lit(None).cast("string").alias("model"), F.col("doc_id").cast("string").alias("gram"),
         F.lit(0.0).alias("bits"),
     ))
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(order), SCORES)
