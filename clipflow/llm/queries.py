@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, kneser_ney, simhash
+from . import exact, kneser_ney, packing, simhash
 
 QUERIES = {}
 ORACLES = {}
@@ -44,3 +44,16 @@ def op6(spark, sf):
 @query("op1_quality_classifier")
 def op1(spark, sf):
     return kneser_ney.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+def byte_bpe() -> str:
+    """The public byte-level vocabulary, where it is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op3_best_fit_packing")
+def op3(spark, sf):
+    packed = packing.pack_documents(table(spark, sf, "documents"), byte_bpe(), with_ids=False)
+    return packed.drop("ids")
