@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import scratch_path
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: A key is hot when it holds more than this share of all rows, so at most 1,000 keys are.
 HOT_SHARE = 1000
 #: Ids that may be broadcast: 8 MB of them. More go through a shuffled join.
@@ -24,9 +25,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage, so that lost executors cost no recomputation of earlier steps,
     and fixes one outcome of the work for every later reader.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")  # what the write has shuffled is of no use after it
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def attach(facts: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:

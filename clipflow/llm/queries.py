@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, kneser_ney, packing, simhash
+from . import exact, kneser_ney, packing, simhash, suffixes
 
 QUERIES = {}
 ORACLES = {}
@@ -57,3 +57,8 @@ def byte_bpe() -> str:
 def op3(spark, sf):
     packed = packing.pack_documents(table(spark, sf, "documents"), byte_bpe(), with_ids=False)
     return packed.drop("ids")
+
+
+@query("op2_suffix_dedup")
+def op2(spark, sf):
+    return suffixes.cut_repeats(table(spark, sf, "documents")).drop("kept")
