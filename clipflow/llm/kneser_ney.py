@@ -19,10 +19,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import block_count, if_small, stored, volume
+from .common import block_count, drop_rows, if_small, stored, volume
 
 ORDER = 4
-FOLDS = 3
+FOLDS = 2
+#: Bytes of text per block. Its n-grams are asked for once, so large blocks send few; a task holds one at a time.
+BLOCK = 32_000_000
 #: Share of the trusted documents of a language that its threshold lets through.
 QUANTILE = 0.99
 #: Accuracy of the quantiles: an error of 1 / ACCURACY of the documents.
@@ -197,7 +199,7 @@ def perplexity(docs: DataFrame, trusted: DataFrame, order: int = ORDER, folds: i
     ``trusted`` lists the ids (``doc_id``) of the texts to learn from.
     """
     rows, size = volume(docs)
-    n = block_count(size + rows)
+    n = block_count(size + rows, BLOCK)
     text = F.coalesce(F.col("text"), F.lit(""))
     # labels meet their documents by id; rows without an id have none and are dealt by text
     key = F.when(F.col("doc_id").isNull(), F.xxhash64(text)).otherwise(F.xxhash64(F.col("doc_id").cast("bigint")))
@@ -222,9 +224,9 @@ def perplexity(docs: DataFrame, trusted: DataFrame, order: int = ORDER, folds: i
     )
     asked = seen.select("model", "gram", F.lit(0).cast("bigint").alias("trusted"))
     known = probabilities(learnt.unionByName(asked), order)
-    answers = seen.select("block", "model", "gram").join(known, ["model", "gram"]).select(
+    answers = stored(seen.select("block", "model", "gram").join(known, ["model", "gram"]).select(
         "block", "model", "gram", (-F.log2("p")).alias("bits")
-    )
+    ), "answers")
     # trusted ids ride along as answers without a model
     answers = answers.unionByName(marks.select(
         "block", F.lit(None).cast("string").alias("model"), F.col("doc_id").cast("string").alias("gram"),
@@ -255,3 +257,9 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
         F.pow(F.lit(2.0), "limit").alias("threshold"),
         F.coalesce(F.col("bits") <= F.col("limit"), F.lit(True)).alias("kept"),
     )
+
+
+def drop_rejected(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE) -> DataFrame:
+    """The rows that ``classify`` keeps, all columns as they were. Rows without an id stay."""
+    verdicts = classify(docs, labels, order, quantile)
+    return drop_rows(docs, stored(verdicts.filter(~F.col("kept")).select("doc_id"), "rejected"))
