@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, kneser_ney, packing, simhash, suffixes
+from . import exact, kneser_ney, packing, simhash, suffixes, urls, vptree
 
 QUERIES = {}
 ORACLES = {}
@@ -62,3 +62,27 @@ def op3(spark, sf):
 @query("op2_suffix_dedup")
 def op2(spark, sf):
     return suffixes.cut_repeats(table(spark, sf, "documents")).drop("kept")
+
+
+@query("op5_url_filter")
+def op5(spark, sf):
+    return urls.judge(table(spark, sf, "pages"))
+
+
+@query("op10_vantage_point_search", """
+with v as (
+    select vec_id, embedding::double[] as e from embeddings
+    where vec_id is not null and embedding is not null and len(embedding) > 0
+      and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))
+      and list_bool_or(list_transform(embedding, lambda x: x <> 0))
+), scored as (
+    select q.vec_id as query_id, c.vec_id as vec_id,
+           list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]), lambda a, b: a + b) as score
+    from v q join v c on c.vec_id <> q.vec_id and len(c.e) = len(q.e) where q.vec_id % 20 = 0
+)
+select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score
+from scored qualify rank <= 20
+""")
+def op10(spark, sf):
+    embeddings = table(spark, sf, "embeddings")
+    return vptree.nearest(embeddings, embeddings.filter("vec_id % 20 = 0"), k=20)
