@@ -38,6 +38,11 @@ m.ththon.example.com/en/184 onreat.example.org/en/5450 blog.tionre.example.com/e
 theatre.example.com/en/4025 recipes.example.org/en/7075 www.football-club.example.com/en/3991 birds.example.org/en/3377
 m.edhaor.example.com/en/4127 stthin.example.org/en/9655 blog.eranou.example.com/en/785 www.hatith.example.org/en/8476
 photo-album.example.com/en/12 www.well-known.example.org/en/63 two-rivers.example.com/en/8 sea-side.example.org/en/19
+thistle.example.com/en/3 m.thunder.example.org/fr/71 station.example.com/en/448 blog.nation.example.org/de/5031
+leather.example.org/es/64 www.thirty.example.com/fr/2210 mother.example.com/en/9071 thames.example.org/de/12
+motion.example.com/es/381 blog.thread.example.com/en/6 hither.example.org/en/72 auction.example.com/fr/1043
+ethan.example.com/en/518 thatch.example.com/es/77 m.theory.example.com/fr/9 blog.thorn.example.org/en/1206
+option.example.org/fr/88 www.thumb.example.com/en/7734 other.example.com/en/41 thesis.example.org/es/650
 """.split()]
 
 BUCKETS = 1 << 14
