@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, kneser_ney, packing, simhash, suffixes, urls, vptree
+from . import exact, kneser_ney, packing, simhash, suffixes, urls, vptree, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -86,3 +86,8 @@ from scored qualify rank <= 20
 def op10(spark, sf):
     embeddings = table(spark, sf, "embeddings")
     return vptree.nearest(embeddings, embeddings.filter("vec_id % 20 = 0"), k=20)
+
+
+@query("op8_warc_segments")
+def op8(spark, sf):
+    return warc.archive_report(table(spark, sf, "pages"))
