@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, kneser_ney, packing, simhash, suffixes, urls, vptree, warc
+from . import exact, html, kneser_ney, packing, pieces, simhash, suffixes, urls, vptree, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -91,3 +91,19 @@ def op10(spark, sf):
 @query("op8_warc_segments")
 def op8(spark, sf):
     return warc.archive_report(table(spark, sf, "pages"))
+
+
+def piece_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op9_sentencepiece")
+def op9(spark, sf):
+    return pieces.round_trip(table(spark, sf, "documents"), piece_bpe())
+
+
+@query("op4_html_main_text")
+def op4(spark, sf):
+    return html.main_text(table(spark, sf, "pages"))
