@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import sys
 import types
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import scratch_path
@@ -61,6 +63,14 @@ def if_small(keys: DataFrame, limit: int = MAX_BROADCAST_IDS) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= limit else keys
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, longer by underscores if the table has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_bytes(column: str = "text") -> Column:
     """A text as UTF-8 bytes, NULL as none."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
@@ -81,6 +91,37 @@ def block_of(columns: Sequence[str | Column], n: int) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
 
 
+def bundled(df: DataFrame, key: str = "block") -> DataFrame:
+    """``df`` with the rows that a task has of a key packed into few: ``key, bundle binary``.
+
+    A bundle is a compressed Arrow stream, about half as large in a shuffle as the rows would be.
+    """
+    columns = [c for c in df.columns if c != key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            rest = batch.select(columns)
+            order = np.argsort(keys, kind="stable")
+            found, bundles = [], []
+            for rows in np.split(order, np.nonzero(np.diff(keys[order]))[0] + 1) if len(order) else ():
+                sink = pa.BufferOutputStream()
+                part = rest.take(pa.array(rows))
+                with pa.ipc.new_stream(sink, part.schema, options=options) as out:
+                    out.write_batch(part)
+                found.append(keys[rows[0]]), bundles.append(sink.getvalue().to_pybytes())
+            yield pa.record_batch([pa.array(found, pa.int32()), pa.array(bundles, pa.binary())], [key, "bundle"])
+
+    return df.select(key, *[f"`{c}`" for c in columns]).mapInArrow(run, f"{key} int, bundle binary")
+
+
+def unbundled(table: pa.Table, columns: Sequence[str]) -> pa.Table:
+    """The rows of bundles; without any an empty table of these columns."""
+    parts = [pa.ipc.open_stream(b.as_buffer()).read_all() for b in table["bundle"]]
+    return pa.concat_tables(parts) if parts else pa.table({c: pa.array([], pa.null()) for c in columns})
+
+
 def worker_store() -> dict:
     """A dictionary that outlives tasks in a reused Python worker, for caches and loaded models."""
     return sys.modules.setdefault("_clipflow_worker_store", types.ModuleType("store")).__dict__

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import attach, if_small, stored
+from .common import attach, fresh, if_small, stored
 
 #: Slots of a filter bucket, and moves before an insertion counts as overflow.
 SLOTS = 4
@@ -224,16 +224,17 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     Of rows that repeat both id and text one stays. Rows without an id go only if another row of the
     text has one or is such a row too.
     """
+    own = fresh(docs, "_sha")
     groups = stored(exact_groups(docs), "groups")
-    marked = groups.select("doc_id", F.col("text_sha256").alias("_sha"), "kept")
-    gone = stored(marked.filter(~F.col("kept")), "gone")
-    again = stored(marked.filter("kept").groupBy("doc_id", "_sha").count().filter("count > 1"), "again")
-    tagged = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+    marked = groups.select("doc_id", F.col("text_sha256").alias(own), "kept")
+    gone = stored(marked.filter(~F.col("kept")).drop("kept").distinct(), "gone")
+    again = stored(marked.filter("kept").groupBy("doc_id", own).count().filter("count > 1").drop("count"), "again")
     if gone.count() == 0 and again.count() == 0:
         return docs
-    gone, again = if_small(gone.distinct()), if_small(again)
-    same = [F.col("_d.doc_id").eqNullSafe(F.col("_g.doc_id")), F.col("_d._sha") == F.col("_g._sha")]
+    tagged = docs.withColumn(own, F.sha2(F.coalesce("text", F.lit("")), 256))
+    gone, again = if_small(gone), if_small(again)
+    same = [F.col("_d.doc_id").eqNullSafe(F.col("_g.doc_id")), F.col(f"_d.{own}") == F.col(f"_g.{own}")]
     left = tagged.alias("_d").join(gone.alias("_g"), same, "left_anti")
     single = left.alias("_d").join(again.alias("_g"), same, "left_anti")
-    repeated = left.alias("_d").join(again.alias("_g"), same, "left_semi").dropDuplicates(["doc_id", "_sha"])
-    return single.unionByName(repeated).drop("_sha")
+    repeated = left.alias("_d").join(again.alias("_g"), same, "left_semi").dropDuplicates(["doc_id", own])
+    return single.unionByName(repeated).drop(own)

@@ -79,24 +79,17 @@ def blocks(page: str) -> list[Block]:
 
     links = [0]
     at = 0
-    skip = ""
-    for token in TOKEN.finditer(page):
-        if token.start() < at:
-            continue
-        if not skip:
-            add(page[at:token.start()])
+    while (token := TOKEN.search(page, at)) is not None:
+        add(page[at:token.start()])
         at = token.end()
         if token[2] is None:
             continue
         name, end = token[2].lower(), bool(token[1])
-        if skip:
-            if end and name == skip:
-                skip = ""
-            continue
         if name in RAW and not end:
             flush()
             if not token[0].endswith("/>"):
-                skip = name
+                closing = re.compile(f"</{name}(?![^\\s/>])[^>]*>", re.I).search(page, at)
+                at = closing.end() if closing else len(page)
             continue
         if name == "br":
             add(" ")
@@ -123,8 +116,7 @@ def blocks(page: str) -> list[Block]:
                 value = m[2] or m[3] or m[4] or ""
                 tokens += [f"{m[1].lower()}={v}" for v in re.split(r"[^a-z0-9]+", value.lower()) if v]
             stack.append((name, tokens))
-    if not skip:
-        add(page[at:])
+    add(page[at:])
     flush()
     return out
 

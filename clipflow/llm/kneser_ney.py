@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import block_count, drop_rows, if_small, stored, volume
+from .common import block_count, bundled, drop_rows, if_small, stored, unbundled, volume
 
 ORDER = 4
 FOLDS = 2
@@ -94,7 +94,8 @@ def _by_model(docs: pa.Table) -> Iterator[tuple[str, list, list[str]]]:
 
 
 def _seen(order: int):
-    def run(docs, labels):
+    def run(bundles, labels):
+        docs = unbundled(bundles, ("doc_id", "model", "text"))
         trusted = set(labels["doc_id"].to_pylist())
         found: dict[tuple[str, str], int] = {}
         for model, ids, texts in _by_model(docs):
@@ -102,7 +103,7 @@ def _seen(order: int):
             weight = np.repeat([i in trusted for i in ids], np.diff(np.append(starts, len(codes))))
             for name, n in zip(names, np.bincount(codes, weight, len(names)).tolist()):
                 found[model, name] = found.get((model, name), 0) + int(n)
-        block = docs["block"][0].as_py() if docs.num_rows else 0
+        block = bundles["block"][0].as_py() if bundles.num_rows else 0
         keys = list(found)
         return pa.table({
             "block": pa.array([block] * len(keys), pa.int32()),
@@ -115,7 +116,8 @@ def _seen(order: int):
 
 
 def _scored(order: int):
-    def run(docs, answers):
+    def run(bundles, answers):
+        docs = unbundled(bundles, ("doc_id", "model", "text"))
         bits = dict(zip(zip(answers["model"].to_pylist(), answers["gram"].to_pylist()), answers["bits"].to_pylist()))
         trusted = {g for model, g in bits if model is None}
         out: list[list] = [[], [], [], [], []]
@@ -205,11 +207,11 @@ def perplexity(docs: DataFrame, trusted: DataFrame, order: int = ORDER, folds: i
     key = F.when(F.col("doc_id").isNull(), F.xxhash64(text)).otherwise(F.xxhash64(F.col("doc_id").cast("bigint")))
     block = F.pmod(key, F.lit(n)).cast("int").alias("block")
     fold = F.pmod(F.shiftrightunsigned(key, 40), F.lit(folds))
-    blocks = docs.select(
+    blocks = bundled(docs.select(
         block, F.col("doc_id").cast("bigint").alias("doc_id"),
         F.concat(fold.cast("string"), F.lit(":"), F.coalesce(F.col("lang"), F.lit(""))).alias("model"),
         text.cast("binary").alias("text"),
-    )
+    ))
     ids = trusted.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
     marks = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block"), "doc_id")
     seen = stored(

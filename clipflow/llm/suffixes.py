@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import attach, block_count, stored, volume
+from .common import attach, block_count, bundled, stored, unbundled, volume
 from .exact import digests
 
 LENGTH = 100
@@ -47,6 +47,7 @@ NO_ID = np.iinfo(np.int64).max
 #: Kinds of rows that are no shard or bucket.
 WITHIN, LEADING = -1, -2
 
+COLUMNS = ("doc_id", "mark", "data")
 NAMED = "shard int, block int, hashes binary, times binary"
 REPEATED = "block int, hashes binary, frequent binary, n bigint"
 SUFFIXES = "bucket int, block int, bytes binary, sizes binary, anchors binary, doc binary, mark binary, start binary"
@@ -169,16 +170,17 @@ def _unpack(column, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
-def _block_number(docs) -> int:
-    return docs["block"][0].as_py() if docs.num_rows else 0
+def _block_number(bundles) -> int:
+    return bundles["block"][0].as_py() if bundles.num_rows else 0
 
 
 def _naming(length: int, gram: int, n_shards: int):
     values = _byte_values()
 
-    def run(docs, copies):
+    def run(bundles, copies):
+        docs = unbundled(bundles, COLUMNS)
         skip = _copied(copies)
-        block = _block_number(docs)
+        block = _block_number(bundles)
         hashes, leading = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
         for _, doc, mark, text, again in _ordered(docs):
             if again or len(text) < length or (doc, mark) in skip:
@@ -270,13 +272,14 @@ class _Out:
 def _dealing(length: int, gram: int, splitters: np.ndarray, n_buckets: int):
     values = _byte_values()
 
-    def run(docs, listed):
+    def run(bundles, listed):
+        docs = unbundled(bundles, COLUMNS)
         kinds = np.array(listed["copy"].to_pylist(), bool)
         skip = _copied(listed.filter(pa.array(kinds)))
         answers = listed.filter(pa.array(~kinds))
         repeated_hashes = np.unique(_unpack(answers["hashes"], "<u8"))
         frequent_hashes = np.unique(_unpack(answers["frequent"], "<u8"))
-        out = _Out(_block_number(docs))
+        out = _Out(_block_number(bundles))
         for _, doc, mark, text, again in _ordered(docs):
             if again or len(text) < length or (doc, mark) in skip:
                 continue
@@ -415,7 +418,8 @@ def _within(length: int):
 
 
 def _cutting(length: int, rest: bool):
-    def run(docs, marks_and_copies):
+    def run(bundles, marks_and_copies):
+        docs = unbundled(bundles, (*COLUMNS, "rest"))
         kinds = np.array(marks_and_copies["copy"].to_pylist(), bool)
         skip = _copied(marks_and_copies.filter(pa.array(kinds)))
         marks = marks_and_copies.filter(pa.array(~kinds))
@@ -470,13 +474,15 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, rest: l
     text = F.coalesce(F.col("text"), F.lit(""))
     key = F.pmod(F.xxhash64("doc_id", "mark"), F.lit(n_blocks)).cast("int").alias("block")
 
+    carry = F.struct(*[F.col(f"`{c}`") for c in rest or ()]).alias("rest")
+
     def blocks(carried: bool) -> DataFrame:
-        more = [F.struct(*rest).alias("rest")] if carried and rest else []
+        more = [carry] if carried and rest else []
         rows = docs.select(
             F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text, F.lit("content")).alias("mark"),
             text.cast("binary").alias("data"), *more,
         )
-        return rows.select(key, *rows.columns).groupBy("block")
+        return bundled(rows.select(key, *rows.columns)).groupBy("block")
 
     facts = stored(digests(docs), "digests")
     firsts = facts.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
@@ -524,7 +530,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, rest: l
         T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType()),
     ])
     if rest:
-        schema = schema.add("rest", docs.select(F.struct(*rest).alias("rest")).schema["rest"].dataType)
+        schema = schema.add("rest", docs.select(carry).schema["rest"].dataType)
     return blocks(True).cogroup(cuts.groupBy("block")).applyInArrow(_cutting(length, bool(rest)), schema)
 
 

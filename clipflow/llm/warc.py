@@ -147,6 +147,7 @@ def plan_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     response. Rows without an id come last. Of rows that repeat id and payload one is the first, the others revisit
     the same response as it does, or it.
     """
+    pages = pages.select("page_id", "url", "html")
     html = F.coalesce(F.col("html"), F.lit(""))
     key = F.coalesce(F.col("page_id").cast("bigint"), F.lit(NO_ID))
     facts = stored(pages.select(key.alias("page"), F.sha1(html).alias("sha"), F.octet_length(html).alias("n")), "facts")
