@@ -183,7 +183,10 @@ def _crowded(members: DataFrame, max_bits: int) -> DataFrame:
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS, pairwise: int = PAIRWISE) -> DataFrame:
-    """Edges ``u, v`` between distinct fingerprints (column ``fp``) that connect all within ``max_bits`` (1 to 3)."""
+    """Edges ``u, v`` between distinct fingerprints (column ``fp``) that connect all within ``max_bits`` (1 to 3).
+
+    An edge says that its ends are connected, by a link or a chain of them.
+    """
     if not 1 <= max_bits <= 3:
         raise ValueError("two segments serve distances of 1 to 3 bits")
 
