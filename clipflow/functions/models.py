@@ -16,6 +16,7 @@ from .text import words
 
 Captioner = Callable[[Column, Column], Column]
 Translator = Callable[[Column], Column]
+Summarizer = Callable[[Column], Column]
 
 #: Words a caption may have after the echoed prompt.
 MAX_CAPTION_WORDS = 100
@@ -61,6 +62,18 @@ def udf_captioner(load: Callable[[], Callable[[pd.Series, pd.Series], pd.Series]
     return caption.asNondeterministic()
 
 
+def udf_summarizer(load: Callable[[], Callable[[pd.Series], pd.Series]]) -> Summarizer:
+    """Wrap a Python model of texts: ``load`` runs once per worker stream, the model per Arrow batch."""
+
+    @F.pandas_udf("string")
+    def summary(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for texts in batches:
+            yield model(texts)
+
+    return summary.asNondeterministic()
+
+
 def lookup_translator(translations: dict[str, str]) -> Translator:
     """A fixed phrase table as translator; unknown texts count as failures."""
     pairs = [F.lit(x) for pair in translations.items() for x in pair]

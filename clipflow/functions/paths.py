@@ -13,7 +13,8 @@ CAPTION_LAYOUT = "csv_captions"
 SUBTITLE_LAYOUT = "srt_captions"
 SUMMARY_LAYOUT = "summary"
 
-_EXTENSION = r"(?<=[^/.])\.[^./]*$"
+# The last dot and what follows it, if something else than dots stands before it in the base name.
+_EXTENSION = r"(?s)^(?:.*/)?\.*[^./][^/]*?(\.[^./]*)$"
 
 
 def stem(name, suffix: str = CONTAINER) -> Column:
@@ -27,11 +28,11 @@ def base_name(path) -> Column:
 
 def root(path) -> Column:
     """The path without its extension; leading-dot names have none."""
-    return F.regexp_replace(as_col(path), _EXTENSION, "")
+    return F.substr(as_col(path), F.lit(1), F.length(as_col(path)) - F.length(extension(path)))
 
 
 def extension(path) -> Column:
-    return F.regexp_extract(as_col(path), _EXTENSION, 0)
+    return F.regexp_extract(as_col(path), _EXTENSION, 1)
 
 
 def needs_convert(path) -> Column:

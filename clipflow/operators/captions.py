@@ -4,19 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.arith import as_col
-from ..functions.models import NO_CAPTION, Captioner, statistics_captioner
+from ..functions import clips as fc
+from ..functions.arith import as_col, int_div
+from ..functions.models import MAX_CAPTION_WORDS, NO_CAPTION, Captioner, cap_caption, statistics_captioner
 from .frames import full_clips
 
 
 def caption_clips(
-    gathered: DataFrame, prompt: str | Column, length: int, captioner: Captioner | None = None, payload: str = "payload"
+    gathered: DataFrame,
+    prompt: str | Column,
+    length: int,
+    captioner: Captioner | None = None,
+    payload: str = "payload",
+    max_length: int = MAX_CAPTION_WORDS,
 ) -> DataFrame:
-    """``video_id, clip_no, caption`` of every fully fetched clip."""
-    hook = captioner or statistics_captioner()
+    """``video_id, clip_no, caption`` of every fully fetched clip, of at most ``max_length`` words after the prompt."""
+    hook = captioner or statistics_captioner(max_length)
     echoed = F.lit(prompt) if isinstance(prompt, str) else prompt
-    return full_clips(gathered, length).select(
-        "video_id", "clip_no", hook(as_col(payload), echoed).alias("caption")
+    said = full_clips(gathered, length).select(
+        "video_id", "clip_no", hook(as_col(payload), echoed).alias("caption"), echoed.alias("_prompt")
+    )
+    return _capped(said, captioner, max_length).drop("_prompt")
+
+
+def _capped(said: DataFrame, captioner: Captioner | None, max_length: int) -> DataFrame:
+    """The default captioner keeps to the limit; any other model's answer is held to it."""
+    if captioner is None:
+        return said
+    echo = F.col("caption").startswith(F.col("_prompt"))
+    after = F.when(echo, F.substr("caption", F.length("_prompt") + 1)).otherwise(F.col("caption"))
+    return said.withColumn(
+        "caption", F.concat(F.when(echo, F.col("_prompt")).otherwise(F.lit("")), cap_caption(after, max_length))
     )
 
 
@@ -33,11 +51,18 @@ def sentinel_captions(spans: DataFrame, captions: DataFrame) -> DataFrame:
 
 
 def caption_images(
-    images: DataFrame, prompt: str, captioner: Captioner | None = None, keep: tuple[str, ...] = ()
+    images: DataFrame,
+    prompt: str,
+    captioner: Captioner | None = None,
+    keep: tuple[str, ...] = (),
+    max_length: int = MAX_CAPTION_WORDS,
 ) -> DataFrame:
     """One caption per image: a clip of a single frame, without a length guard."""
-    hook = captioner or statistics_captioner()
-    return images.select("image_id", *keep, hook(F.array("payload"), F.lit(prompt)).alias("caption"))
+    hook = captioner or statistics_captioner(max_length)
+    said = images.select(
+        "image_id", *keep, hook(F.array("payload"), F.lit(prompt)).alias("caption"), F.lit(prompt).alias("_prompt")
+    )
+    return _capped(said, captioner, max_length).drop("_prompt")
 
 
 def missing_captions(videos: DataFrame, captions: DataFrame) -> DataFrame:
@@ -48,5 +73,14 @@ def missing_captions(videos: DataFrame, captions: DataFrame) -> DataFrame:
     return videos.join(captions.select("video_id").distinct(), "video_id", "left_anti")
 
 
+def complete_videos(videos: DataFrame, captions: DataFrame, length: int, stride: int) -> DataFrame:
+    """Videos of the catalog all of whose planned clips are stored."""
+    h = fc.sample_count("n_frames", stride)
+    planned = F.when(F.col("n_frames") > 0, F.greatest(F.lit(1).cast("bigint"), int_div(h, length))).otherwise(0)
+    held = captions.groupBy("video_id").agg(F.count_distinct("clip_no").alias("_held"))
+    known = videos.select("video_id", planned.alias("_planned")).join(held, "video_id")
+    return known.filter(F.col("_held") >= F.col("_planned")).select("video_id")
+
+
 def extend_captions(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     return stored.unionByName(fresh)

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import media, paths
-from ..functions.arith import int_div
 from ..functions.models import Translator
-from ..session import PART_CHARS, setting
-from .skew import HotKeys, carry_forward, running_totals
+from .skew import HotKeys, carry_forward
 
 #: Own wording of every reply: status, language, position, side, kind, text.
 #: ``kind`` names what fills the entry; ``text`` entries use the wording as it is.
@@ -104,6 +102,11 @@ def translate_with_fallback(
     )
 
 
+def reply_language(lang: str) -> Column:
+    """Italian where that is asked for; everything else, NULL too, is answered in English."""
+    return F.when(F.col(lang) == "it", "it").otherwise("en")
+
+
 def reply_rows(turns: DataFrame, catalog: DataFrame) -> DataFrame:
     """Ordered replies ``conv_id, turn, pos, user, bot`` of every turn.
 
@@ -111,6 +114,7 @@ def reply_rows(turns: DataFrame, catalog: DataFrame) -> DataFrame:
     upload, the answer); the catalog fans each out. The catalog is a fixed list of
     a few dozen rows and is broadcast.
     """
+    turns = turns.withColumn("lang", reply_language("lang"))
     translated = F.when(F.col("translation").isNotNull(), "translated").otherwise("untranslated")
     answer = (
         F.when(F.col("active_video") == "", F.lit("no_video"))
@@ -141,20 +145,13 @@ def reply_rows(turns: DataFrame, catalog: DataFrame) -> DataFrame:
     )
 
 
-def chat_history(replies: DataFrame, hot: HotKeys | None = None) -> DataFrame:
-    """Entries of a session in order: ``conv_id, part_no, history``.
+def chat_history(replies: DataFrame) -> DataFrame:
+    """Entries of a session in order in one value: ``conv_id, history``.
 
-    A session whose entries outgrow one cell continues in further parts.
+    ``reply_rows`` ordered by ``turn, pos`` is the form for sessions of any size.
     """
-    size = F.length(F.concat(F.coalesce("user", F.lit("")), F.coalesce("bot", F.lit("")))).cast("bigint") + 16
-    placed = running_totals(replies, "conv_id", ["turn", "pos"], {"_at": size}, hot=hot)
-    limit = setting(replies.sparkSession, PART_CHARS)
     entry = F.struct("turn", "pos", "user", "bot")
-    return (
-        placed.groupBy("conv_id", int_div("_at", limit).alias("part_no"))
-        .agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
-        .select(
-            "conv_id", "part_no",
-            F.transform("_entries", lambda e: F.struct(e["user"].alias("user"), e["bot"].alias("bot"))).alias("history"),
-        )
+    entries = replies.groupBy("conv_id").agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
+    return entries.select(
+        "conv_id", F.transform("_entries", lambda e: F.struct(e["user"].alias("user"), e["bot"].alias("bot"))).alias("history")
     )

@@ -6,29 +6,23 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as ft
 from ..functions.arith import int_div, let
-from ..session import PART_CHARS, setting
 from .skew import HotKeys, hot_keys, running_totals
 
 
-def join_text(
-    rows: DataFrame, key: str, order: str, text: str, sep: str = " ", out: str = "text", hot: HotKeys | None = None
-) -> DataFrame:
-    """Join the texts of a key in order: ``key, part_no, out``.
+def join_text(rows: DataFrame, key: str, order: str, text: str, sep: str = " ", out: str = "text") -> DataFrame:
+    """Join the texts of a key in order into one value: ``key, out``.
 
-    A document longer than one cell should hold goes on in further parts; joining
-    the parts of a key in order with ``sep`` gives the whole text.
+    The rows in order are the form for any size; this one is for texts that one cell can hold,
+    and fails where one cannot.
     """
-    size = F.length("_text").cast("bigint") + len(sep)
-    texts = rows.select(key, order, F.coalesce(text, F.lit("")).alias("_text"))
-    placed = running_totals(texts, key, [order], {"_at": size}, hot=hot)
-    return group_parts(placed, key, order, sep, out)
+    texts = rows.select(key, F.col(order).alias("_no"), F.coalesce(text, F.lit("")).alias("_text"))
+    return texts.groupBy(key).agg(joined("_text", "_no", sep).alias(out))
 
 
-def group_parts(placed: DataFrame, key: str, order: str, sep: str, out: str) -> DataFrame:
-    """Group rows that know their character offset ``_at`` into parts of bounded size."""
-    limit = setting(placed.sparkSession, PART_CHARS)
-    joined = F.expr(f"listagg(_text, '{sep}') within group (order by `{order}`)")
-    return placed.groupBy(key, int_div("_at", limit).alias("part_no")).agg(joined.alias(out))
+def joined(text: str, order: str, sep: str) -> Column:
+    """The texts of a group in order, as an aggregate."""
+    entries = F.array_sort(F.collect_list(F.struct(F.col(order).alias("no"), F.col(text).alias("text"))))
+    return F.array_join(F.transform(entries, lambda e: e["text"]), sep)
 
 
 def word_chunks(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import clips as fc, media
 from ..functions.arith import int_div
+from .clips import plan_clips
 from .skew import HotKeys, hot_keys, lookup
 
 CLIP_KEY = ("video_id", "clip_no")
@@ -27,43 +28,30 @@ def assemble_clips(
 ) -> DataFrame:
     """Gather planned clips straight from the frame table, without a join.
 
-    The clip of a frame follows from its number. The catalog only has to say which
-    videos are padded and where the last full clip ends, so it adds one marker row
-    to the first and one to the trailing clip of a video, and the payload is
-    shuffled once, by clip. Returns the same rows as ``plan_clips`` followed by
-    ``gather_frames``.
+    The clip of a frame follows from its number. The catalog says which clips are planned
+    by one small marker row for each, so the payload is shuffled once, by clip. Frames beyond the
+    catalog's count and of videos it does not hold belong to no clip. Returns the same rows as
+    ``plan_clips`` followed by ``gather_frames``.
     """
-    fc.check_plan(length, stride)
     samples = frames.filter(fc.on_stride("frame_idx", stride)).withColumn("_s", int_div("frame_idx", stride))
     rows = samples.select(
         "video_id",
         int_div("_s", length).alias("clip_no"),
         F.struct(F.col("_s").alias("s"), F.col(payload).alias("v")).alias("_frame"),
         F.lit(None).cast("bigint").alias("_h"),
-        F.lit(False).alias("_tail"),
     )
-    h = fc.sample_count("n_frames", stride)
-    markers = (
-        videos.filter(F.col("n_frames") > 0)
-        .select("video_id", h.alias("_h"))
-        .withColumn("clip_no", F.explode(F.array_distinct(F.array(F.lit(0).cast("bigint"), int_div("_h", length)))))
-        .select(
-            "video_id",
-            "clip_no",
-            F.lit(None).cast(rows.schema["_frame"].dataType).alias("_frame"),
-            "_h",
-            ((F.col("_h") >= length) & (F.col("clip_no") == int_div("_h", length))).alias("_tail"),
-        )
+    markers = plan_clips(videos, length, stride, keep=("n_frames",)).select(
+        "video_id", "clip_no",
+        F.lit(None).cast(rows.schema["_frame"].dataType).alias("_frame"),
+        fc.sample_count("n_frames", stride).alias("_h"),
     )
     grouped = (
         rows.unionByName(markers)
         .groupBy(*CLIP_KEY)
-        .agg(
-            F.array_sort(F.collect_list("_frame")).alias("_found"),
-            F.max("_h").alias("_h"),
-            F.max("_tail").alias("_tail"),
-        )
-        .filter(~F.col("_tail") & (F.size("_found") > 0))
+        .agg(F.array_sort(F.collect_list("_frame")).alias("_all"), F.max("_h").alias("_h"))
+        .filter(F.col("_h").isNotNull())  # planned
+        .withColumn("_found", F.filter("_all", lambda f: f["s"] < F.col("_h")))
+        .filter(F.size("_found") > 0)
     )
     last = F.lit(length - 1).cast("bigint")
     repeated = F.array_sort(

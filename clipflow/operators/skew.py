@@ -70,12 +70,24 @@ def lookup(facts: DataFrame, dim: DataFrame, key: str, hot: HotKeys, how: str =
     """
     if not hot:
         return facts.join(dim, key, how)
-    salts = _slices(facts, hot)
-    values = [c for c in facts.columns if c != key]
-    spread = F.pmod(F.xxhash64(*values), F.lit(salts)).cast("int") if values else F.lit(0)
-    copies = F.when(is_hot(key, hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted = facts.withColumn(SALT, F.when(is_hot(key, hot), spread).otherwise(F.lit(0)))
-    return salted.join(dim.withColumn(SALT, F.explode(copies)), [key, SALT], how).drop(SALT)
+    salts = _salts(facts, key, hot)
+    values = [c for c, kind in facts.dtypes if c != key and not kind.startswith(("array", "map", "struct", "binary"))]
+    spread = F.pmod(F.xxhash64(*values), salts).cast("int") if values else F.lit(0)
+    copies = F.explode(F.sequence(F.lit(0), _salts(facts, key, hot) - 1))
+    salted = facts.withColumn(SALT, spread)
+    return salted.join(dim.withColumn(SALT, copies), [key, SALT], how).drop(SALT)
+
+
+def _salts(facts: DataFrame, key: str, hot: HotKeys) -> Column:
+    """Tasks a key's rows are spread over: by its own count, in powers of two; one for keys that are not hot."""
+    rows = setting(facts.sparkSession, HOT_ROWS)
+    steps: dict[int, list] = {}
+    for value, count in hot.items():
+        steps.setdefault(1 << max(1, math.ceil(math.log2(count / rows))), []).append(value)
+    salts = F.lit(1)
+    for n, keys in sorted(steps.items()):
+        salts = F.when(F.col(key).isin(keys), n).otherwise(salts)
+    return F.coalesce(salts, F.lit(1))
 
 
 def running_totals(

@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as ft, timecode as tc
-from .documents import group_parts
+from .documents import joined
 from .skew import HotKeys, hot_keys, lookup, running_totals
 
-#: Room for cue number, timecodes and line breaks when parts are sized.
-CUE_OVERHEAD = 64
-
 
 def subtitle_cues(
     captions: DataFrame,
@@ -20,7 +17,7 @@ def subtitle_cues(
     hot: HotKeys | None = None,
 ) -> DataFrame:
     """Numbered cues ``video_id, cue_no, start_tc, end_tc, text`` in clip order."""
-    return _cues(captions, videos, prompt, strip_newlines, hot).drop("_at")
+    return _cues(captions, videos, prompt, strip_newlines, hot)
 
 
 def subtitle_documents(
@@ -30,12 +27,21 @@ def subtitle_documents(
     strip_newlines: bool = False,
     hot: HotKeys | None = None,
 ) -> DataFrame:
-    """Subtitle text per video: ``video_id, part_no, body``; parts follow each other."""
+    """Subtitle text per video in one value: ``video_id, body``. ``subtitle_blocks`` is the form for any size."""
+    blocks = subtitle_blocks(captions, videos, prompt, strip_newlines, hot)
+    return blocks.groupBy("video_id").agg(joined("block", "cue_no", "").alias("body"))
+
+
+def subtitle_blocks(
+    captions: DataFrame,
+    videos: DataFrame,
+    prompt: str | Column = "",
+    strip_newlines: bool = False,
+    hot: HotKeys | None = None,
+) -> DataFrame:
+    """The written form of every cue: ``video_id, cue_no, block``; a video's blocks in order are its subtitles."""
     cues = _cues(captions, videos, prompt, strip_newlines, hot)
-    blocks = cues.select(
-        "video_id", "cue_no", "_at", tc.cue_block("cue_no", "start_tc", "end_tc", "text").alias("_text")
-    )
-    return group_parts(blocks, "video_id", "cue_no", "", "body")
+    return cues.select("video_id", "cue_no", tc.cue_block("cue_no", "start_tc", "end_tc", "text").alias("block"))
 
 
 def _cues(captions, videos, prompt, strip_newlines, hot) -> DataFrame:
@@ -53,7 +59,7 @@ def _cues(captions, videos, prompt, strip_newlines, hot) -> DataFrame:
         timed,
         "video_id",
         ["clip_no"],
-        {"cue_no": F.lit(1).cast("bigint"), "_at": F.length("text").cast("bigint") + CUE_OVERHEAD},
+        {"cue_no": F.lit(1).cast("bigint")},
         hot=hot,
     )
     return numbered.select(
@@ -62,5 +68,4 @@ def _cues(captions, videos, prompt, strip_newlines, hot) -> DataFrame:
         tc.timecode("start_frame", "fps").alias("start_tc"),
         tc.timecode("end_frame", "fps").alias("end_tc"),
         "text",
-        "_at",
     )

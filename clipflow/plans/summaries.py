@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as ft
-from ..operators.documents import word_chunks
+from ..functions.models import Summarizer
+from ..operators.documents import join_text, word_chunks
 from ..operators.skew import HotKeys, hot_keys, running_totals, split_hot
 from ..operators.summary import MAX_WORDS, MIN_WORDS, summarize_pieces, summarize_rows
 
+# Words per chunk, the count below which a text is passed on, characters of a head.
 #: Words per chunk, and the count below which a text is passed on unsummarised.
 CHUNK_WORDS = 512
 ROUTE_WORDS = 130
@@ -19,10 +21,18 @@ def stripped(captions: DataFrame, prompt: str) -> DataFrame:
     return captions.select("video_id", "clip_no", ft.strip_prompt("caption", prompt).alias("caption"))
 
 
-def hierarchical_summary(captions: DataFrame, prompt: str, hot: HotKeys | None = None) -> DataFrame:
-    """Summarise chunks of the joined captions, then their joined summaries."""
+def hierarchical_summary(
+    captions: DataFrame, prompt: str, hot: HotKeys | None = None, model: Summarizer | None = None
+) -> DataFrame:
+    """Summarise chunks of the joined captions, then their joined summaries.
+
+    With a ``model`` every chunk and every joined text of ``ROUTE_WORDS`` words or more goes through it; shorter
+    ones pass as they are and never reach it.
+    """
     hot = hot_keys(captions, "video_id") if hot is None else hot
     texts = stripped(captions, prompt)
+    if model is not None:
+        return _two_levels_by_model(texts, hot, model)
     if not hot:
         return _two_levels(texts, {})
     cold_rows, hot_rows = split_hot(texts, "video_id", hot)
@@ -41,14 +51,40 @@ def _two_levels(texts: DataFrame, hot: HotKeys) -> DataFrame:
     )
 
 
-def oneshot_summary(captions: DataFrame, prompt: str = "", hot: HotKeys | None = None) -> DataFrame:
-    """Summarise all captions of a video in one go."""
+def _two_levels_by_model(texts: DataFrame, hot: HotKeys, model: Summarizer) -> DataFrame:
+    chunks = word_chunks(texts, "video_id", "clip_no", "caption", CHUNK_WORDS, ROUTE_WORDS, hot)
+    parts = _through(chunks, ["video_id", "chunk_no"], "chunk", F.col("n_words"), model)
+    whole = join_text(parts, "video_id", "chunk_no", "summary").select("video_id", F.col("text").alias("_whole"))
+    done = _through(whole, ["video_id"], "_whole", ft.word_count("_whole"), model)
+    # a video whose captions hold no word has no chunk; its summary is empty
+    return texts.select("video_id").distinct().join(done, "video_id", "left").fillna({"summary": ""})
+
+
+def _through(texts: DataFrame, keys: list[str], text: str, n_words: Column, model: Summarizer) -> DataFrame:
+    """Texts that are long enough through the model, the others past it."""
+    counted = texts.select(*keys, F.col(text).alias("_text"), n_words.alias("_n"))
+    long = counted.filter(F.col("_n") >= ROUTE_WORDS).select(*keys, model(F.col("_text")).alias("summary"))
+    short = counted.filter(F.col("_n") < ROUTE_WORDS).select(*keys, F.col("_text").alias("summary"))
+    return long.unionByName(short)
+
+
+def oneshot_summary(
+    captions: DataFrame, prompt: str = "", hot: HotKeys | None = None, model: Summarizer | None = None
+) -> DataFrame:
+    """Summarise all captions of a video in one go; a ``model`` gets the joined text in one value."""
+    if model is not None:
+        whole = join_text(stripped(captions, prompt), "video_id", "clip_no", "caption")
+        return whole.select("video_id", model(F.col("text")).alias("summary"))
     hot = hot_keys(captions, "video_id") if hot is None else hot
     return summarize_pieces(stripped(captions, prompt), "video_id", "clip_no", "caption", hot)
 
 
 def head_summary(
-    captions: DataFrame, prompt: str, limit: int = HEAD_CHARS, hot: HotKeys | None = None
+    captions: DataFrame,
+    prompt: str,
+    limit: int = HEAD_CHARS,
+    hot: HotKeys | None = None,
+    model: Summarizer | None = None,
 ) -> DataFrame:
     """Summarise the first ``limit`` characters of the joined captions.
 
@@ -61,4 +97,6 @@ def head_summary(
         F.expr("listagg(caption, ' ') within group (order by clip_no)").alias("_joined")
     )
     heads = joined.select("video_id", ft.head_chars("_joined", limit).alias("head"))
+    if model is not None:
+        return heads.select("video_id", model(F.col("head")).alias("summary"))
     return summarize_rows(heads, ["video_id"], "head")

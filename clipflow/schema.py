@@ -22,6 +22,7 @@ SUMMARIES = _schema(("video_id", LONG), ("summary", TEXT))
 MESSAGES = _schema(("conv_id", LONG), ("turn", LONG), ("text", TEXT), ("files", T.ArrayType(TEXT)))
 
 # Header names of the exchanged CSV files.
-CAPTION_CSV = _schema(("Start", LONG), ("End", LONG), ("Caption", TEXT))
-SCORE_CSV = _schema(("Prompt", TEXT), ("Probs", REAL))
-SUMMARY_CSV = _schema(("Summary", TEXT))
+CAPTION_CSV = _schema(("VideoId", LONG), ("Stem", TEXT), ("Start", LONG), ("End", LONG), ("Caption", TEXT))
+SCORE_CSV = _schema(("VideoId", LONG), ("Stem", TEXT), ("Prompt", TEXT), ("Probs", REAL))
+SUMMARY_CSV = _schema(("VideoId", LONG), ("Stem", TEXT), ("Summary", TEXT))
+SUBTITLE_CSV = _schema(("VideoId", LONG), ("Stem", TEXT), ("No", LONG), ("Cue", TEXT))

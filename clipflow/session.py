@@ -12,8 +12,6 @@ from pyspark.sql import SparkSession
 
 #: Rows of one key above which its rows are split over several tasks.
 HOT_ROWS = ("spark.clipflow.hotRows", 500_000)
-#: Characters after which a per-key document continues in a further part.
-PART_CHARS = ("spark.clipflow.partChars", 32_000_000)
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .. import schema
 from ..functions import paths
 
-#: Output folders, one level per coordinate of a run.
-COORDINATES = ("experiment", "video_folder", "stem")
-#: Rows per CSV file. A quoted CSV with line breaks is read by one task per file.
+#: Output folders: one level per coordinate of a run, however many videos it has.
+COORDINATES = ("experiment", "video_folder")
+#: What tells the rows of one video from another's, inside the files.
+VIDEO = ("video_id", "stem")
+#: Rows per CSV file at most. Rebalanced partitions bound files by bytes beforehand.
 ROWS_PER_FILE = 1_000_000
 
 _CSV = {"header": "true", "escape": '"'}
@@ -24,10 +26,10 @@ def with_coordinates(rows: DataFrame, experiment: str, folder: str, name) -> Dat
 
 
 def write_captions(captions: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """``Start, End, Caption`` per video; needs the run coordinates as columns."""
+    """``VideoId, Stem, Start, End, Caption``; needs the run coordinates as columns."""
     _write_csv(
         captions.select(
-            *COORDINATES,
+            *COORDINATES, *_named_video(),
             F.col("start_frame").alias("Start"), F.col("end_frame").alias("End"), F.col("caption").alias("Caption"),
         ),
         path, COORDINATES, mode,
@@ -37,46 +39,50 @@ def write_captions(captions: DataFrame, path: str, mode: str = "errorifexists")
 def read_captions(spark: SparkSession, path: str) -> DataFrame:
     rows = _read_csv(spark, path, schema.CAPTION_CSV, COORDINATES)
     return rows.select(
-        *COORDINATES,
+        *COORDINATES, *_read_video(),
         F.col("Start").alias("start_frame"), F.col("End").alias("end_frame"), F.col("Caption").alias("caption"),
     )
 
 
 def write_scores(scores: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """``Prompt, Probs`` per video."""
+    """``VideoId, Stem, Prompt, Probs``."""
     _write_csv(
-        scores.select(*COORDINATES, F.col("prompt").alias("Prompt"), F.col("prob").alias("Probs")),
+        scores.select(*COORDINATES, *_named_video(), F.col("prompt").alias("Prompt"), F.col("prob").alias("Probs")),
         path, COORDINATES, mode,
     )
 
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
     rows = _read_csv(spark, path, schema.SCORE_CSV, COORDINATES)
-    return rows.select(*COORDINATES, F.col("Prompt").alias("prompt"), F.col("Probs").alias("prob"))
+    return rows.select(*COORDINATES, *_read_video(), F.col("Prompt").alias("prompt"), F.col("Probs").alias("prob"))
 
 
 def write_summaries(summaries: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """``Summary`` per video, by experiment."""
-    keys = ("experiment", "stem")
-    _write_csv(summaries.select(*keys, F.col("summary").alias("Summary")), path, keys, mode)
+    """``VideoId, Stem, Summary``, by experiment."""
+    _write_csv(
+        summaries.select("experiment", *_named_video(), F.col("summary").alias("Summary")), path, ("experiment",), mode
+    )
 
 
 def read_summaries(spark: SparkSession, path: str) -> DataFrame:
-    rows = _read_csv(spark, path, schema.SUMMARY_CSV, ("experiment", "stem"))
-    return rows.select("experiment", "stem", F.col("Summary").alias("summary"))
+    rows = _read_csv(spark, path, schema.SUMMARY_CSV, ("experiment",))
+    return rows.select("experiment", *_read_video(), F.col("Summary").alias("summary"))
+
 
+def write_subtitles(blocks: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """``VideoId, Stem, No, Cue``: one row per cue in its written form, a video's cues in order.
 
-def write_subtitles(documents: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One text file per document part; the parts of a video are numbered folders."""
-    body = F.regexp_replace("body", "\n\\z", "")  # the writer ends every row with a line break
-    keys = (*COORDINATES, "part_no")
-    documents.select(*keys, body.alias("value")).hint("rebalance", *keys).write.mode(mode).partitionBy(*keys).text(path)
+    Ranges over video and number divide a video that holds most cues.
+    """
+    rows = blocks.select(*COORDINATES, *_named_video(), F.col("cue_no").alias("No"), F.col("block").alias("Cue"))
+    in_order = rows.repartitionByRange("VideoId", "No").sortWithinPartitions(*COORDINATES, "VideoId", "No")
+    _csv(in_order, path, COORDINATES, mode)
 
 
 def read_subtitles(spark: SparkSession, path: str) -> DataFrame:
-    coordinates = ", ".join(f"{c} string" for c in COORDINATES)
-    rows = spark.read.schema(f"value string, {coordinates}, part_no bigint").text(path, wholetext=True)
-    return rows.select(*COORDINATES, "part_no", F.col("value").alias("body"))
+    """``video_id, stem, cue_no, block``; the blocks of a video in order are its subtitles."""
+    rows = _read_csv(spark, path, schema.SUBTITLE_CSV, COORDINATES)
+    return rows.select(*COORDINATES, *_read_video(), F.col("No").alias("cue_no"), F.col("Cue").alias("block"))
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -126,13 +132,21 @@ def stream_parquet(
     )
 
 
+def _named_video() -> list[Column]:
+    return [F.col("video_id").alias("VideoId"), F.col("stem").alias("Stem")]
+
+
+def _read_video() -> list[Column]:
+    return [F.col("VideoId").alias("video_id"), F.col("Stem").alias("stem")]
+
+
 def _write_csv(rows: DataFrame, path: str, keys, mode: str) -> None:
     # Rebalancing gathers a video's rows for few files, yet splits a huge video.
-    (
-        rows.hint("rebalance", *keys)
-        .write.mode(mode).partitionBy(*keys).options(**_CSV_WRITE)
-        .option("maxRecordsPerFile", ROWS_PER_FILE).csv(path)
-    )
+    _csv(rows.hint("rebalance", "VideoId"), path, keys, mode)
+
+
+def _csv(rows: DataFrame, path: str, keys, mode: str) -> None:
+    rows.write.mode(mode).partitionBy(*keys).options(**_CSV_WRITE).option("maxRecordsPerFile", ROWS_PER_FILE).csv(path)
 
 
 def _read_csv(spark: SparkSession, path: str, layout: T.StructType, keys) -> DataFrame:

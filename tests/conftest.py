@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from clipflow.session import HOT_ROWS, PART_CHARS, build_session
+from clipflow.session import HOT_ROWS, build_session
 
 TABLES = "/root/testdata/sf0.001"
 
@@ -37,8 +37,3 @@ def setting(spark):
 def all_hot(setting):
     """Every key with more than three rows counts as hot."""
     setting(HOT_ROWS, 3)
-
-
-@pytest.fixture
-def short_parts(setting):
-    setting(PART_CHARS, 40)

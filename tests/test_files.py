@@ -11,32 +11,42 @@ CAPTIONS = ['two\nlines and "quotes"', "", "NA", None, 'back\\slash "q\\" end',
 
 
 def test_caption_csv(spark, tmp_path):
-    rows = [(i, i * 30, i * 30 + 27, c) for i, c in enumerate(CAPTIONS)]
-    captions = spark.createDataFrame(rows, "n bigint, start_frame bigint, end_frame bigint, caption string")
+    rows = [(7, i * 30, i * 30 + 27, c) for i, c in enumerate(CAPTIONS)]
+    captions = spark.createDataFrame(rows, "video_id bigint, start_frame bigint, end_frame bigint, caption string")
     files.write_captions(files.with_coordinates(captions, "exp", "folder", F.lit("v.mp4.mp4")), str(tmp_path / "csv"))
     got = files.read_captions(spark, str(tmp_path / "csv")).orderBy("start_frame").collect()
     assert [r.caption or "" for r in got] == [c or "" for c in CAPTIONS]
-    assert {(r.experiment, r.video_folder, r.stem) for r in got} == {("exp", "folder", "v")}
-    text = next((tmp_path / "csv" / "experiment=exp" / "video_folder=folder" / "stem=v").glob("part-*")).read_text()
-    assert text.startswith("Start,End,Caption\n")
+    assert {(r.experiment, r.video_folder, r.video_id, r.stem) for r in got} == {("exp", "folder", 7, "v")}
+    text = next((tmp_path / "csv" / "experiment=exp" / "video_folder=folder").glob("part-*")).read_text()
+    assert text.startswith("VideoId,Stem,Start,End,Caption\n")
 
 
 def test_score_and_summary_csv(spark, tmp_path):
-    scores = spark.createDataFrame([("p, one", 0.25), ("two", 0.75)], "prompt string, prob double")
+    scores = spark.createDataFrame([(1, "p, one", 0.25), (1, "two", 0.75)], "video_id bigint, prompt string, prob double")
     files.write_scores(files.with_coordinates(scores, "e", "f", F.lit("v.mp4")), str(tmp_path / "scores"))
     assert {(r.prompt, r.prob) for r in files.read_scores(spark, str(tmp_path / "scores")).collect()} == {("p, one", 0.25), ("two", 0.75)}
-    done = spark.createDataFrame([('so "it\ngoes"',)], "summary string")
+    done = spark.createDataFrame([(1, 'so "it\ngoes"')], "video_id bigint, summary string")
     files.write_summaries(files.with_coordinates(done, "e", "f", F.lit("v.mp4")), str(tmp_path / "sum"))
     assert files.read_summaries(spark, str(tmp_path / "sum")).first().summary == 'so "it\ngoes"'
 
 
 def test_subtitle_files(spark, tmp_path):
-    body = "1\n00:00:00,000 --> 00:00:01,000\ntext\n\n"
-    docs = spark.createDataFrame([(0, body)], "part_no bigint, body string")
-    files.write_subtitles(files.with_coordinates(docs, "e", "f", F.lit("v.mp4")), str(tmp_path / "srt"))
-    file = next((tmp_path / "srt").rglob("part-*.txt"))
-    assert file.read_text() == body
-    assert files.read_subtitles(spark, str(tmp_path / "srt")).first().body == body
+    cues = [(v, n, f"{n}\n00:00:00,000 --> 00:00:01,000\ntext {v}\n\n") for v in range(40) for n in range(1, 4)]
+    rows = spark.createDataFrame(cues, "video_id bigint, cue_no bigint, block string")
+    files.write_subtitles(files.with_coordinates(rows, "e", "f", F.lit("v.mp4")), str(tmp_path / "srt"))
+    assert len([p for p in (tmp_path / "srt").rglob("*") if p.is_dir()]) == 2  # whatever the number of videos
+    got = files.read_subtitles(spark, str(tmp_path / "srt")).orderBy("video_id", "cue_no").collect()
+    assert [(r.video_id, r.cue_no, r.block) for r in got] == cues and {r.stem for r in got} == {"v"}
+
+
+def test_videos_of_one_stem_stay_apart(spark, tmp_path):
+    from clipflow.plans.captioning import export_captions
+
+    captions = spark.createDataFrame([(1, 0, 0, 27, "one"), (2, 0, 0, 27, "two"), (9, 0, 0, 27, "lost")], "video_id bigint, clip_no bigint, start_frame bigint, end_frame bigint, caption string")
+    videos = spark.createDataFrame([(1, "/x/a.mp4", 30.0), (2, "/y/a.mp4", 30.0)], "video_id bigint, path string, fps double")
+    got = export_captions(captions, videos, "", str(tmp_path / "out"), "e", "f").collect()
+    assert sorted((r.video_id, r.stem, r.cue_no) for r in got if r.stem) == [(1, "a", 1), (2, "a", 1)]
+    assert [r.video_id for r in got if r.stem is None] == [9]
 
 
 def test_media_listing(spark, tmp_path):

@@ -79,11 +79,56 @@ def test_frames_first_equals_join(spark, length, stride):
     same(of.clip_members(videos, frames, length, stride), of.semi_members(plan, frames).select("video_id", "frame_idx", "payload", "clip_no"))
 
 
-def test_document_parts_join_to_the_whole(spark, short_parts):
-    rows = spark.createDataFrame([(1, i, f"text {i}.") for i in range(30)], "k bigint, i bigint, t string")
-    parts = documents.join_text(rows, "k", "i", "t").orderBy("part_no").collect()
-    assert len(parts) > 5 and max(len(p.text) for p in parts) < 80
-    assert " ".join(p.text for p in parts) == " ".join(f"text {i}." for i in range(30))
+def test_joined_text(spark):
+    rows = spark.createDataFrame([(1, i, f"text {i}.") for i in range(30)] + [(2, 0, None)], "k bigint, i bigint, t string")
+    got = {r.k: r.text for r in documents.join_text(rows, "k", "i", "t", sep="'").collect()}
+    assert got == {1: "'".join(f"text {i}." for i in range(30)), 2: ""}
+
+
+@pytest.mark.parametrize("length,stride", [(5, 1), (4, 3), (8, 8)])
+def test_clips_follow_the_plan_when_frames_and_catalog_differ(spark, length, stride):
+    videos = spark.createDataFrame([(1, 20), (2, 4), (4, 70), (5, 0)], "video_id bigint, n_frames bigint")
+    frames = spark.createDataFrame([(v, i, float(v * 1000 + i)) for v in (1, 2, 3, 5) for i in range(60)], "video_id bigint, frame_idx bigint, payload double")
+    same(of.assemble_clips(videos, frames, length, stride), of.gather_frames(plan_clips(videos, length, stride), frames))
+
+
+def test_extensions_follow_the_last_dot_behind_a_name(spark):
+    from clipflow.functions import paths
+
+    names = ["/x/a..mp4", "a.b..avi", ".mp4", "/d.d/..mp4", "a.mp4", "/x.y/a", "a.", "", "...a.b"]
+    got = spark.createDataFrame([(n,) for n in names], "p string").select("p", paths.root("p"), paths.extension("p")).collect()
+    import os.path
+
+    assert [(r[1], r[2]) for r in got] == [os.path.splitext(n) for n in names]
+
+
+def test_every_language_gets_its_replies(spark):
+    turns = [(1, 0, "de"), (1, 1, None), (1, 2, "it"), (1, 3, "en")]
+    rows = spark.createDataFrame([(*t, "hi", "v.mp4", "sum", None, "ok") for t in turns], "conv_id bigint, turn bigint, lang string, text string, active_video string, summary string, translation string, status string")
+    got = chat.reply_rows(rows, chat.reply_catalog(spark)).groupBy("turn").count().collect()
+    assert {r[0]: r[1] for r in got} == {0: 5, 1: 5, 2: 7, 3: 5}
+
+
+def test_model_answers_keep_to_the_length(spark):
+    from clipflow.functions.models import udf_captioner
+
+    def load():
+        return lambda payload, prompt: prompt + payload.map(lambda v: "one two three four")
+
+    gathered = spark.createDataFrame([(1, 0, [1.0, 2.0], 2)], "video_id bigint, clip_no bigint, payload array<double>, n_fetched bigint")
+    assert caption_clips(gathered, "P: q ", 2, udf_captioner(load), max_length=3).first().caption == "P: q one two three"
+
+
+def test_lookup_copies_follow_each_keys_own_count(spark, setting):
+    from clipflow.operators import skew
+
+    setting(HOT_ROWS, 100)
+    rows = [(1, i) for i in range(1600)] + [(k, 0) for k in range(2, 50)] + [(60, i) for i in range(150)]
+    facts = spark.createDataFrame(rows, "k bigint, i bigint")
+    dim = spark.createDataFrame([(k, f"d{k}") for k in [1, 60, 70, *range(2, 49)]], "k bigint, d string")
+    hot = skew.hot_keys(facts, "k")
+    same(skew.lookup(facts, dim, "k", hot), facts.join(dim, "k", "left"))
+    assert dim.select(skew._salts(facts, "k", hot).alias("n")).agg({"n": "sum"}).first()[0] == 16 + 2 + 48
 
 
 def test_cue_text_keeps_line_breaks_unless_told(spark):
@@ -168,12 +213,10 @@ def test_active_video_keeps_and_clears(spark):
     assert got == ["", "v1", "v1", "", ""]
 
 
-def test_history_parts(spark, short_parts):
+def test_history_in_order(spark):
     rows = [(1, t, 0, f"message number {t}", None) for t in range(12)]
     replies = spark.createDataFrame(rows, "conv_id bigint, turn bigint, pos bigint, user string, bot string")
-    parts = chat.chat_history(replies).orderBy("part_no").collect()
-    assert len(parts) > 2
-    assert [e.user for p in parts for e in p.history] == [f"message number {t}" for t in range(12)]
+    assert [e.user for e in chat.chat_history(replies).first().history] == [f"message number {t}" for t in range(12)]
 
 
 def test_python_model_sees_each_full_clip_once(spark):

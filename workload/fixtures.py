@@ -65,7 +65,11 @@ def caption_catalog(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def prompts(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").filter("vec_id < 5").select(
+    return as_prompts(table(spark, sf, "embeddings").filter("vec_id < 5"))
+
+
+def as_prompts(embeddings: DataFrame) -> DataFrame:
+    return embeddings.select(
         F.col("vec_id").alias("prompt_id"),
         F.concat(F.lit("p"), F.col("vec_id").cast("string")).alias("prompt"),
         F.col("embedding").cast("array<double>").alias("vector"),

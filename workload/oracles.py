@@ -11,6 +11,9 @@ videos as (
          '/in/v_' || user_id || case user_id % 3 when 0 then '.mp4' when 1 then '.avi' else '.MP4' end as path
   from events group by user_id)"""
 
+CUT_VIDEOS = VIDEOS.replace("videos as (", "all_videos as (") + """,
+videos as (select video_id, least(n_frames, 20)::bigint as n_frames, 2.0::double as fps, path from all_videos)"""
+
 FRAMES = """
 frames as (
   select user_id as video_id, event_type, value as payload, event_id,
@@ -291,9 +294,9 @@ ORACLES = {
                  || replace(caption, {PROMPT_SQL}, '') || chr(10) || chr(10) as cue, clip_no
           from plan join captioned using (video_id, clip_no)
           join (select video_id, replace(replace(path, '/in/', ''), '.mp4', '') as path_stem from videos) using (video_id))""",
-        select="""select 'exp' as experiment, 'folder' as video_folder, path_stem as stem, 0::bigint as part_no,
-                         string_agg(cue, '' order by clip_no) as body
-                  from cues group by path_stem""",
+        select="""select 'exp' as experiment, 'folder' as video_folder, video_id, path_stem as stem,
+                         clip_no + 1 as cue_no, cue as block
+                  from cues""",
     ),
     "prompt_strip": with_(CAPTIONS, STRIPPED, select="select video_id, clip_no, text from stripped"),
     "prompt_render": """
@@ -303,7 +306,7 @@ ORACLES = {
         select conv_id, turn, '[{"role":"user","content":[{"type":"text","text":' || to_json(text)::varchar
                || '},{"type":"video"}]}]' as prompt
         from conversations where role = 'user'""",
-    "caption_join": with_(CAPTIONS, STRIPPED, JOINED, select="select video_id, 0::bigint as part_no, text from joined"),
+    "caption_join": with_(CAPTIONS, STRIPPED, JOINED, select="select video_id, text from joined"),
     "word_chunks": with_(
         CAPTIONS, STRIPPED, JOINED, CHUNKS, select="select video_id, chunk_no, n_words, chunk from chunks"
     ),
@@ -331,7 +334,7 @@ ORACLES = {
     ),
     "srt_document": with_(
         CAPTIONS, CAPTION_CATALOG, SRT_CUES,
-        select="""select video_id, 0::bigint as part_no,
+        select="""select video_id,
                          string_agg(cue_no || chr(10) || start_tc || ' --> ' || end_tc || chr(10) || text || chr(10) || chr(10),
                                     '' order by cue_no) as body
                   from cues group by video_id""",
@@ -350,17 +353,17 @@ ORACLES = {
     ),
     "caption_csv_roundtrip": with_(
         CAPTIONS,
-        select="""select 'exp' as experiment, 'folder' as video_folder, 'd_' || video_id as stem,
+        select="""select 'exp' as experiment, 'folder' as video_folder, video_id, 'd_' || video_id as stem,
                          start_frame, end_frame, caption from captions""",
     ),
     "score_csv_roundtrip": with_(
         SCORES, LAST_SCORES,
-        select="""select 'exp' as experiment, 'folder' as video_folder, 'v_' || video_id as stem, prompt, prob
+        select="""select 'exp' as experiment, 'folder' as video_folder, video_id, 'v_' || video_id as stem, prompt, prob
                   from last_scores""",
     ),
     "summary_csv_roundtrip": with_(
         *HIERARCHICAL,
-        select="""select 'exp' as experiment, 'd_' || video_id as stem, coalesce(summary, '') as summary
+        select="""select 'exp' as experiment, video_id, 'd_' || video_id as stem, coalesce(summary, '') as summary
                   from joined left join level2 using (video_id)""",
     ),
     "zero_shot_scores": with_(SCORES, select="select video_id, clip_no, prompt_id, prompt, prob from scores"),
@@ -382,7 +385,7 @@ ORACLES = {
     "chat_replies": with_(*REPLIES, select=REPLIES_SELECT),
     "chat_history": with_(
         *REPLIES,
-        select="""select conv_id, 0::bigint as part_no,
+        select="""select conv_id,
                          string_agg(coalesce("user", '-') || '|' || coalesce(bot, '-'), chr(10) order by turn, pos) as history
                   from replies group by conv_id""",
     ),
@@ -400,3 +403,9 @@ ORACLES["zero_shot_scores_blocks"] = ORACLES["zero_shot_scores"]
 ORACLES["stream_active_video"] = ORACLES["active_video"]
 ORACLES["stream_clips"] = ORACLES["clip_index_plan_padded"]
 ORACLES["stream_turns"] = ORACLES["chat_replies"]
+ORACLES["caption_batch_reuse"] = ORACLES["caption_batch"]
+ORACLES["caption_cut_batch"] = ORACLES["caption_batch"].replace(VIDEOS.strip(), CUT_VIDEOS.strip())
+ORACLES["hierarchical_summary_udf"] = ORACLES["hierarchical_summary"]
+ORACLES["zero_shot_last_clip_many"] = ORACLES["zero_shot_last_clip"].replace(
+    "from embeddings where vec_id < 5", "from embeddings where vec_id % 5 <> 4"
+)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from clipflow.functions import clips as fc, media, paths, text as ft, timecode as tc
-from clipflow.functions.models import udf_captioner
+from clipflow.functions.models import udf_captioner, udf_summarizer
 from clipflow.operators import (
     captions as oc, chat, clips, documents, frames as of, scoring, skew, subtitles, summary
 )
@@ -196,6 +196,24 @@ def caption_batch_stripped(spark, sf):
     return captioning.caption_videos(fx.videos(spark, sf), fx.frames(spark, sf), fx.PROMPT, 8, 8, strip=True)
 
 
+@query
+def caption_batch_reuse(spark, sf):
+    """Every other video has all its captions stored, every third of the rest only its first."""
+    videos, frames = fx.videos(spark, sf), fx.frames(spark, sf)
+    known = captioning.caption_videos(videos, frames, fx.PROMPT, 5, 3)
+    kept = (F.col("video_id") % 2 == 0) | ((F.col("video_id") % 3 == 0) & (F.col("clip_no") == 0))
+    path = scratch_path(spark, "stored")
+    known.filter(kept).write.parquet(path)
+    return captioning.caption_videos(videos, frames, fx.PROMPT, 5, 3, stored=spark.read.parquet(path))
+
+
+@query
+def caption_cut_batch(spark, sf):
+    """Captions of a catalog cut to its first seconds, from the whole frame table."""
+    cut = of.cut_catalog(fx.videos(spark, sf).withColumn("fps", F.lit(2.0)))
+    return captioning.caption_videos(cut, fx.frames(spark, sf), fx.PROMPT, 5, 3)
+
+
 @query
 def caption_batch_export(spark, sf):
     videos = fx.videos(spark, sf)
@@ -258,6 +276,37 @@ def hierarchical_summary(spark, sf):
     return summaries.hierarchical_summary(fx.captions(spark, sf), fx.PROMPT)
 
 
+@query
+def hierarchical_summary_udf(spark, sf):
+    """A stand-in model in Python; it must answer as the built-in summary does."""
+
+    def load():
+        import re
+        from collections import Counter
+        from fractions import Fraction
+
+        def say(text):
+            sentences, terms = {}, {}
+            for pos, match in enumerate(re.findall(r"[^.!?]+[.!?]*", text or ""), 1):
+                sentence = " ".join(match.split())
+                if sentence:
+                    sentences[pos] = sentence
+                    kept = "".join(c for c in sentence.lower() if c == " " or c.isalpha() or c.isnumeric())
+                    terms[pos] = [t for t in kept.split(" ") if t]
+            counts = Counter(t for own in terms.values() for t in own)
+            score = {p: Fraction(sum(counts[t] for t in own), len(own)) if own else 0 for p, own in terms.items()}
+            total, chosen = 0, []
+            for pos in sorted(sentences, key=lambda p: (-score[p], p)):
+                before, total = total, total + len(sentences[pos].split(" "))
+                if total <= 130 or before == 0 or before < 30:
+                    chosen.append(pos)
+            return " ".join(" ".join(sentences[p] for p in sorted(chosen)).split(" ")[:130])
+
+        return lambda texts: texts.map(say)
+
+    return summaries.hierarchical_summary(fx.captions(spark, sf), fx.PROMPT, model=udf_summarizer(load))
+
+
 @query
 def oneshot_summary(spark, sf):
     return summaries.oneshot_summary(fx.captions(spark, sf), fx.PROMPT)
@@ -350,6 +399,14 @@ def zero_shot_last_clip(spark, sf):
     return scored.withColumn("prob", F.round("prob", 6))
 
 
+@query
+def zero_shot_last_clip_many(spark, sf):
+    """The last clips against prompts that grow with the table, hundreds at the least."""
+    asked = fx.table(spark, sf, "embeddings").filter("vec_id % 5 <> 4")
+    scored = score_plan.score_videos(fx.clip_vectors(spark, sf), fx.as_prompts(asked), fx.LOGIT_SCALE, last_only=True)
+    return scored.withColumn("prob", F.round("prob", 6))
+
+
 # ---------------------------------------------------------------- chat
 
 
@@ -382,9 +439,9 @@ def chat_replies(spark, sf):
 
 @query
 def chat_history(spark, sf):
-    said = chat.chat_history(_replies(spark, sf), hot=skew.hot_keys(fx.messages(spark, sf), "conv_id"))
+    said = chat.chat_history(_replies(spark, sf))
     entry = lambda e: F.concat(F.coalesce(e["user"], F.lit("-")), F.lit("|"), F.coalesce(e["bot"], F.lit("-")))
-    return said.select("conv_id", "part_no", F.array_join(F.transform("history", entry), "\n").alias("history"))
+    return said.select("conv_id", F.array_join(F.transform("history", entry), "\n").alias("history"))
 
 
 # ---------------------------------------------------------------- streams
@@ -453,4 +510,9 @@ def _message_stream(spark, sf):
     layout = T.StructType(
         [T.StructField("conv_id", LONG), T.StructField("turn", LONG), T.StructField("role", TEXT), T.StructField("text", TEXT)]
     )
-    return fx.message_columns(files.stream_parquet(spark, sf, layout, "conversations.parquet"))
+    # the table arrives in turns, six files and so six micro-batches; a conversation's turns keep their order
+    path = scratch_path(spark, "conversations")
+    said = fx.table(spark, sf, "conversations").select(*layout.names)
+    for part in range(6):
+        said.filter(F.least(F.col("turn"), F.lit(5)) == part).repartition(1).write.mode("append").parquet(path)
+    return fx.message_columns(files.stream_parquet(spark, path, layout, files_per_trigger=1))
