@@ -16,6 +16,7 @@ HOT_ROWS = ("spark.clipflow.hotRows", 500_000)
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 _own_dirs: dict[str, str] = {}
+_scratch: set[str] = set()
 
 
 def setting(spark: SparkSession, entry: tuple[str, int]) -> int:
@@ -58,10 +59,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder, deleted when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/clipflow/{name}-{uuid.uuid4().hex}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    files.mkdirs(jvm_path.getParent())
-    files.deleteOnExit(jvm_path)
-    return path
+    """A fresh path in the session's folder under the shared one, which goes when the session's JVM ends."""
+    home = f"{shared_dir(spark)}/clipflow-{spark.sparkContext.applicationId}"
+    if home not in _scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(home)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _scratch.add(home)
+    return f"{home}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the session's scratch files now; results that read them must have been written or collected."""
+    home = f"{shared_dir(spark)}/clipflow-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(home)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _scratch.discard(home)
