@@ -17,24 +17,25 @@ def caption_clips(
     captioner: Captioner | None = None,
     payload: str = "payload",
     max_length: int = MAX_CAPTION_WORDS,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """``video_id, clip_no, caption`` of every fully fetched clip, of at most ``max_length`` words after the prompt."""
     hook = captioner or statistics_captioner(max_length)
     echoed = F.lit(prompt) if isinstance(prompt, str) else prompt
     said = full_clips(gathered, length).select(
-        "video_id", "clip_no", hook(as_col(payload), echoed).alias("caption"), echoed.alias("_prompt")
+        "video_id", "clip_no", *keep, hook(as_col(payload), echoed).alias("caption"), echoed.alias("_echo")
     )
-    return _capped(said, captioner, max_length).drop("_prompt")
+    return _capped(said, captioner, max_length).drop("_echo")
 
 
 def _capped(said: DataFrame, captioner: Captioner | None, max_length: int) -> DataFrame:
     """The default captioner keeps to the limit; any other model's answer is held to it."""
     if captioner is None:
         return said
-    echo = F.col("caption").startswith(F.col("_prompt"))
-    after = F.when(echo, F.substr("caption", F.length("_prompt") + 1)).otherwise(F.col("caption"))
+    echo = F.col("caption").startswith(F.col("_echo"))
+    after = F.when(echo, F.substr("caption", F.length("_echo") + 1)).otherwise(F.col("caption"))
     return said.withColumn(
-        "caption", F.concat(F.when(echo, F.col("_prompt")).otherwise(F.lit("")), cap_caption(after, max_length))
+        "caption", F.concat(F.when(echo, F.col("_echo")).otherwise(F.lit("")), cap_caption(after, max_length))
     )
 
 
@@ -60,9 +61,9 @@ def caption_images(
     """One caption per image: a clip of a single frame, without a length guard."""
     hook = captioner or statistics_captioner(max_length)
     said = images.select(
-        "image_id", *keep, hook(F.array("payload"), F.lit(prompt)).alias("caption"), F.lit(prompt).alias("_prompt")
+        "image_id", *keep, hook(F.array("payload"), F.lit(prompt)).alias("caption"), F.lit(prompt).alias("_echo")
     )
-    return _capped(said, captioner, max_length).drop("_prompt")
+    return _capped(said, captioner, max_length).drop("_echo")
 
 
 def missing_captions(videos: DataFrame, captions: DataFrame) -> DataFrame:

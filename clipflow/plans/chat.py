@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.models import Translator
-from ..operators.chat import active_context, gate_uploads, reply_catalog, reply_rows
+from ..functions import text as ft
+from ..functions.models import MAX_CAPTION_WORDS, Captioner, Translator
+from ..operators.captions import caption_clips
+from ..operators.chat import active_context, gate_uploads, reply_catalog, reply_language, reply_rows
+from ..operators.frames import assemble_clips
 from ..operators.skew import HotKeys, hot_keys, lookup
+from ..operators.summary import summarize_pieces
 
 
 def answer_turns(
@@ -25,8 +29,55 @@ def answer_turns(
     hot = hot_keys(messages, "conv_id") if hot is None else hot
     judged = with_summaries(gate_uploads(messages), uploads, summaries)
     turns = active_context(judged, ["summary"], hot)
-    answered = turns.withColumn("translation", translator(F.col("summary")))
-    return reply_rows(answered, reply_catalog(messages.sparkSession))
+    return reply_rows(translated(turns, translator), reply_catalog(messages.sparkSession))
+
+
+def answer_questions(
+    messages: DataFrame,
+    uploads: DataFrame,
+    videos: DataFrame,
+    frames: DataFrame,
+    translator: Translator,
+    captioner: Captioner | None = None,
+    length: int = 10,
+    stride: int = 3,
+    max_length: int = MAX_CAPTION_WORDS,
+    hot: HotKeys | None = None,
+) -> DataFrame:
+    """All replies of all turns, each answered from captions made for its own question.
+
+    The turn's text becomes the prompt; every clip of the session's active video is captioned under it, the prompt
+    is stripped, and the captions are summarised in one go. ``uploads`` maps a path to its video, which must be unique.
+    A video that is not known, or has no full clip, has no answer text.
+    """
+    hot = hot_keys(messages, "conv_id") if hot is None else hot
+    turn = F.concat_ws(":", "conv_id", "turn")
+    known = uploads.select(F.col("path").alias("upload"), F.col("video_id").alias("_video"))
+    judged = _by_upload(gate_uploads(messages)).join(known, "upload", "left")
+    turns = active_context(judged, ["_video"], hot).withColumn("_turn", turn)
+    asked = turns.filter((F.col("active_video") != "") & F.col("_video").isNotNull()).select(
+        "_turn", F.col("_video").alias("video_id"), ft.echoed_prompt(ft.chat_prompt("text")).alias("_prompt")
+    )
+    wanted = videos.join(asked.select("video_id").distinct(), "video_id", "left_semi")
+    seen = asked.join(assemble_clips(wanted, frames, length, stride), "video_id")
+    # a clip under a question is a clip of its own to the captioner
+    posed = seen.select(F.col("_turn").alias("video_id"), "clip_no", "payload", "n_fetched", "_prompt")
+    said = caption_clips(posed, F.col("_prompt"), length, captioner, max_length=max_length, keep=("_prompt",))
+    stripped = said.select("video_id", "clip_no", ft.strip_prompt("caption", F.col("_prompt")).alias("caption"))
+    found = summarize_pieces(stripped, "video_id", "clip_no", "caption", {}).select(
+        F.col("video_id").alias("_turn"), "summary"
+    )
+    answered = turns.join(found, "_turn", "left").drop("_turn", "_video")
+    return reply_rows(translated(answered, translator), reply_catalog(messages.sparkSession))
+
+
+def translated(turns: DataFrame, translator: Translator) -> DataFrame:
+    """``translation`` of the answers that are given in Italian; no other text reaches the translator."""
+    wanted = (reply_language("lang") == "it") & (F.col("active_video") != "") & F.col("summary").isNotNull()
+    nothing = F.lit(None).cast("string")
+    return turns.filter(wanted).withColumn("translation", translator(F.col("summary"))).unionByName(
+        turns.filter(~F.coalesce(wanted, F.lit(False))).withColumn("translation", nothing)
+    )
 
 
 def upload_summaries(uploads: DataFrame, summaries: DataFrame) -> DataFrame:
@@ -41,5 +92,8 @@ def with_summaries(judged: DataFrame, uploads: DataFrame, summaries: DataFrame)
     Turns without an upload get a key of their own, so that they do not meet in one
     task.
     """
-    keyed = judged.withColumn("upload", F.coalesce("upload", F.concat_ws(" ", F.lit("none"), "conv_id", "turn")))
-    return keyed.join(upload_summaries(uploads, summaries), "upload", "left")
+    return _by_upload(judged).join(upload_summaries(uploads, summaries), "upload", "left")
+
+
+def _by_upload(judged: DataFrame) -> DataFrame:
+    return judged.withColumn("upload", F.coalesce("upload", F.concat_ws(" ", F.lit("none"), "conv_id", "turn")))

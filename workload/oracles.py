@@ -409,3 +409,21 @@ ORACLES["hierarchical_summary_udf"] = ORACLES["hierarchical_summary"]
 ORACLES["zero_shot_last_clip_many"] = ORACLES["zero_shot_last_clip"].replace(
     "from embeddings where vec_id < 5", "from embeddings where vec_id % 5 <> 4"
 )
+ORACLES["chat_questions"] = with_(
+    VIDEOS, FRAMES, clips(5, 3), gathered(5), MESSAGES,
+    "user_count as (select count(*) as n from videos)",
+    """asked as (
+      select c.conv_id, c.turn,
+             string_agg('Clip of 5 frames, asked in ' || length('USER: ' || chr(10) || replace(c.text, '<video>', '') || ' ASSISTANT: ')
+                        || ' characters.', ' ' order by k.clip_no) as text
+      from carried c cross join user_count u join captioned k on k.video_id = (c.conv_id * 31 + c.set_turn) % u.n
+      where c.active_video <> '' group by c.conv_id, c.turn)""",
+    summary("s", "asked", "conv_id, turn", "text"),
+    """answers as (
+      select c.*, s.summary,
+             case when c.conv_id % 3 <> 0 then 'IT:' || s.summary end as translation,
+             case when status is null then 0 when status = 'too_long' then 2 else 1 end as n_verdict
+      from carried c left join s on s.conv_id = c.conv_id and s.turn = c.turn)""",
+    REPLIES[-1],
+    select=REPLIES_SELECT,
+)

@@ -437,6 +437,23 @@ def chat_replies(spark, sf):
     return _replies(spark, sf)
 
 
+@query
+def chat_questions(spark, sf):
+    """Every turn answered from captions made under its own question."""
+    videos = fx.videos(spark, sf)
+    n_videos = videos.count()
+    named = fx.messages(spark, sf).select("conv_id", "turn", F.explode("files").alias("path")).distinct()
+    uploads = named.select("path", ((F.col("conv_id") * 31 + F.col("turn")) % n_videos).alias("video_id"))
+
+    def describe(payload, prompt):
+        size, asked = F.size(payload).cast("string"), F.length(prompt).cast("string")
+        return F.concat(prompt, F.lit("Clip of "), size, F.lit(" frames, asked in "), asked, F.lit(" characters."))
+
+    return chat_plan.answer_questions(
+        fx.messages(spark, sf), uploads, videos, fx.frames(spark, sf), fx.translation_of("conv_id"), describe, 5, 3
+    )
+
+
 @query
 def chat_history(spark, sf):
     said = chat.chat_history(_replies(spark, sf))
