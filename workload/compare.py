@@ -49,7 +49,7 @@ def _kind(s: pd.Series) -> str:
 
 
 def _cell(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)):
+    if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
         return None
     if hasattr(v, "item"):
         return v.item()
