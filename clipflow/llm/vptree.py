@@ -114,25 +114,38 @@ class Search:
         return self.best, self.who
 
     def _distance(self, score: np.ndarray, own: np.ndarray) -> np.ndarray:
+        score = np.maximum(score, -self.length * self.q_length[own])
         return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * score / (self.length * self.q_length[own])))
 
     def _offer(self, own: np.ndarray, begin: int, end: int) -> np.ndarray:
-        score = scores(self.q[own], self.x[begin:end])
-        self.visited += score.size
+        """Scores of some rows by one matrix product; those that may belong to the result are summed again in order."""
+        rough = self.q[own] @ self.x[begin:end].T
+        self.visited += rough.size
         ids = self.ids[begin:end]
-        usable = ids[None, :] != self.q_ids[own][:, None]
-        worst, last = self.best[own, -1][:, None], self.who[own, -1][:, None]
-        better = usable & ((score > worst) | ((score == worst) & (ids[None, :] < last)))
-        rows = np.nonzero(better.any(axis=1))[0]
-        if len(rows):
-            columns = np.nonzero(better[rows].any(axis=0))[0]
-            offered = np.where(better[np.ix_(rows, columns)], score[np.ix_(rows, columns)], -np.inf)
-            all_scores = np.concatenate([self.best[own[rows]], offered], axis=1)
-            all_ids = np.concatenate([self.who[own[rows]], np.broadcast_to(ids[columns], offered.shape)], axis=1)
-            order = np.lexsort((all_ids, -all_scores), axis=-1)[:, :self.k]
-            self.best[own[rows]] = np.take_along_axis(all_scores, order, 1)
-            self.who[own[rows]] = np.take_along_axis(all_ids, order, 1)
-        return score
+        margin = 1e-10 * self.length * self.q_length[own]
+        row, column = np.nonzero(rough >= (self.best[own, -1] - margin)[:, None])
+        other = ids[column] != self.q_ids[own[row]]
+        row, column = row[other], column[other]
+        if not len(row):
+            return rough
+        who, place = own[row], ids[column]
+        exact = np.zeros(len(row))
+        for q, v in zip(self.q.T, self.x.T):
+            exact += q[who] * v[begin + column]
+        better = (exact > self.best[who, -1]) | ((exact == self.best[who, -1]) & (place < self.who[who, -1]))
+        who, place, exact = who[better], place[better], exact[better]
+        if not len(who):
+            return rough
+        changed = np.unique(who)
+        who = np.concatenate([np.repeat(changed, self.k), who])
+        exact = np.concatenate([self.best[changed].ravel(), exact])
+        place = np.concatenate([self.who[changed].ravel(), place])
+        order = np.lexsort((place, -exact, who))
+        first = np.searchsorted(who[order], changed)
+        kept = order[(first[:, None] + np.arange(self.k)).ravel()]
+        self.best[changed] = exact[kept].reshape(-1, self.k)
+        self.who[changed] = place[kept].reshape(-1, self.k)
+        return rough
 
     def _visit(self, begin: int, end: int, own: np.ndarray) -> None:
         _, _, middle, near_low, near_high, far_low, far_high = self.nodes[begin, end]
@@ -143,18 +156,15 @@ class Search:
         middle = int(middle)
         near = np.maximum(0.0, np.maximum(d - near_high, near_low - d))
         far = np.maximum(0.0, np.maximum(d - far_high, far_low - d))
-        halves = ((begin + 1, middle, near), (middle, end, far))
-        inward = near <= far
-        for first, second, chosen in ((halves[0], halves[1], inward), (halves[1], halves[0], ~inward)):
-            for a, b, bound in (first, second):
-                rows = np.nonzero(chosen)[0]
-                if not len(rows):
-                    continue
-                limit = self._distance(self.best[own[rows], -1], own[rows])
-                limit[np.isneginf(self.best[own[rows], -1])] = np.inf
-                rows = rows[bound[rows] * self.factor <= limit + SLACK]
-                if len(rows):
-                    self._visit(a, b, own[rows])
+        halves = [(begin + 1, middle, near), (middle, end, far)]
+        if (far < near).sum() * 2 > len(own):  # first where most queries lie
+            halves.reverse()
+        for a, b, bound in halves:
+            limit = self._distance(self.best[own, -1], own)
+            limit[np.isneginf(self.best[own, -1])] = np.inf
+            left = bound * self.factor <= limit + SLACK
+            if left.any():
+                self._visit(a, b, own[left])
 
 
 def index(usable: DataFrame, length: float, n_shards: int, leaf_rows: int = LEAF_ROWS) -> DataFrame:
