@@ -59,7 +59,29 @@ def op3(spark, sf):
     return packed.drop("ids")
 
 
-@query("op2_suffix_dedup")
+@query("op2_suffix_dedup", """
+with texts as (
+    select doc_id, encode(coalesce(text, '')) as b, octet_length(encode(coalesce(text, '')))::bigint as n from documents
+), strings as (
+    select doc_id, p, md5(b[p + 1:p + 100]) as s from texts, unnest(range(0, n - 99)) as starts(p)
+), later as (
+    select doc_id, p from strings qualify row_number() over (partition by s order by doc_id, p) > 1
+), apart as (
+    select doc_id, p, coalesce(p > lag(p) over (partition by doc_id order by p) + 100, true)::int as opens from later
+), numbered as (
+    select doc_id, p, sum(opens) over (partition by doc_id order by p) as k from apart
+), runs as (
+    select doc_id, min(p) as a, max(p) + 100 as z from numbered group by doc_id, k
+), pieces as (
+    select doc_id, coalesce(lag(z) over (partition by doc_id order by a), 0) as low, a as high, z - a as gone from runs
+    union all
+    select t.doc_id, coalesce(max(r.z), 0), any_value(t.n), null
+    from texts t left join runs r on r.doc_id = t.doc_id group by t.doc_id
+)
+select t.doc_id, any_value(t.n) as n_bytes, coalesce(sum(gone), 0)::bigint as n_removed, count(gone) as n_spans,
+       sha256(unhex(string_agg(hex(t.b[low + 1:high]), '' order by low))) as kept_sha256
+from texts t join pieces p on p.doc_id = t.doc_id group by t.doc_id
+""")
 def op2(spark, sf):
     return suffixes.cut_repeats(table(spark, sf, "documents")).drop("kept")
 
@@ -88,7 +110,19 @@ def op10(spark, sf):
     return vptree.nearest(embeddings, embeddings.filter("vec_id % 20 = 0"), k=20)
 
 
-@query("op8_warc_segments")
+@query("op8_warc_segments", """
+with payloads as (
+    select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages
+), firsts as (
+    select *, min(page_id) over (partition by html) as first from payloads
+)
+select page_id, octet_length(encode(html))::bigint as payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           (((('0x' || substr(h, (i // 4 * 5 + 1)::int, 5))::bigint >> (15 - i % 4 * 5)) & 31) + 1)::int, 1)), '') as payload_digest,
+       case when page_id = first then 'response' else 'revisit' end as record_type,
+       case when page_id <> first then first end as refers_to
+from firsts
+""")
 def op8(spark, sf):
     return warc.archive_report(table(spark, sf, "pages"))
 

@@ -392,7 +392,7 @@ def test_empty_tables(spark, odd, odd_pages, labels):
     assert all(not r.collect() for r in results)
 
 
-@pytest.mark.parametrize("name", ["op7_exact_dedup", "op10_vantage_point_search"])
+@pytest.mark.parametrize("name", ["op2_suffix_dedup", "op7_exact_dedup", "op8_warc_segments", "op10_vantage_point_search"])
 def test_queries_with_sql(spark, name):
     from clipflow.llm.queries import ORACLES, QUERIES
 
