@@ -29,7 +29,9 @@ MAX_FILLINGS = 400
 #: Pieces whose ranks one window group orders, on average.
 BUCKET_ROWS = 100_000
 #: Words whose ids a worker remembers, in each of two generations.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 100_000
+#: What may stand behind the letters of a word.
+MARKS = ".,;:!?"
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary"
 PLACES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint, ids binary"
@@ -54,7 +56,7 @@ class WordEncoder:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # such strings in a text are ordinary text
-        self.young, self.old = {}, {}
+        self.young, self.old, self.tails = {}, {}, {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.model.encode_batch_fast(texts, add_special_tokens=False)
@@ -66,17 +68,25 @@ class WordEncoder:
         words.discard("")
         if len(self.young) > CACHE_WORDS:
             self.old, self.young = self.young, {}
-        missing = words - self.young.keys()
-        new = []
-        for word in missing:
-            if word[0].isspace() or word[-1].isspace():
-                continue
+        missing = []
+        for word in words - self.young.keys():
             known = self.old.get(word)
-            if known is None:
-                new.append(word)
-            else:
+            if known is not None:
                 self.young[word] = known
+            elif not (word[0].isspace() or word[-1].isspace()):
+                missing.append(word)
+        # letters and the marks behind them are words of their own to the pre-tokeniser
+        parts = {word: (word.rstrip(MARKS), word[len(word.rstrip(MARKS)):]) for word in missing}
+        parts = {word: p for word, p in parts.items() if p[1] and p[0].isalpha()}
+        wanted = {w for w in missing if w not in parts} | {letters for letters, _ in parts.values()} - self.young.keys()
+        new = [w for w in wanted if w not in self.old]
+        self.young.update((w, self.old[w]) for w in wanted if w in self.old)
         self.young.update(zip(new, self._whole([" " + w for w in new])))
+        tails = list({tail for _, tail in parts.values()} - self.tails.keys())
+        if len(self.tails) < CACHE_WORDS:
+            self.tails.update(zip(tails, self._whole(tails)))
+        for word, (letters, tail) in parts.items():
+            self.young[word] = self.young[letters] + (self.tails.get(tail) or self._whole([tail])[0])
         firsts = self._whole([c[0] for c in cut])
         out = []
         for text, parts, first in zip(texts, cut, firsts):
