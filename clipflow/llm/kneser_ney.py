@@ -19,12 +19,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import block_count, bundled, drop_rows, if_small, stored, unbundled, volume
+from .common import block_count, bundled, drop_rows, frugal, if_small, stored, unbundled, volume
 
 ORDER = 4
 FOLDS = 2
 #: Bytes of text per block. Its n-grams are asked for once, so large blocks send few; a task holds one at a time.
-BLOCK = 32_000_000
+BLOCK = 16_000_000
 #: Share of the trusted documents of a language that its threshold lets through.
 QUANTILE = 0.99
 #: Accuracy of the quantiles: an error of 1 / ACCURACY of the documents.
@@ -32,7 +32,7 @@ ACCURACY = 10_000
 
 START, END = "\x02", "\x03"
 #: Characters that are worked on at a time, and largest lookup table.
-CHUNK_CHARS = 1_500_000
+CHUNK_CHARS = 600_000
 TABLE = 1 << 24
 
 SEEN = "block int, model string, gram string, trusted bigint"
@@ -215,7 +215,7 @@ def perplexity(docs: DataFrame, trusted: DataFrame, order: int = ORDER, folds: i
     ids = trusted.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
     marks = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block"), "doc_id")
     seen = stored(
-        blocks.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_seen(order), SEEN), "seen"
+        blocks.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(frugal(_seen(order)), SEEN), "seen"
     )
     own = F.substring_index("model", ":", 1)
     others = F.array(*[F.lit(str(k)) for k in range(folds)])
@@ -234,7 +234,7 @@ def perplexity(docs: DataFrame, trusted: DataFrame, order: int = ORDER, folds: i
         "block", F.lit(None).cast("string").alias("model"), F.col("doc_id").cast("string").alias("gram"),
         F.lit(0.0).alias("bits"),
     ))
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(order), SCORES)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(frugal(_scored(order)), SCORES)
 
 
 def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE) -> DataFrame:

@@ -26,7 +26,7 @@ OWN_MARK = "\udc81"
 #: Score of a byte below the lowest of the pieces.
 BYTE_PENALTY = 10.0
 #: Stretches whose ids a worker remembers, in each of two generations.
-CACHE = 250_000
+CACHE = 150_000
 
 ENCODED = "doc_id bigint, n_ids bigint, ids binary"
 

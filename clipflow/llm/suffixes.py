@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import attach, block_count, bundled, stored, unbundled, volume
+from .common import attach, block_count, bundled, frugal, stored, unbundled, volume
 from .exact import digests
 
 LENGTH = 100
@@ -417,7 +417,7 @@ def _within(length: int):
 # ---------------------------------------------------------------- cutting
 
 
-def _cutting(length: int, rest: bool):
+def _cutting(length: int, rest: bool, as_text: bool):
     def run(bundles, marks_and_copies):
         docs = unbundled(bundles, (*COLUMNS, "rest"))
         kinds = np.array(marks_and_copies["copy"].to_pylist(), bool)
@@ -444,10 +444,11 @@ def _cutting(length: int, rest: bool):
             else:
                 kept, removed, runs = text, 0, 0
             rows.append(row)
-            out.append((n, removed, runs, hashlib.sha256(kept).hexdigest(), kept))
+            digest = hashlib.sha256(kept).hexdigest()
+            out.append((n, removed, runs, digest, kept.decode("utf-8", "ignore") if as_text else kept))
         columns = list(zip(*out)) or [[]] * 5
         rows = pa.array(rows, pa.int64())
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string() if as_text else pa.binary()]
         table = {"doc_id": docs["doc_id"].take(rows)}
         table |= {
             name: pa.array(c, k)
@@ -458,11 +459,14 @@ def _cutting(length: int, rest: bool):
     return run
 
 
-def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, rest: list[str] | None = None) -> DataFrame:
+def cut_repeats(
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, rest: list[str] | None = None, as_text: bool = False
+) -> DataFrame:
     """Every row with what is left after removing all bytes covered by a string that starts earlier.
 
     Columns: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary`` and, if ``rest`` names columns to
-    carry along, a struct ``rest``. A string is ``length`` consecutive bytes of one text (UTF-8, NULL is
+    carry along, a struct ``rest``. ``as_text`` gives ``kept`` as a string, without characters that lost some of their
+    bytes. A string is ``length`` consecutive bytes of one text (UTF-8, NULL is
     empty). It starts earlier in a smaller ``doc_id`` or further ahead in the same text; strings are judged
     on the input. NULL ids come last, rows that share an id follow each other in the order of a hash of their texts, and rows
     equal in both count as one after the other. Texts shorter than ``length`` stay whole. Other columns are not read.
@@ -492,7 +496,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, rest: l
 
     n_shards = max(1, size // (SHARD_HASHES * (length - gram) // 2))
     named = stored(
-        blocks(False).cogroup(copies.groupBy("block")).applyInArrow(_naming(length, gram, n_shards), NAMED), "named"
+        blocks(False).cogroup(copies.groupBy("block")).applyInArrow(frugal(_naming(length, gram, n_shards)), NAMED), "named"
     )
     counted = named.filter("shard >= 0").groupBy("shard").applyInArrow(_counting(FREQUENT), REPEATED)
     repeated = stored(counted.filter("length(hashes) > 0"), "repeated")
@@ -510,7 +514,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, rest: l
         nothing.cast("binary").alias("hashes"), nothing.cast("binary").alias("frequent"),
     ))
     suffixes = stored(
-        blocks(False).cogroup(answers.groupBy("block")).applyInArrow(_dealing(length, gram, splitters, n_buckets), SUFFIXES),
+        blocks(False).cogroup(answers.groupBy("block")).applyInArrow(frugal(_dealing(length, gram, splitters, n_buckets)), SUFFIXES),
         "suffixes",
     )
     marks = suffixes.filter("bucket >= 0").groupBy("bucket").applyInArrow(_sorting(length, gram), MARKED)
@@ -527,11 +531,11 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, rest: l
     schema = T.StructType([
         T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()),
         T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()),
-        T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType()),
+        T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.StringType() if as_text else T.BinaryType()),
     ])
     if rest:
         schema = schema.add("rest", docs.select(carry).schema["rest"].dataType)
-    return blocks(True).cogroup(cuts.groupBy("block")).applyInArrow(_cutting(length, bool(rest)), schema)
+    return blocks(True).cogroup(cuts.groupBy("block")).applyInArrow(frugal(_cutting(length, bool(rest), as_text)), schema)
 
 
 def _splitters(named: DataFrame, n_buckets: int) -> np.ndarray:
@@ -555,18 +559,7 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     A character that a cut leaves without some of its bytes goes as a whole.
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    done = cut_repeats(docs, length, rest=others)
-
-    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [b.as_py().decode("utf-8", "ignore") for b in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array(texts, pa.string()), *batch.columns[2:]], batch.schema.names)
-
-    picked = done.select("doc_id", "kept", *(["rest"] if others else []))
-    schema = T.StructType([
-        T.StructField(f.name, T.StringType() if f.name == "kept" else f.dataType) for f in picked.schema
-    ])
-    texts = picked.mapInArrow(decoded, schema)
+    texts = cut_repeats(docs, length, rest=others, as_text=True)
     count = F.length("kept").cast("bigint")
     columns = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": count} | {
         c: F.col(f"rest.`{c}`") for c in others if c != "n_chars"
