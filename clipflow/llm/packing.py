@@ -45,7 +45,8 @@ class WordEncoder:
 
     The pre-tokeniser starts a new word at every space that has no other white space
     beside it, and never merges over that border. Texts are cut there and the ids of the cut words
-    are remembered, which is exact. Texts with white space beside a space are encoded whole.
+    are remembered, which is exact. Texts with white space beside a space are encoded whole, as are
+    texts that hold an added token such as <|endoftext|>, which may stand across words.
     """
 
     def __init__(self, path: str):
@@ -55,7 +56,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # such strings in a text are ordinary text
+        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.young, self.old, self.tails = {}, {}, {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -63,6 +64,15 @@ class WordEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        holding = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        if not holding:
+            return self._by_words(texts)
+        out = dict(zip(holding, self._whole([texts[i] for i in holding])))
+        rest = [i for i in range(len(texts)) if i not in out]
+        out.update(zip(rest, self._by_words([texts[i] for i in rest])))
+        return [out[i] for i in range(len(texts))]
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
         cut = [t.split(" ") for t in texts]
         words = set().union(*[c[1:] for c in cut])
         words.discard("")

@@ -163,6 +163,16 @@ def test_remembered_words_give_the_ids_of_the_whole_text(tokenizer, text):
     assert ids == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_in_a_text_have_their_own_ids(tokenizer):
+    from tokenizers import Tokenizer
+
+    untouched = Tokenizer.from_file(tokenizer[0])
+    texts = ["one <|endoftext|> two", "plain words here", "<|endoftext|>", "a<|endoftext|>b  c", "words, <|endoftext|>.\n", ""]
+    got = [np.frombuffer(ids, "<u4").tolist() for ids in packing.WordEncoder(tokenizer[0]).encode(texts)]
+    assert got == [untouched.encode(t, add_special_tokens=False).ids for t in texts]
+    assert got[0] == [505, 220, 50256, 734]
+
+
 # ---------------------------------------------------------------- pieces
 
 
