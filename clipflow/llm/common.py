@@ -53,9 +53,23 @@ def attach(facts: DataFrame, groups: DataFrame, key: str, size: str, total: int)
     return facts.join(F.broadcast(hot), key).unionByName(few)
 
 
-def drop_rows(df: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows whose key is not in the stored table ``dropped``. NULL keys stay."""
-    return df.join(if_small(dropped.select(key).distinct()), key, "left_anti")
+def text_digest() -> Column:
+    """SHA-256 of a text, NULL as the empty one."""
+    return F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+
+
+def drop_rows(df: DataFrame, dropped: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """The rows whose keys are not together in a row of the stored table ``dropped``; NULL equals NULL.
+
+    ``keys`` says per column of ``dropped`` what it is compared with in ``df``.
+    """
+    tagged, own = df, {}
+    for column, value in keys.items():
+        own[column] = fresh(tagged, f"_{column}")
+        tagged = tagged.withColumn(own[column], value)
+    gone = if_small(dropped.select(*keys).distinct())
+    same = [F.col(f"_d.{mark}").eqNullSafe(F.col(f"_g.{column}")) for column, mark in own.items()]
+    return tagged.alias("_d").join(gone.alias("_g"), same, "left_anti").drop(*own.values())
 
 
 def if_small(keys: DataFrame, limit: int = MAX_BROADCAST_IDS) -> DataFrame:

@@ -13,13 +13,14 @@ learnt from, and thresholds rest on every trusted document.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import block_count, bundled, drop_rows, frugal, if_small, stored, unbundled, volume
+from .common import block_count, bundled, drop_rows, frugal, if_small, stored, text_digest, unbundled, volume
 
 ORDER = 4
 FOLDS = 2
@@ -36,7 +37,7 @@ CHUNK_CHARS = 600_000
 TABLE = 1 << 24
 
 SEEN = "block int, model string, gram string, trusted bigint"
-SCORES = "doc_id bigint, lang string, n_events bigint, trusted boolean, bits double"
+SCORES = "doc_id bigint, lang string, n_events bigint, trusted boolean, bits double, digest binary"
 
 
 def _ranks(codes: np.ndarray, size: int) -> tuple[np.ndarray, int]:
@@ -83,24 +84,26 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def _by_model(docs: pa.Table) -> Iterator[tuple[str, list, list[str]]]:
+def _by_model(docs: pa.Table) -> Iterator[tuple[str, list[int], list[str]]]:
+    """Model, rows of ``docs`` and their texts."""
     groups: dict[str, tuple[list, list]] = {}
-    for doc_id, model, text in zip(*(docs[c].to_pylist() for c in ("doc_id", "model", "text"))):
-        ids, texts = groups.setdefault(model, ([], []))
-        ids.append(doc_id), texts.append(text.decode("utf-8", "replace"))
-    for model, (ids, texts) in groups.items():
+    for row, (model, text) in enumerate(zip(docs["model"].to_pylist(), docs["text"].to_pylist())):
+        rows, texts = groups.setdefault(model, ([], []))
+        rows.append(row), texts.append(text.decode("utf-8", "replace"))
+    for model, (rows, texts) in groups.items():
         for a, b in _chunks(texts):
-            yield model, ids[a:b], texts[a:b]
+            yield model, rows[a:b], texts[a:b]
 
 
 def _seen(order: int):
     def run(bundles, labels):
         docs = unbundled(bundles, ("doc_id", "model", "text"))
         trusted = set(labels["doc_id"].to_pylist())
+        ids = docs["doc_id"].to_pylist()
         found: dict[tuple[str, str], int] = {}
-        for model, ids, texts in _by_model(docs):
+        for model, rows, texts in _by_model(docs):
             codes, starts, names = grams(texts, order)
-            weight = np.repeat([i in trusted for i in ids], np.diff(np.append(starts, len(codes))))
+            weight = np.repeat([ids[i] in trusted for i in rows], np.diff(np.append(starts, len(codes))))
             for name, n in zip(names, np.bincount(codes, weight, len(names)).tolist()):
                 found[model, name] = found.get((model, name), 0) + int(n)
         block = bundles["block"][0].as_py() if bundles.num_rows else 0
@@ -120,20 +123,23 @@ def _scored(order: int):
         docs = unbundled(bundles, ("doc_id", "model", "text"))
         bits = dict(zip(zip(answers["model"].to_pylist(), answers["gram"].to_pylist()), answers["bits"].to_pylist()))
         trusted = {g for model, g in bits if model is None}
-        out: list[list] = [[], [], [], [], []]
-        for model, ids, texts in _by_model(docs):
+        ids, raw = docs["doc_id"].to_pylist(), docs["text"]
+        out: list[list] = [[], [], [], [], [], []]
+        for model, rows, texts in _by_model(docs):
             codes, starts, names = grams(texts, order)
             each = np.array([bits[model, name] for name in names])
             total = np.add.reduceat(each[codes], starts)
             n = np.diff(np.append(starts, len(codes)))
             for column, values in zip(out, (
-                ids, [model.partition(":")[2]] * len(ids), n.tolist(), [str(i) in trusted for i in ids], (total / n).tolist()
+                [ids[i] for i in rows], [model.partition(":")[2]] * len(rows), n.tolist(),
+                [str(ids[i]) in trusted for i in rows], (total / n).tolist(),
+                [hashlib.sha256(raw[i].as_py()).digest() for i in rows],
             )):
                 column.extend(values)
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.float64()]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.float64(), pa.binary()]
         return pa.table({
             name: pa.array(c, k)
-            for name, c, k in zip(("doc_id", "lang", "n_events", "trusted", "bits"), out, kinds)
+            for name, c, k in zip(("doc_id", "lang", "n_events", "trusted", "bits", "digest"), out, kinds)
         })
 
     return run
@@ -195,8 +201,8 @@ def probabilities(seen: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def perplexity(docs: DataFrame, trusted: DataFrame, order: int = ORDER, folds: int = FOLDS) -> DataFrame:
-    """``doc_id, lang, n_events, trusted, bits`` of every row: mean bits per character under the model
-    of its language and fold.
+    """``doc_id, lang, n_events, trusted, bits, digest`` of every row: mean bits per character under the model
+    of its language and fold, and the SHA-256 of its text.
 
     ``trusted`` lists the ids (``doc_id``) of the texts to learn from.
     """
@@ -246,6 +252,11 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
     keeps all. NULL texts count as empty and have one event, the end; a NULL language is the language ''. Rows that
     repeat an id are scored one by one; rows without an id are scored and never trusted.
     """
+    return _judged(docs, labels, order, quantile).drop("digest")
+
+
+def _judged(docs: DataFrame, labels: DataFrame, order: int, quantile: float) -> DataFrame:
+    """What ``classify`` says, and the ``digest`` of each row's text."""
     trusted = labels.groupBy("doc_id").agg(
         F.min(F.coalesce("quality", F.lit(0))).alias("good"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic")
     ).filter("good = 1 and toxic = 0").select("doc_id")
@@ -257,11 +268,13 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
     return scores.join(limits, "lang", "left").select(
         "doc_id", "lang", "n_events", F.pow(F.lit(2.0), "bits").alias("perplexity"),
         F.pow(F.lit(2.0), "limit").alias("threshold"),
-        F.coalesce(F.col("bits") <= F.col("limit"), F.lit(True)).alias("kept"),
+        F.coalesce(F.col("bits") <= F.col("limit"), F.lit(True)).alias("kept"), "digest",
     )
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE) -> DataFrame:
-    """The rows that ``classify`` keeps, all columns as they were. Rows without an id stay."""
-    verdicts = classify(docs, labels, order, quantile)
-    return drop_rows(docs, stored(verdicts.filter(~F.col("kept")).select("doc_id"), "rejected"))
+    """The rows that ``classify`` keeps, all columns as they were. Each row, also one without an id, follows its own verdict."""
+    verdicts = _judged(docs, labels, order, quantile)
+    return drop_rows(docs, stored(verdicts.filter(~F.col("kept")).select("doc_id", "digest", "lang"), "rejected"), {
+        "doc_id": F.col("doc_id").cast("bigint"), "digest": text_digest(), "lang": F.coalesce(F.col("lang"), F.lit("")),
+    })

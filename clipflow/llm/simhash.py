@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import attach, stored, text_bytes
+from .common import attach, drop_rows, stored, text_bytes, text_digest
 from .components import components
 
 SEED = 42
@@ -28,7 +28,7 @@ PAIRWISE = 4096
 #: Entries of the index that a task compares at a time.
 CHUNK = 200_000
 
-FINGERPRINTS = "doc_id bigint, fp bigint"
+FINGERPRINTS = "doc_id bigint, fp bigint, digest binary"
 MEETINGS = "crowded boolean, u bigint, v bigint"
 
 
@@ -54,14 +54,14 @@ def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp`` of every row, the fingerprint as a signed long."""
+    """``doc_id, fp, digest`` of every row, the fingerprint as a signed long, the digest SHA-256 of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64)
-            yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64)), batch.column(2)], ["doc_id", "fp", "digest"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), text_bytes()).mapInArrow(run, FINGERPRINTS)
+    return docs.select(F.col("doc_id").cast("bigint"), text_bytes(), text_digest()).mapInArrow(run, FINGERPRINTS)
 
 
 def _index(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -215,6 +215,11 @@ def near_groups(
     and empty texts have fingerprint zero and link like others. Rows that repeat an id are rows of their own. NULL
     ids are never the smallest unless the component has no other. Other columns are not read.
     """
+    return _grouped(docs, shingle, max_bits, pairwise).drop("digest")
+
+
+def _grouped(docs: DataFrame, shingle: int, max_bits: int, pairwise: int = PAIRWISE) -> DataFrame:
+    """What ``near_groups`` says, and the ``digest`` of each row's text."""
     facts = stored(fingerprints(docs, shingle), "fingerprints")
     total = facts.count()
     groups = stored(facts.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
@@ -226,14 +231,15 @@ def near_groups(
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("m"))
     named = attach(rooted, stored(least, "least"), "root", "m", groups.count()).select("fp", "n", "component_id")
     return attach(facts, stored(named, "named"), "fp", "n", total).select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "digest"
     )
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows whose ``doc_id`` is the smallest of their component, all columns as they were. Rows without an id stay."""
-    from .common import drop_rows
+    """The rows whose ``doc_id`` is the smallest of their component, all columns as they were.
 
-    groups = near_groups(docs, shingle, max_bits)
-    gone = stored(groups.filter("doc_id <> component_id").select("doc_id"), "gone")
-    return drop_rows(docs, gone)
+    Rows that share an id each follow their own text. Rows without an id stay where their component has no id.
+    """
+    groups = _grouped(docs, shingle, max_bits)
+    gone = stored(groups.filter("not doc_id <=> component_id").select("doc_id", "digest"), "gone")
+    return drop_rows(docs, gone, {"doc_id": F.col("doc_id").cast("bigint"), "digest": text_digest()})

@@ -142,6 +142,16 @@ def test_near_groups(spark, odd):
     assert left.columns == odd.columns
 
 
+def test_each_row_follows_its_own_component(spark, odd):
+    prints = [simhash.fingerprint((t or "").encode()) for _, t, _ in ODD]
+    up = roots(len(ODD), [(a, b) for a in range(len(ODD)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 3])
+    first = {r: min((ODD[k][0] for k in range(len(ODD)) if up[k] == r and ODD[k][0] is not None), default=None) for r in set(up)}
+    expected = [k for k in range(len(ODD)) if ODD[k][0] == first[up[k]]]
+    left = rows(simhash.drop_near_copies(odd))
+    assert sorted(r["n"] for r in left) == expected
+    assert (2, SHARED + "z") in [(r["doc_id"], r["text"]) for r in left]
+
+
 # ---------------------------------------------------------------- language model
 
 
@@ -203,6 +213,15 @@ def test_classifier_on_odd_rows(spark, odd, labels):
     assert kneser_ney.drop_rejected(odd, labels).columns == odd.columns
 
 
+def test_each_row_follows_its_own_verdict(spark):
+    prose = [" ".join(random.Random(i).choices(["ab", "ba", "abba", "c.", "bac"], k=30)) for i in range(40)]
+    data = [(i, t, "en") for i, t in enumerate(prose)] + [(3, "xq#" * 30, "en"), (3, "xq#" * 30, None), (None, "zz%" * 30, "en"), (None, prose[5], "en")]
+    frame = spark.createDataFrame(data, "doc_id bigint, text string, lang string")
+    known = spark.createDataFrame([(i, 1, 0) for i in range(40) if i != 3], "doc_id bigint, quality int, toxic int")
+    left = sorted(map(repr, (tuple(r.values()) for r in rows(kneser_ney.drop_rejected(frame, known, quantile=1.0)))))
+    assert left == sorted(repr(r) for r in data if r not in ((3, "xq#" * 30, "en"), (None, "zz%" * 30, "en")))
+
+
 def test_classifier_tells_noise_from_held_out_text(spark):
     docs, known = spark.read.parquet(f"{TABLES}/../sf0.01/documents.parquet"), spark.read.parquet(f"{TABLES}/../sf0.01/labels.parquet")
     verdicts = kneser_ney.classify(docs, known).join(known, "doc_id").groupBy("quality").agg({"*": "count", "kept": "count_if"}).toPandas()
