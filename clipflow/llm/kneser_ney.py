@@ -9,6 +9,9 @@ shuffled per block is its vocabulary, not its text's length.
 Documents are dealt into folds by a hash of their id. Each fold is scored by a model of the trusted
 text of all other folds, so that no text is judged by a model that has read it, all trusted text is
 learnt from, and thresholds rest on every trusted document.
+
+A word said over and over is made of likely characters. So each text is also written as one mark per word, which
+says how long ago the word was last used, and the same model is built over the marks of trusted text.
 """
 
 from __future__ import annotations
@@ -24,6 +27,9 @@ from .common import block_count, bundled, drop_rows, frugal, if_small, stored, t
 
 ORDER = 4
 FOLDS = 2
+#: Order of the model over marks, and the classes of distance: 1, 2-3, 4-7, 8-15, 16 and more words ago.
+MARK_ORDER = 2
+MARKS = 5
 #: Bytes of text per block. Its n-grams are asked for once, so large blocks send few; a task holds one at a time.
 BLOCK = 16_000_000
 #: Share of the trusted documents of a language that its threshold lets through.
@@ -37,7 +43,10 @@ CHUNK_CHARS = 600_000
 TABLE = 1 << 24
 
 SEEN = "block int, model string, gram string, trusted bigint"
-SCORES = "doc_id bigint, lang string, n_events bigint, trusted boolean, bits double, digest binary"
+SCORES = "doc_id bigint, lang string, n_events bigint, trusted boolean, bits double, digest binary, marks string"
+#: What a row of ``SCORES`` takes along while its marks are scored.
+TAKEN = ["n_events", "bits", "digest"]
+REPEATS = "doc_id bigint, lang string, n_marks bigint, trusted boolean, mark_bits double, n_events bigint, bits double, digest binary"
 
 
 def _ranks(codes: np.ndarray, size: int) -> tuple[np.ndarray, int]:
@@ -73,6 +82,16 @@ def grams(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray,
     return codes, starts, [names[i:i + order] for i in range(0, n * order, order)]
 
 
+def marks(text: str) -> str:
+    """Per word how many words ago it was last used, as a digit: the bit length of the distance, at most ``MARKS``; 0 if never."""
+    last: dict[str, int] = {}
+    out = []
+    for k, word in enumerate(text.lower().split()):
+        out.append(min((k - last.get(word, k)).bit_length(), MARKS))
+        last[word] = k
+    return "".join(map(str, out))
+
+
 def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
     start = size = 0
     for i, text in enumerate(texts):
@@ -118,29 +137,31 @@ def _seen(order: int):
     return run
 
 
-def _scored(order: int):
+def _scored(order: int, taken: list[str]):
     def run(bundles, answers):
-        docs = unbundled(bundles, ("doc_id", "model", "text"))
+        docs = unbundled(bundles, ("doc_id", "model", "text", *taken))
         bits = dict(zip(zip(answers["model"].to_pylist(), answers["gram"].to_pylist()), answers["bits"].to_pylist()))
         trusted = {g for model, g in bits if model is None}
-        ids, raw = docs["doc_id"].to_pylist(), docs["text"]
-        out: list[list] = [[], [], [], [], [], []]
+        ids, raw, along = docs["doc_id"].to_pylist(), docs["text"], [docs[c].to_pylist() for c in taken]
+        out: list[list] = [[] for _ in range(5 + (len(taken) or 2))]
         for model, rows, texts in _by_model(docs):
             codes, starts, names = grams(texts, order)
             each = np.array([bits[model, name] for name in names])
             total = np.add.reduceat(each[codes], starts)
             n = np.diff(np.append(starts, len(codes)))
+            if taken:
+                rest = [[c[i] for i in rows] for c in along]
+            else:
+                rest = [[hashlib.sha256(raw[i].as_py()).digest() for i in rows], list(map(marks, texts))]
             for column, values in zip(out, (
                 [ids[i] for i in rows], [model.partition(":")[2]] * len(rows), n.tolist(),
-                [str(ids[i]) in trusted for i in rows], (total / n).tolist(),
-                [hashlib.sha256(raw[i].as_py()).digest() for i in rows],
+                [str(ids[i]) in trusted for i in rows], (total / n).tolist(), *rest,
             )):
                 column.extend(values)
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.float64(), pa.binary()]
-        return pa.table({
-            name: pa.array(c, k)
-            for name, c, k in zip(("doc_id", "lang", "n_events", "trusted", "bits", "digest"), out, kinds)
-        })
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.float64()]
+        kinds += [pa.int64(), pa.float64(), pa.binary()] if taken else [pa.binary(), pa.string()]
+        names = [c.split()[0] for c in (REPEATS if taken else SCORES).split(", ")]
+        return pa.table({name: pa.array(c, k) for name, c, k in zip(names, out, kinds)})
 
     return run
 
@@ -200,12 +221,16 @@ def probabilities(seen: DataFrame, order: int = ORDER) -> DataFrame:
     return known
 
 
-def perplexity(docs: DataFrame, trusted: DataFrame, order: int = ORDER, folds: int = FOLDS) -> DataFrame:
-    """``doc_id, lang, n_events, trusted, bits, digest`` of every row: mean bits per character under the model
-    of its language and fold, and the SHA-256 of its text.
+def perplexity(
+    docs: DataFrame, trusted: DataFrame, order: int = ORDER, folds: int = FOLDS, taken: list[str] | None = None
+) -> DataFrame:
+    """``doc_id, lang, n_events, trusted, bits, digest, marks`` of every row: mean bits per character under the model
+    of its language and fold, the SHA-256 of its text and its marks.
 
-    ``trusted`` lists the ids (``doc_id``) of the texts to learn from.
+    ``trusted`` lists the ids (``doc_id``) of the texts to learn from. With ``taken``, the columns ``TAKEN``, which go
+    along, texts are marks and the result is ``REPEATS``.
     """
+    taken = taken or []
     rows, size = volume(docs)
     n = block_count(size + rows, BLOCK)
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -216,7 +241,7 @@ def perplexity(docs: DataFrame, trusted: DataFrame, order: int = ORDER, folds: i
     blocks = bundled(docs.select(
         block, F.col("doc_id").cast("bigint").alias("doc_id"),
         F.concat(fold.cast("string"), F.lit(":"), F.coalesce(F.col("lang"), F.lit(""))).alias("model"),
-        text.cast("binary").alias("text"),
+        text.cast("binary").alias("text"), *taken,
     ))
     ids = trusted.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
     marks = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block"), "doc_id")
@@ -240,15 +265,18 @@ def perplexity(docs: DataFrame, trusted: DataFrame, order: int = ORDER, folds: i
         "block", F.lit(None).cast("string").alias("model"), F.col("doc_id").cast("string").alias("gram"),
         F.lit(0.0).alias("bits"),
     ))
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(frugal(_scored(order)), SCORES)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+        frugal(_scored(order, taken)), REPEATS if taken else SCORES
+    )
 
 
 def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE) -> DataFrame:
     """Every row with its perplexity, the threshold of its language and whether it is kept.
 
-    Columns: ``doc_id, lang, n_events, perplexity, threshold, kept``. Trusted are the documents that all their
+    Columns: ``doc_id, lang, n_events, perplexity, threshold, kept, repeat_perplexity, repeat_threshold``. Trusted are the documents that all their
     labels call of quality 1 and none calls toxic; no sample is drawn from them. The threshold is the ``quantile`` of
-    the perplexities of a language's trusted documents. A language without trusted documents has none and
+    the perplexities of a language's trusted documents, over characters and over marks; a row is kept that is above
+    neither. A language without trusted documents has none and
     keeps all. NULL texts count as empty and have one event, the end; a NULL language is the language ''. Rows that
     repeat an id are scored one by one; rows without an id are scored and never trusted.
     """
@@ -261,14 +289,19 @@ def _judged(docs: DataFrame, labels: DataFrame, order: int, quantile: float) ->
         F.min(F.coalesce("quality", F.lit(0))).alias("good"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic")
     ).filter("good = 1 and toxic = 0").select("doc_id")
     scores = stored(perplexity(docs, trusted, order), "scores")
-    limits = scores.filter("trusted").groupBy("lang").agg(
-        F.percentile_approx("bits", F.lit(quantile), F.lit(ACCURACY)).alias("limit")
-    )
+    by_marks = scores.select("doc_id", "lang", F.col("marks").alias("text"), *TAKEN)
+    scores = stored(perplexity(by_marks, trusted, MARK_ORDER, taken=TAKEN), "repeats")
+    limits = scores.filter("trusted").groupBy("lang").agg(*[
+        F.percentile_approx(bits, F.lit(quantile), F.lit(ACCURACY)).alias(limit)
+        for bits, limit in (("bits", "limit"), ("mark_bits", "mark_limit"))
+    ])
     limits = if_small(stored(limits, "limits"), 100_000)
     return scores.join(limits, "lang", "left").select(
         "doc_id", "lang", "n_events", F.pow(F.lit(2.0), "bits").alias("perplexity"),
         F.pow(F.lit(2.0), "limit").alias("threshold"),
-        F.coalesce(F.col("bits") <= F.col("limit"), F.lit(True)).alias("kept"), "digest",
+        F.coalesce((F.col("bits") <= F.col("limit")) & (F.col("mark_bits") <= F.col("mark_limit")), F.lit(True)).alias("kept"),
+        F.pow(F.lit(2.0), "mark_bits").alias("repeat_perplexity"), F.pow(F.lit(2.0), "mark_limit").alias("repeat_threshold"),
+        "digest",
     )
 
 

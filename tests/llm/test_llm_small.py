@@ -63,6 +63,11 @@ def test_grams_of_texts():
     assert list(starts) == [0, 3, 4]
 
 
+def test_marks_of_words():
+    assert kneser_ney.marks("") == "" and kneser_ney.marks(" Of of  OF a of ") == "011" + "0" + "2"
+    assert kneser_ney.marks(" ".join(map(str, range(40))) + " 0 39") == "0" * 40 + "52"
+
+
 # ---------------------------------------------------------------- suffixes
 
 

@@ -222,6 +222,19 @@ def test_each_row_follows_its_own_verdict(spark):
     assert left == sorted(repr(r) for r in data if r not in ((3, "xq#" * 30, "en"), (None, "zz%" * 30, "en")))
 
 
+def test_words_said_over_and_over_are_rejected(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choices(["an", "the", "er", "on", "ti"], k=rng.randint(1, 4))) for _ in range(400)]
+    prose = [" ".join(rng.choices(words, k=60)) for _ in range(200)]
+    spam = [" ".join(w for w in rng.choices(words, k=5) for _ in range(12)) for _ in range(20)]
+    frame = spark.createDataFrame([(i, t, "en") for i, t in enumerate(prose + spam)], "doc_id bigint, text string, lang string")
+    known = spark.createDataFrame([(i, 1, 0) for i in range(200)], "doc_id bigint, quality int, toxic int")
+    got = {r["doc_id"]: r for r in rows(kneser_ney.classify(frame, known))}
+    assert not any(got[i]["kept"] for i in range(200, 220))
+    assert sum(r["perplexity"] <= r["threshold"] for i, r in got.items() if i >= 200) > 0  # characters alone let some pass
+    assert sum(got[i]["kept"] for i in range(200)) >= 190
+
+
 def test_classifier_tells_noise_from_held_out_text(spark):
     docs, known = spark.read.parquet(f"{TABLES}/../sf0.01/documents.parquet"), spark.read.parquet(f"{TABLES}/../sf0.01/labels.parquet")
     verdicts = kneser_ney.classify(docs, known).join(known, "doc_id").groupBy("quality").agg({"*": "count", "kept": "count_if"}).toPandas()
