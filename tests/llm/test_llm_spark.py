@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from clipflow.llm import common, components, exact, html, kneser_ney, packing, pieces, simhash, suffixes, urls, vptree, warc
+from clipflow.llm import common, components, exact, html, kneser_ney, packing, pieces, shingles, simhash, suffixes, urls, vptree, warc
 from conftest import TABLES
 from workload.compare import connect, difference
 
@@ -152,6 +152,35 @@ def test_each_row_follows_its_own_component(spark, odd):
     assert (2, SHARED + "z") in [(r["doc_id"], r["text"]) for r in left]
 
 
+def word_shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.mark.parametrize("frequent", [200_000, 0])
+def test_near_copies_against_all_pairs_of_five_word_shingles(spark, monkeypatch, frequent):
+    monkeypatch.setattr(shingles, "FREQUENT", frequent)
+    rng = random.Random(12)
+    passage = " ".join(f"p{k}" for k in range(30))
+    texts = []
+    for k in range(25):
+        base = [f"w{rng.randint(0, 900)}" for _ in range(rng.randint(8, 150))] + passage.split() * (k % 2)
+        for _ in range(rng.randint(1, 5)):
+            texts.append(" ".join(base))
+            for _ in range(rng.randint(0, 3)):
+                base[rng.randrange(len(base))] = f"x{rng.randint(0, 900)}"
+    data = [(i, t) for i, t in enumerate(texts)] + [(i, t) for i, t, _ in ODD]
+    sets = [word_shingles(t) for _, t in data]
+    near = [(a, b) for a in range(len(data)) for b in range(a)
+            if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert any(sets[a] != sets[b] for a, b in near)
+    up = roots(len(data), near)
+    first = {r: min((data[k][0] for k in range(len(data)) if up[k] == r and data[k][0] is not None), default=None) for r in set(up)}
+    frame = spark.createDataFrame([(*d, k) for k, d in enumerate(data)], "doc_id bigint, text string, row int")
+    left = rows(shingles.drop_near_copies(frame))
+    assert sorted(r["row"] for r in left) == [k for k in range(len(data)) if data[k][0] == first[up[k]]]
+
+
 # ---------------------------------------------------------------- language model
 
 
