@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clipflow.llm import exact, kneser_ney, packing, shingles, suffixes
+from clipflow.llm import exact, kneser_ney, packing, simhash, suffixes
 from clipflow.llm.common import stored
 from clipflow.llm.queries import byte_bpe
 
@@ -23,8 +23,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by a similarity of 0.8 or more over five-word shingles the one with the smallest id stays."""
-    return shingles.drop_near_copies(docs)
+    """Of texts whose fingerprints are linked (three-word shingles, three bits) the one with the smallest id stays."""
+    return simhash.drop_near_copies(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
