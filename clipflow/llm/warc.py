@@ -111,12 +111,33 @@ def page_records(
         yield _record(fields + (named if first else []), part)
 
 
+def inflated(data: bytes) -> bytes:
+    """An archive's bytes, whether plain or any number of gzip members; ValueError if the last one is cut."""
+    parts, at = [], 0
+    view = memoryview(data)
+    while data[at:at + 2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            if at >= len(data):
+                raise ValueError("a gzip member is cut")
+            parts.append(member.decompress(view[at:at + 65_536]))
+            at = min(at + 65_536, len(data)) - len(member.unused_data)
+    return b"".join([*parts, data[at:].lstrip(b"\0")]) if parts else data
+
+
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (lower-case names) and block of every record of an archive."""
+    """Header fields (lower-case names) and block of every record of an archive.
+
+    Empty lines before a record are passed over; header bytes that are not UTF-8 become U+FFFD.
+    """
     at = 0
-    while at < len(data):
+    while True:
+        while data[at:at + 2] == b"\r\n":
+            at += 2
+        if at == len(data):
+            return
         end = data.index(GAP, at)
-        lines = data[at:end].decode().split("\r\n")
+        lines = data[at:end].decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError("not a WARC record")
         fields = {n.strip().lower(): v.strip() for n, _, v in (line.partition(":") for line in lines[1:])}
@@ -233,8 +254,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for content in batch.column(0):
-                    data = content.as_py()
-                    data = zlib.decompress(data, 31) if data[:2] == b"\x1f\x8b" else data
+                    data = inflated(content.as_py())
                     rows, size = [], 0
                     for fields, block in parse(data):
                         if ("warc-segment-number" not in fields) != alone:

@@ -1,5 +1,6 @@
 """Parts of the corpus operators that need no session, against brute force and by hand."""
 
+import gzip
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -235,6 +236,27 @@ def test_chunked_framing_and_records():
     assert warc._decoded("response", whole) == (payload, True)
 
 
+def test_archives_of_many_gzip_members():
+    payload = "<p>ü</p>".encode() * 40
+    records = [r.encode() + warc.GAP for k in range(3) for r in warc.page_records(f"urn:page:{k}:x:1", "http://a/", payload, None, segment_bytes=100)]
+    whole = b"".join(records)
+    expected = list(warc.parse(whole))
+    assert len(expected) == len(records)
+    assert list(warc.parse(warc.inflated(b"".join(gzip.compress(r) for r in records)))) == expected
+    for at in range(0, len(whole), 97):  # members cut anywhere
+        assert warc.inflated(gzip.compress(whole[:at]) + gzip.compress(whole[at:]) + b"\0" * 8) == whole
+    assert warc.inflated(whole) == whole
+    with pytest.raises(ValueError):
+        warc.inflated(gzip.compress(whole)[:-9])
+
+
+def test_records_with_odd_heads():
+    record = b"WARC/1.1\r\nWARC-Type: response\r\nX-Name: \xff\xe9\r\nContent-Length: 2\r\n\r\nab"
+    found = list(warc.parse(b"\r\n\r\n" + record + warc.GAP + b"\r\n" + record + warc.GAP))
+    assert [b for _, b in found] == [b"ab", b"ab"] and found[0][0]["x-name"] == "\ufffd\ufffd"
+    assert list(warc.parse(b"")) == []
+
+
 # ---------------------------------------------------------------- pages
 
 
