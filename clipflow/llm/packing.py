@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import stored, text_bytes, worker_store
+from .transducers import Cutter, Memory, as_list, character_classes
 
 CAPACITY = 1024
 END_ID = 2
@@ -28,10 +29,6 @@ MAX_NODES = 20_000
 MAX_FILLINGS = 400
 #: Pieces whose ranks one window group orders, on average.
 BUCKET_ROWS = 100_000
-#: Words whose ids a worker remembers, in each of two generations.
-CACHE_WORDS = 100_000
-#: What may stand behind the letters of a word.
-MARKS = ".,;:!?"
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary"
 PLACES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint, ids binary"
@@ -41,78 +38,48 @@ PLACES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 
 
 class WordEncoder:
-    """Byte-level BPE ids of texts as little-endian unsigned 32-bit integers.
+    """Byte-level BPE ids of texts.
 
-    The pre-tokeniser starts a new word at every space that has no other white space
-    beside it, and never merges over that border. Texts are cut there and the ids of the cut words
-    are remembered, which is exact. Texts with white space beside a space are encoded whole, as are
-    texts that hold an added token such as <|endoftext|>, which may stand across words.
+    Texts are cut into the words of the pre-tokeniser, over which nothing is merged. A word that a block
+    holds many times is looked up once in it, and words met before are remembered; ids are put together by offsets.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, classes: tuple[list[int], list[int]]):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        self.young, self.old, self.tails = {}, {}, {}
+        self.cutter = Cutter(path, classes)
+        self.known = Memory()
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.model.encode_batch_fast(texts, add_special_tokens=False)
+    def _encoded(self, words: list[bytes]) -> list[bytes]:
+        found = self.model.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        holding = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
-        if not holding:
-            return self._by_words(texts)
-        out = dict(zip(holding, self._whole([texts[i] for i in holding])))
-        rest = [i for i in range(len(texts)) if i not in out]
-        out.update(zip(rest, self._by_words([texts[i] for i in rest])))
-        return [out[i] for i in range(len(texts))]
-
-    def _by_words(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split(" ") for t in texts]
-        words = set().union(*[c[1:] for c in cut])
-        words.discard("")
-        if len(self.young) > CACHE_WORDS:
-            self.old, self.young = self.young, {}
-        missing = []
-        for word in words - self.young.keys():
-            known = self.old.get(word)
-            if known is not None:
-                self.young[word] = known
-            elif not (word[0].isspace() or word[-1].isspace()):
-                missing.append(word)
-        # letters and the marks behind them are words of their own to the pre-tokeniser
-        parts = {word: (word.rstrip(MARKS), word[len(word.rstrip(MARKS)):]) for word in missing}
-        parts = {word: p for word, p in parts.items() if p[1] and p[0].isalpha()}
-        wanted = {w for w in missing if w not in parts} | {letters for letters, _ in parts.values()} - self.young.keys()
-        new = [w for w in wanted if w not in self.old]
-        self.young.update((w, self.old[w]) for w in wanted if w in self.old)
-        self.young.update(zip(new, self._whole([" " + w for w in new])))
-        tails = list({tail for _, tail in parts.values()} - self.tails.keys())
-        if len(self.tails) < CACHE_WORDS:
-            self.tails.update(zip(tails, self._whole(tails)))
-        for word, (letters, tail) in parts.items():
-            self.young[word] = self.young[letters] + (self.tails.get(tail) or self._whole([tail])[0])
-        firsts = self._whole([c[0] for c in cut])
-        out = []
-        for text, parts, first in zip(texts, cut, firsts):
-            found = list(map(self.young.get, parts[1:]))
-            if None in found or (found and parts[0][-1:].isspace()):
-                out.append(self._whole([text])[0])
-            else:
-                out.append(b"".join([first, *found]))
-        return out
-
-
-def encoder(path: str) -> WordEncoder:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        parts: list[list] = [[] for _ in texts]
+        for owner, words, _ in self.cutter.words(texts):
+            if not len(words):
+                continue
+            by_word = pa.array(self.known.look_up(as_list(words.dictionary), self._encoded), pa.large_binary())
+            ids = by_word.take(words.indices)
+            _, offsets, data = ids.buffers()
+            offsets, data = np.frombuffer(offsets, np.int64), memoryview(data)
+            first, last = int(owner[0]), int(owner[-1])
+            bounds = offsets[np.searchsorted(owner, np.arange(first, last + 2))].tolist()
+            for k, (start, stop) in enumerate(zip(bounds, bounds[1:]), first):
+                parts[k].append(data[start:stop])
+        return [b"".join(p) for p in parts]
+
+
+def encoder(path: str, classes: tuple[list[int], list[int]]) -> WordEncoder:
     """The worker's encoder, loaded once."""
     store = worker_store()
     if ("encoder", path) not in store:
-        store["encoder", path] = WordEncoder(path)
+        store["encoder", path] = WordEncoder(path, classes)
     return store["encoder", path]
 
 
@@ -127,12 +94,13 @@ def token_pieces(
 ) -> DataFrame:
     """The pieces of every row's tokens (``PIECES``). A NULL or empty text has one token, the end."""
     end = np.array([end_id], "<u4").tobytes()
+    classes = character_classes(tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(tokenizer_path)
+        words = encoder(tokenizer_path, classes)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
                 texts = [t.as_py().decode("utf-8", "replace") for t in batch.column(1)]
                 rows = []
                 for doc_id, ids in zip(batch.column(0).to_pylist(), words.encode(texts)):

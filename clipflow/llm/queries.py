@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, html, kneser_ney, packing, pieces, simhash, suffixes, urls, vptree, warc
+from . import exact, html, kneser_ney, packing, pieces, simhash, suffixes, transducers, urls, vptree, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -141,3 +141,8 @@ def op9(spark, sf):
 @query("op4_html_main_text")
 def op4(spark, sf):
     return html.main_text(table(spark, sf, "pages"))
+
+
+@query("op13_token_counts")
+def op13(spark, sf):
+    return transducers.token_counts(table(spark, sf, "documents"), byte_bpe())

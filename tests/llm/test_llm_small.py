@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from clipflow.llm import exact, html, kneser_ney, packing, pieces, simhash, suffixes, urls, vptree, warc
+from clipflow.llm import exact, html, kneser_ney, packing, pieces, simhash, suffixes, transducers, urls, vptree, warc
 
 
 # ---------------------------------------------------------------- cuckoo filter
@@ -156,29 +156,102 @@ def tokenizer():
     from tokenizers import Tokenizer
 
     path = public.path("byte_bpe_50k.json")
-    plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    return path, plain
+    return path, Tokenizer.from_file(path), packing.WordEncoder(path, transducers.character_classes(path))
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=st.sampled_from("ab ,.\n\t  é1'<|endoftext|>日"), max_size=40))
-def test_remembered_words_give_the_ids_of_the_whole_text(tokenizer, text):
-    path, plain = tokenizer
-    ids = np.frombuffer(packing.WordEncoder(path).encode([text])[0], "<u4").tolist()
-    assert ids == plain.encode(text, add_special_tokens=False).ids
+AWKWARD = st.sampled_from([
+    *"ab '\n\t.1é_-A日𝒳🙂", "'s", "'re", "'ll", "'ve", "  ", "\r\n", "...", "the", " the", "ing", "<|endoftext|>", "<|endof", "\u00a0", "\ua7cb", "=====",
+])
 
 
-def test_added_tokens_in_a_text_have_their_own_ids(tokenizer):
-    from tokenizers import Tokenizer
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(AWKWARD, max_size=40).map("".join), max_size=5), st.sampled_from([7, 40, 4_000_000]), st.sampled_from([1, 3, 512]))
+def test_remembered_words_give_the_ids_of_the_whole_text(tokenizer, texts, block, chunk):
+    path, plain, encoder = tokenizer
+    expected = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(transducers, "BLOCK_CHARS", block)
+        patch.setattr(transducers, "CHUNK_CHARS", chunk)
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(texts)] == expected
 
-    untouched = Tokenizer.from_file(tokenizer[0])
+
+def test_added_tokens_in_a_text_have_their_own_ids(tokenizer):
     texts = ["one <|endoftext|> two", "plain words here", "<|endoftext|>", "a<|endoftext|>b  c", "words, <|endoftext|>.\n", ""]
-    got = [np.frombuffer(ids, "<u4").tolist() for ids in packing.WordEncoder(tokenizer[0]).encode(texts)]
-    assert got == [untouched.encode(t, add_special_tokens=False).ids for t in texts]
+    got = [np.frombuffer(ids, "<u4").tolist() for ids in tokenizer[2].encode(texts)]
+    assert got == [tokenizer[1].encode(t, add_special_tokens=False).ids for t in texts]
     assert got[0] == [505, 220, 50256, 734]
 
 
+# ---------------------------------------------------------------- token counts
+
+
+@pytest.fixture(scope="module")
+def machine(tokenizer):
+    return transducers.CountingMachine(tokenizer[0])
+
+
+def test_character_classes_are_the_library_s(tokenizer):
+    bounds, kinds = transducers.character_classes(tokenizer[0])
+    known = np.repeat(kinds, np.diff([*bounds, 0x110000]))
+    split = tokenizer[1].pre_tokenizer.pre_tokenize_str
+    for kind, before in ((transducers.LETTER, "a"), (transducers.NUMBER, "1"), (transducers.OTHER, "!")):
+        points = [c for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+        starts = {span[0] for _, span in split("".join(f"\n{before}{chr(c)}" for c in points))}
+        assert [c for k, c in enumerate(points) if 3 * k + 2 not in starts] == [c for c in points if known[c] == kind]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(AWKWARD, max_size=60).map("".join), max_size=5), st.sampled_from([7, 40, 4_000_000]), st.sampled_from([1, 3, 512]))
+def test_counts_are_the_library_s(tokenizer, machine, texts, block, chunk):
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(transducers, "BLOCK_CHARS", block)
+        patch.setattr(transducers, "CHUNK_CHARS", chunk)
+        got = transducers.counted(texts, tokenizer[2].cutter, machine)
+    assert got.tolist() == [len(tokenizer[1].encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_counts_of_long_words_and_forgotten_states(tokenizer, machine):
+    rng = random.Random(3)
+    words = ["a" * n for n in (1, 7, 400, 5_001)] + ["abcabd" * 500, "".join(rng.choice("abcdeinrst") for _ in range(20_000))]
+    expected = [len(tokenizer[1].encode(w, add_special_tokens=False).ids) for w in words]
+    assert [machine.count(w.encode()) for w in words] == expected
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(transducers, "MAX_STATES", 50)
+        patch.setattr(transducers, "SLICE_BYTES", 17)
+        assert [machine.count(w.encode()) for w in words] == expected
+        assert len(machine.states) < 200
+
+
+def test_memory_of_words_forgets_the_oldest():
+    memory, asked = transducers.Memory(2), []
+
+    def answer(words):
+        asked.extend(words)
+        return [len(w) for w in words]
+
+    assert memory.look_up([b"a", b"bb", b"ccc"], answer) == [1, 2, 3]
+    assert memory.look_up([b"bb", b"d" * 99], answer) == [2, 99]
+    assert memory.look_up([b"bb", b"x", b"yy", b"d" * 99], answer) == [2, 1, 2, 99]
+    assert asked == [b"a", b"bb", b"ccc", b"d" * 99, b"x", b"yy", b"d" * 99]
+    assert memory.look_up([], answer) == []
+
+
+def test_other_vocabularies_are_refused(tmp_path, tokenizer):
+    import json
+
+    with open(tokenizer[0], encoding="utf-8") as file:
+        model = json.load(file)
+    path = tmp_path / "odd.json"
+    classes = ([0], [transducers.OTHER])
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": None}):
+        path.write_text(json.dumps({**model, **change}))
+        with pytest.raises(ValueError):
+            transducers.Cutter(str(path), classes)
+    path.write_text(json.dumps({**model, "model": {**model["model"], "ignore_merges": True}}))
+    with pytest.raises(ValueError):
+        transducers.CountingMachine(str(path))
+
+
 # ---------------------------------------------------------------- pieces
 
 

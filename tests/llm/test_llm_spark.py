@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from clipflow.llm import common, components, exact, html, kneser_ney, packing, pieces, simhash, suffixes, urls, vptree, warc
+from clipflow.llm import common, components, exact, html, kneser_ney, packing, pieces, queries, simhash, suffixes, transducers, urls, vptree, warc
 from conftest import TABLES
 from workload.compare import connect, difference
 
@@ -412,13 +412,26 @@ def test_nearest_against_all_pairs(spark):
 # ---------------------------------------------------------------- all
 
 
+def test_token_counts_are_those_of_the_library(spark, odd):
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(BPE)
+    count = lambda t: len(model.encode(t or "", add_special_tokens=False).ids)
+    got = [(r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in rows(transducers.token_counts(odd, BPE))]
+    expected = [(i, len((t or "").encode()), count(t), count(t) > 1024) for i, t, _ in ODD]
+    key = lambda r: (r[0] is None, r)
+    assert sorted(got, key=key) == sorted(expected, key=key)
+    query = rows(queries.QUERIES["op13_token_counts"](spark, TABLES))
+    assert {r["doc_id"]: r["n_tokens"] for r in query} == {d["doc_id"]: count(d["text"]) for d in documents()}
+
+
 def test_empty_tables(spark, odd, odd_pages, labels):
     none, no_pages = odd.limit(0), odd_pages.limit(0)
     vectors = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     results = [
         exact.exact_groups(none), exact.drop_copies(none), simhash.near_groups(none), simhash.drop_near_copies(none),
         kneser_ney.classify(none, labels), kneser_ney.classify(none, labels.limit(0)), suffixes.cut_repeats(none),
-        suffixes.drop_repeats(none), packing.pack_documents(none, BPE), pieces.round_trip(none, PIECES), html.main_text(no_pages),
+        suffixes.drop_repeats(none), packing.pack_documents(none, BPE), transducers.token_counts(none, BPE), pieces.round_trip(none, PIECES), html.main_text(no_pages),
         urls.judge(no_pages), warc.archive_report(no_pages), vptree.nearest(vectors, vectors),
     ]
     assert all(not r.collect() for r in results)
