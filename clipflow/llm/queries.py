@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, html, kneser_ney, packing, pieces, simhash, suffixes, transducers, urls, vptree, warc
+from . import codes, exact, html, kneser_ney, packing, pieces, simhash, suffixes, transducers, urls, vptree, warc, whitening
 
 QUERIES = {}
 ORACLES = {}
@@ -146,3 +146,47 @@ def op4(spark, sf):
 @query("op13_token_counts")
 def op13(spark, sf):
     return transducers.token_counts(table(spark, sf, "documents"), byte_bpe())
+
+
+def _code_sql(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024) -> str:
+    """Rounds of assignment and means, one after the other, as common table expressions."""
+    gap = "list_sum(list_transform(range(1, len(x.c) + 1), lambda i: (x.c[i] - b.c[i]) * (x.c[i] - b.c[i])))::bigint"
+    steps = [f"""v as materialized (
+    select vec_id, label, list_transform(embedding, lambda c: floor({scale} * c::double)::bigint) as e from embeddings
+    where embedding is not null and len(embedding) > 0
+      and list_bool_and(list_transform(embedding, lambda c: c is not null and isfinite(c)))
+), x as materialized (
+    select row_number() over () as r, * from (
+        select vec_id, label, p, e[p * len(e) // {parts} + 1:(p + 1) * len(e) // {parts}] as c, rank as row
+        from (select *, row_number() over (order by vec_id) as rank from v), range({parts}) as t(p))
+), b0 as materialized (select p, row - 1 as k, c from x where row <= {entries})"""]
+    for n in range(rounds + 1):
+        steps.append(f"""a{n} as materialized (
+    select x.r, min_by(b.k, (d, b.k)) as k, min(d) as d
+    from (select x.r, b.k, {gap} as d, x.p from x join b{n} b on b.p = x.p) b join x on x.r = b.r group by x.r
+)""")
+        if n < rounds:
+            steps.append(f"""m{n} as (
+    select p, k, list((s - ((s % n) + n) % n) // n order by i)::bigint[] as c from (
+        select x.p, a.k, u.i, sum(x.c[u.i]) as s, count(*) as n
+        from x join a{n} a on a.r = x.r, unnest(range(1, len(x.c) + 1)) as u(i) group by x.p, a.k, u.i)
+    group by p, k
+), b{n + 1} as materialized (select b.p, b.k, coalesce(m.c, b.c) as c from b{n} b left join m{n} m on m.p = b.p and m.k = b.k)""")
+    return f"""with {", ".join(steps)}, coded as (
+    select row, any_value(vec_id) as vec_id, any_value(label) as label,
+           string_agg(printf('%02x', k), '' order by p) as code, sum(d)::bigint as error
+    from x join a{rounds} a on a.r = x.r group by row
+)
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error,
+       (select sha256(string_agg(array_to_string(c, ','), ',' order by p, k)) from b{rounds}) as codebooks_sha256
+from coded"""
+
+
+@query("op11_vector_codes", _code_sql())
+def op11(spark, sf):
+    return codes.encode(table(spark, sf, "embeddings"))
+
+
+@query("op12_whitening")
+def op12(spark, sf):
+    return whitening.whiten(table(spark, sf, "embeddings"))
