@@ -51,10 +51,24 @@ def answer_questions(
     A video that is not known, or has no full clip, has no answer text.
     """
     hot = hot_keys(messages, "conv_id") if hot is None else hot
-    turn = F.concat_ws(":", "conv_id", "turn")
     known = uploads.select(F.col("path").alias("upload"), F.col("video_id").alias("_video"))
     judged = _by_upload(gate_uploads(messages)).join(known, "upload", "left")
-    turns = active_context(judged, ["_video"], hot).withColumn("_turn", turn)
+    turns = active_context(judged, ["_video"], hot)
+    return answer_carried(turns, videos, frames, translator, captioner, length, stride, max_length)
+
+
+def answer_carried(
+    turns: DataFrame,
+    videos: DataFrame,
+    frames: DataFrame,
+    translator: Translator,
+    captioner: Captioner | None = None,
+    length: int = 10,
+    stride: int = 3,
+    max_length: int = MAX_CAPTION_WORDS,
+) -> DataFrame:
+    """The replies of turns whose ``active_video`` and ``_video``, its id, are known."""
+    turns = turns.withColumn("_turn", F.concat_ws(":", "conv_id", "turn"))
     asked = turns.filter((F.col("active_video") != "") & F.col("_video").isNotNull()).select(
         "_turn", F.col("_video").alias("video_id"), ft.echoed_prompt(ft.chat_prompt("text")).alias("_prompt")
     )
@@ -68,7 +82,7 @@ def answer_questions(
         F.col("video_id").alias("_turn"), "summary"
     )
     answered = turns.join(found, "_turn", "left").drop("_turn", "_video")
-    return reply_rows(translated(answered, translator), reply_catalog(messages.sparkSession))
+    return reply_rows(translated(answered, translator), reply_catalog(turns.sparkSession))
 
 
 def translated(turns: DataFrame, translator: Translator) -> DataFrame:

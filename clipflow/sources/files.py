@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from .. import schema
 from ..functions import paths
+from .documents import write_named
 
 #: Output folders: one level per coordinate of a run, however many videos it has.
 COORDINATES = ("experiment", "video_folder")
@@ -85,6 +86,40 @@ def read_subtitles(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*COORDINATES, *_read_video(), F.col("No").alias("cue_no"), F.col("Cue").alias("block"))
 
 
+def write_subtitle_files(blocks: DataFrame, path: str, mode: str = "append") -> None:
+    """One subtitle file per video under its name in the output layout, put together from ``cue_no, block``.
+
+    Needs the run coordinates as columns. ``path`` is a folder that driver and executors share.
+    """
+    name = paths.subtitle_path("", F.col("experiment"), F.col("video_folder"), "stem")
+    write_named(blocks, path, F.ltrim(name, F.lit("/")), F.col("block"), ["cue_no"], mode)
+
+
+def write_caption_files(captions: DataFrame, path: str, mode: str = "append") -> None:
+    """One ``Start,End,Caption`` file per video under its name in the output layout, a video's captions in clip order."""
+    name = paths.caption_path("", F.col("experiment"), F.col("video_folder"), "stem")
+    file = F.ltrim(name, F.lit("/"))
+    cells = F.to_csv(
+        F.struct(F.col("start_frame"), F.col("end_frame"), F.coalesce("caption", F.lit(""))),
+        {"escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"},
+    )
+    lines = captions.select(file.alias("_file"), F.col("clip_no"), F.concat(cells, F.lit("\n")).alias("_line"))
+    header = lines.select("_file").distinct().select(
+        "_file", F.lit(-1).cast("bigint").alias("clip_no"), F.lit("Start,End,Caption\n").alias("_line")
+    )
+    write_named(lines.unionByName(header), path, F.col("_file"), F.col("_line"), ["clip_no"], mode)
+
+
+def write_summary_files(summaries: DataFrame, path: str, mode: str = "append") -> None:
+    """One ``Summary`` file per video under its name in the output layout."""
+    file = F.ltrim(paths.summary_path("", F.col("experiment"), "stem"), F.lit("/"))
+    cell = F.to_csv(
+        F.struct(F.coalesce("summary", F.lit(""))),
+        {"escape": '"', "emptyValue": '""', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"},
+    )
+    write_named(summaries, path, file, F.concat(F.lit("Summary\n"), cell, F.lit("\n")), ["video_id"], mode)
+
+
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema.VIDEOS).parquet(path)
 

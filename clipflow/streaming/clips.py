@@ -6,57 +6,85 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import clips as fc
 from ..functions.arith import int_div
 
 CLIPS = "video_id bigint, clip_no bigint, frame_idx array<bigint>"
-STATE = "samples array<bigint>, h bigint"
 
 
-def assemble_clip_stream(frames: DataFrame, length: int = 10, stride: int = 3) -> DataFrame:
+def assemble_clip_stream(
+    frames: DataFrame, length: int = 10, stride: int = 3, grace_ms: int = 600_000, keep_ms: int = 86_400_000
+) -> DataFrame:
     """Emit a clip as soon as its last sample is in; order of arrival is free.
 
-    ``frames`` has ``video_id, frame_idx, eos``. An end-of-video row sets ``eos`` and
-    holds the number of frames in ``frame_idx``. State is kept per clip, not per
-    video: it never holds more than one clip and is dropped once that is complete,
-    and a busy video spreads over all tasks. The end-of-video row goes to the one
-    clip it can matter for, the trailing one, which is padded if it is the video's
-    only clip and discarded otherwise.
+    ``frames`` has ``video_id, frame_idx, eos``. An end-of-video row sets ``eos`` and holds the number of frames in
+    ``frame_idx``; it reaches every clip of the video. A clip that still lacks frames ``grace_ms`` after that is emitted
+    with those it has, once; a trailing clip that no plan holds is dropped. Frames and ends may be lost, repeated and
+    delivered again. State is kept per clip, not per video, so a busy video spreads over all tasks; it never
+    holds more than one clip, and nothing is left of it ``keep_ms`` after the last news of the clip. Clips none of
+    whose frames arrive are never emitted.
     """
     fc.check_plan(length, stride)
     sample = int_div("frame_idx", stride)
-    h = fc.sample_count("frame_idx", stride)
+    none = F.lit(None).cast("bigint")
     samples = frames.filter(~F.col("eos") & fc.on_stride("frame_idx", stride)).select(
-        "video_id", int_div(sample, length).alias("clip_no"), "frame_idx", F.lit(None).cast("bigint").alias("h")
+        "video_id", int_div(sample, length).alias("clip_no"), "frame_idx", none.alias("h")
     )
-    ends = frames.filter(F.col("eos") & (h % length > 0)).select(
-        "video_id", int_div(h, length).alias("clip_no"), F.lit(None).cast("bigint").alias("frame_idx"), h.alias("h")
+    h = fc.sample_count("frame_idx", stride)
+    ends = frames.filter(F.col("eos") & (h > 0)).select(
+        "video_id", F.explode(F.sequence(F.lit(0).cast("bigint"), int_div(h - 1, length))).alias("clip_no"),
+        none.alias("frame_idx"), h.alias("h"),
     )
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        video_id, clip_no = key
-        held, ended = state.get if state.exists else ([], None)
-        seen = set(held)
-        for batch in batches:
-            seen.update(int(i) for i in batch["frame_idx"].dropna())
-            if batch["h"].notna().any():
-                ended = int(batch["h"].max())
-        expected = length if ended is None else ended % length
-        if len(seen) < expected:
-            state.update((sorted(seen), ended))
-            return
-        if state.exists:
-            state.remove()
-        if ended is not None and clip_no > 0:
-            return
-        order = sorted(seen)
-        clip = [order[i % len(order)] for i in range(length)]
-        yield pd.DataFrame({"video_id": [video_id], "clip_no": [clip_no], "frame_idx": [clip]})
-
-    return (
-        samples.unionByName(ends)
-        .groupBy("video_id", "clip_no")
-        .applyInPandasWithState(step, CLIPS, STATE, "append", GroupStateTimeout.NoTimeout)
-    )
+    class Clips(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.held = handle.getValueState("held", "samples array<bigint>, h bigint, done boolean", keep_ms)
+
+        def _clip(self, key: tuple, seen: list, h: int | None) -> Iterator[pd.DataFrame]:
+            """What is there of the clip's plan; a clip without an end among its news is a full one."""
+            video_id, clip_no = key
+            if h is not None and h < length:
+                plan = [i % h * stride for i in range(length)]
+            else:
+                plan = [(clip_no * length + i) * stride for i in range(length)]
+            present = set(seen)
+            found = [i for i in plan if i in present]
+            if found:
+                yield pd.DataFrame({"video_id": [video_id], "clip_no": [clip_no], "frame_idx": [found]})
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            samples, h, done = self.held.get() or ([], None, False)
+            seen = set(samples)
+            ended = h is not None
+            for batch in rows:
+                seen.update(int(i) for i in batch["frame_idx"].dropna())
+                if batch["h"].notna().any():
+                    h = int(batch["h"].max())
+            if done:
+                return
+            clip_no = key[1]
+            extra = h is not None and clip_no >= max(1, h // length)
+            wanted = length if h is None or h >= length else h
+            if extra or len(seen) >= wanted:
+                self.held.update(([], h, True))
+                if not extra:
+                    yield from self._clip(key, sorted(seen), h)
+                return
+            self.held.update((sorted(seen), h, False))
+            if h is not None and not ended:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + grace_ms)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            held = self.held.get()
+            if held and not held[2]:
+                self.held.update(([], held[1], True))
+                yield from self._clip(key, list(held[0]), held[1])
+
+        def close(self) -> None:
+            pass
+
+    arrived = samples.unionByName(ends).groupBy("video_id", "clip_no")
+    return arrived.transformWithStateInPandas(Clips(), CLIPS, "append", "ProcessingTime")

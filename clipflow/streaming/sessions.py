@@ -1,65 +1,145 @@
-"""The active video of chat sessions while messages arrive."""
+"""The active video of chat sessions while messages arrive, and answers to them."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions.models import Translator
-from ..operators.chat import gate_uploads, reply_catalog, reply_rows
+from ..functions.models import MAX_CAPTION_WORDS, Captioner, Translator
+from ..operators.chat import gate_uploads
+from ..plans.chat import answer_carried
+from .run import latest, run_batches
 
-STATE = "active_video string, context string"
+#: Turns whose numbers fall into one page of a session's state, which is read and written as a whole.
+PAGE_TURNS = 4096
 
 
-def active_video_stream(gated: DataFrame, context: str | None = None) -> DataFrame:
-    """Carry the active video of each session from message to message.
+def active_video_stream(
+    gated: DataFrame, context: str | None = None, expire_ms: int | None = None, page_turns: int = PAGE_TURNS
+) -> DataFrame:
+    """Carry the active video of each session from message to message, in the order of turns whatever arrives first.
 
-    State is one path (and one context text) per session. A group holds the messages
-    one micro-batch brought for a session, so its size follows from the source's
-    admission limit; within a batch messages are taken by ``turn``. ``step`` uses no
-    name of this module, so executors need not have it installed.
+    ``conv_id`` and ``turn`` name a message. With ``context``, that text column of the turn that set the video goes along.
+    A message's row has a ``revision``; where a late one changes what holds for those behind it, these come
+    again with a higher one, so ``latest`` of a table of all rows is what the batch has. A message that
+    is delivered again replaces itself.
+
+    A session's turns are kept in pages by turn number; a micro-batch reads and writes the pages it brings turns for
+    and those whose first video changes, one at a time. A session without news for
+    ``expire_ms`` is forgotten.
     """
     rows = gated if context else gated.withColumn("_context", F.lit(None).cast("string"))
     known = context or "_context"
-    kept = [f for f in rows.schema.fields if f.name not in ("active_set", known)]
-    out = T.StructType([*kept, T.StructField("active_video", T.StringType()), T.StructField(known, T.StringType())])
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        video, text = state.get if state.exists else ("", None)
-        turns = pd.concat(list(batches)).sort_values("turn", ignore_index=True)
-        changes = turns["active_set"].notna()
-        # position of the latest change up to each turn; -1 before the first one
-        latest = changes.index.to_series().where(changes).ffill().fillna(-1).astype(int)
-        videos = [*turns["active_set"], video]
-        texts = [*turns[known], text]
-        turns["active_video"] = [videos[i] for i in latest]
-        turns[known] = [texts[i] for i in latest]
-        last = turns[known].iloc[-1]
-        state.update((turns["active_video"].iloc[-1], last if isinstance(last, str) else None))
-        yield turns[out.names]
-
-    carried = rows.groupBy("conv_id").applyInPandasWithState(
-        step, out, STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    kept = T.StructType([f for f in rows.schema.fields if f.name != "active_set"])
+    text = T.StringType()
+    out = T.StructType([*kept.fields, T.StructField("active_video", text), T.StructField("revision", T.LongType())])
+    own = [T.StructField("active_set", text), T.StructField("_told_video", text), T.StructField("_told_text", text)]
+    layout = to_arrow_schema(T.StructType([*kept.fields, *own]))
+    names, given = layout.names, rows.columns
+
+    class Sessions(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.pages = handle.getMapState("pages", "page bigint", "rows binary", expire_ms)
+            self.known = handle.getValueState("known", "pages array<bigint>, revision bigint", expire_ms)
+
+        def _load(self, page: int) -> pd.DataFrame:
+            return pa.ipc.open_stream(self.pages.getValue((page,))[0]).read_pandas()
+
+        def _store(self, page: int, turns: pd.DataFrame) -> None:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, layout) as writer:
+                writer.write_table(pa.Table.from_pandas(turns[names], schema=layout, preserve_index=False))
+            self.pages.updateValue((page,), (sink.getvalue().to_pybytes(),))
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            word = lambda v: v if isinstance(v, str) else None
+            held = self.known.get()
+            pages, revision = (list(held[0]), held[1] + 1) if held else ([], 0)
+            touched = set()
+            for batch in rows:
+                # by place: names that begin with an underscore come changed; nothing has been told of these rows yet
+                batch = batch.set_axis(given, axis=1).reindex(columns=names)
+                for page, some in batch.groupby(batch["turn"] // page_turns):
+                    page = int(page)
+                    if page in touched or page in pages:
+                        some = pd.concat([self._load(page), some[names]])
+                    self._store(page, some.drop_duplicates("turn", keep="last").sort_values("turn", ignore_index=True))
+                    touched.add(page)
+            pages = sorted(touched.union(pages))
+            self.known.update((pages, revision))
+
+            end, behind = None, False  # what holds after the page before, if known; whether that may have changed
+            for at, page in enumerate(pages):
+                if page not in touched and not behind:
+                    end = None
+                    continue
+                turns = self._load(page)
+                if end is None:
+                    end = ("", None)
+                    if at:
+                        last = self._load(pages[at - 1]).iloc[-1]
+                        end = (last["_told_video"], word(last["_told_text"]))
+                then = [(v, word(t)) for v, t in zip(turns["_told_video"], turns["_told_text"])]
+                now = []
+                for video, of_video in zip(turns["active_set"], turns[known]):
+                    if isinstance(video, str):
+                        end = (video, word(of_video))
+                    now.append(end)
+                told = [a != b for a, b in zip(then, now)]
+                behind = page in touched or told[-1]
+                if any(told):
+                    self._store(page, turns.assign(_told_video=[v for v, _ in now], _told_text=[t for _, t in now]))
+                    news = turns[told].copy()
+                    news["active_video"] = [v for (v, _), t in zip(now, told) if t]
+                    news[known] = [c for (_, c), t in zip(now, told) if t]
+                    news["revision"] = revision
+                    yield news[out.names]
+
+        def close(self) -> None:
+            pass
+
+    mode = "none" if expire_ms is None else "ProcessingTime"
+    carried = rows.groupBy("conv_id").transformWithStateInPandas(Sessions(), out, "append", mode)
     return carried if context else carried.drop("_context")
 
 
-def reply_stream(messages: DataFrame, summaries_of: DataFrame, translator: Translator) -> DataFrame:
-    """Replies to every message as it arrives.
+def answer_stream(
+    messages: DataFrame,
+    uploads: DataFrame,
+    videos: DataFrame,
+    frames: DataFrame,
+    translator: Translator,
+    captioner: Captioner | None = None,
+    length: int = 10,
+    stride: int = 3,
+    max_length: int = MAX_CAPTION_WORDS,
+    expire_ms: int | None = None,
+    path: str | None = None,
+) -> DataFrame | None:
+    """Replies to all messages that have arrived, each from captions made for its own question.
 
-    ``summaries_of`` is a stored table of ``upload, summary``; each micro-batch joins
-    it to the uploads it brought before the session state takes over.
+    The stream form of ``answer_questions``: session state says which video a turn is about, and the turns of
+    a micro-batch are captioned, summarised and translated inside it. ``uploads``, ``videos`` and
+    ``frames`` are tables; what is added to them serves later micro-batches. Another call with the same ``path`` goes on
+    with messages that have arrived since. None if nothing has ever arrived.
     """
+    known = uploads.select(F.col("path").alias("upload"), F.col("video_id").cast("string").alias("_video"))
     judged = gate_uploads(messages).withColumn(
         "upload", F.coalesce("upload", F.concat_ws(" ", F.lit("none"), "conv_id", "turn"))
     )
-    known = judged.join(summaries_of, "upload", "left").select(
-        "conv_id", "turn", "text", "lang", "status", "active_set", "summary"
-    )
-    turns = active_video_stream(known, context="summary")
-    return reply_rows(
-        turns.withColumn("translation", translator(F.col("summary"))), reply_catalog(messages.sparkSession)
-    )
+    asked = judged.join(known, "upload", "left").select("conv_id", "turn", "text", "lang", "status", "active_set", "_video")
+    turns = active_video_stream(asked, context="_video", expire_ms=expire_ms)
+
+    def reply(rows: DataFrame) -> DataFrame:
+        carried = rows.withColumn("_video", F.col("_video").cast("bigint"))
+        said = answer_carried(carried, videos, frames, translator, captioner, length, stride, max_length)
+        revised = rows.select("conv_id", "turn", "revision").distinct()
+        return said.join(revised, ["conv_id", "turn"])
+
+    replies = run_batches(turns, reply, path)
+    return None if replies is None else latest(replies, "conv_id", "turn")

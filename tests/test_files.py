@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from clipflow import session
 from clipflow.plans.captioning import caption_videos
 from clipflow.sources import files
+from clipflow.sources.documents import list_named, write_named
 
 CAPTIONS = ['two\nlines and "quotes"', "", "NA", None, 'back\\slash "q\\" end', "  spaces around  ", "a,b;c"]
 
@@ -94,3 +95,32 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
     with pytest.raises(ValueError):
         session.shared_dir(Session())
     assert session.scratch_path(spark, "x") != session.scratch_path(spark, "x")
+
+
+def test_named_files_are_whole_and_in_order(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [(f"a/{k % 3}.txt", k, f"line {k} ü\n") for k in range(300)] + [("b/empty.txt", 0, ""), ("b/none.txt", 0, None)],
+        "name string, at int, text string",
+    ).repartition(7)
+    root = str(tmp_path / "out")
+    write = lambda mode="append": write_named(rows, root, F.col("name"), F.col("text"), ["at"], mode)
+    write()
+    there = lambda: {str(p.relative_to(root)): p.read_text() for p in (tmp_path / "out").rglob("*") if p.is_file() and p.suffix == ".txt"}
+    found = there()
+    listed = {r["file"]: bytes(r["content"]).decode() for r in list_named(spark, root).collect()}
+    assert listed == {name: text for name, text in found.items() if text}
+    assert found == {f"a/{m}.txt": "".join(f"line {k} ü\n" for k in range(m, 300, 3)) for m in range(3)} | {"b/empty.txt": "", "b/none.txt": ""}
+    with pytest.raises(Exception, match="already"):
+        write()
+    (tmp_path / "out" / "a" / "0.txt").write_text("old")
+    write("overwrite")
+    assert there() == found
+    assert {p.name for p in (tmp_path / "out").iterdir()} == {"a", "b"}
+
+
+def test_failed_tasks_leave_no_files(spark, tmp_path):
+    root = tmp_path / "out"
+    broken = F.when(F.col("id") == 40, F.raise_error(F.lit("lost"))).otherwise(F.col("id").cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        write_named(spark.range(50), str(root), F.concat(F.lit("f"), (F.col("id") % 5).cast("string")), broken, ["id"])
+    assert not root.exists() or [p.name for p in root.rglob("*")] == []

@@ -11,7 +11,7 @@ from clipflow.operators.clips import plan_clips
 from clipflow.operators.scoring import score_clips, score_prompts
 from clipflow.session import HOT_ROWS
 from clipflow.streaming.clips import assemble_clip_stream
-from clipflow.streaming.run import run_to_table
+from clipflow.streaming.run import latest, run_batches, run_to_table
 from clipflow.streaming.sessions import active_video_stream
 
 
@@ -243,14 +243,94 @@ def test_clip_stream_takes_frames_in_any_order(spark, tmp_path, files):
     same(run_to_table(assemble_clip_stream(stream, 4, 3)), plan_clips(videos, 4, 3))
 
 
-def test_session_stream_remembers_between_batches(spark, tmp_path):
-    layout = "conv_id bigint, turn bigint, active_set string"
-    rng = random.Random(2)
-    rows = [(c, t, rng.choice([None, None, "", f"v{c}{t}"])) for c in range(6) for t in range(12)]
+def test_clip_stream_closes_what_lacks_frames_once(spark, tmp_path):
+    rng = random.Random(9)
+    length, stride = 4, 3
+    sizes = {v: rng.randint(1, 60) for v in range(10)}
+    frames = [(v, i) for v, n in sizes.items() for i in range(n) if rng.random() < 0.8]
+    rows = [(v, i, False) for v, i in frames + rng.sample(frames, 40)] + [(v, n, True) for v, n in sizes.items()]
+    rng.shuffle(rows)
+    layout = "video_id bigint, frame_idx bigint, eos boolean"
+    folder, target = str(tmp_path / "in"), str(tmp_path / "out")
+    ends = [r for r in rows if r[2]]
+    # late frames of closed clips and ends that come again change nothing
+    for part in (rows, ends, [r for r in rows if not r[2]][:30] + ends, ends):
+        spark.createDataFrame(part, layout).repartition(3).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(layout).option("maxFilesPerTrigger", 2).parquet(folder)
+        found = run_to_table(assemble_clip_stream(stream, length, stride, grace_ms=1), target)
+    got = sorted((r["video_id"], r["clip_no"], r["frame_idx"]) for r in found.collect())
+    present = set(frames)
+    expected = []
+    for v, n in sizes.items():
+        h = -(-n // stride)
+        for c in range(max(1, h // length)):
+            plan = [(i % h if h < length else c * length + i) * stride for i in range(length)]
+            kept = [i for i in plan if (v, i) in present]
+            if kept:
+                expected.append((v, c, kept))
+    assert got == sorted(expected)
+
+
+@pytest.mark.parametrize("page_turns", [3, 4096])
+def test_session_stream_takes_turns_in_any_order(spark, tmp_path, page_turns):
+    layout = "conv_id bigint, turn bigint, active_set string, note string"
+    rng = random.Random(page_turns)
+    rows = [(c, t, rng.choice([None, None, None, "", f"v{c}{t}"]), rng.choice([None, f"n{t}"])) for c in range(6) for t in range(25)]
+    arriving = rows + rng.sample(rows, 30)  # some are delivered again
+    rng.shuffle(arriving)
     folder = str(tmp_path / "in")
-    for part in range(4):
-        batch = [r for r in rows if r[1] // 3 == part]
-        spark.createDataFrame(batch, layout).coalesce(1).write.mode("append").parquet(folder)
+    for part in range(5):
+        spark.createDataFrame(arriving[part::5], layout).coalesce(1).write.mode("append").parquet(folder)
     stream = spark.readStream.schema(layout).option("maxFilesPerTrigger", 1).parquet(folder)
-    got = run_to_table(active_video_stream(stream)).select("conv_id", "turn", "active_video")
-    same(got, chat.active_video(spark.createDataFrame(rows, layout)).select("conv_id", "turn", "active_video"))
+    table = run_to_table(active_video_stream(stream, context="note", page_turns=page_turns))
+    batch = chat.active_context(spark.createDataFrame(rows, layout), ["note"])
+    columns = ["conv_id", "turn", "active_video", "note"]
+    same(latest(table, "conv_id", "turn").select(columns), batch.select(columns))
+
+
+def test_session_stream_goes_on_where_it_ended(spark, tmp_path):
+    layout = "conv_id bigint, turn bigint, active_set string"
+    folder, target = str(tmp_path / "in"), str(tmp_path / "out")
+    for rows, expected in (
+        ([(1, 0, "a"), (1, 5, None)], {0: "a", 5: "a"}),
+        ([(1, 3, "b")], {0: "a", 3: "b", 5: "b"}),
+        ([(1, 4, "")], {0: "a", 3: "b", 4: "", 5: ""}),
+        ([(1, 0, None)], {0: "", 3: "b", 4: "", 5: ""}),
+    ):
+        spark.createDataFrame(rows, layout).coalesce(1).write.mode("append").parquet(folder)
+        table = run_to_table(active_video_stream(spark.readStream.schema(layout).parquet(folder), page_turns=2), target)
+        assert {r["turn"]: r["active_video"] for r in latest(table, "conv_id", "turn").collect()} == expected
+
+
+def test_a_long_session_in_one_batch(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    turns = spark.range(200_000).select(
+        F.lit(1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") % 1000 == 7, F.concat(F.lit("v"), F.col("id").cast("string"))).alias("active_set"),
+    )
+    turns.repartition(4).write.parquet(folder)
+    stream = spark.readStream.schema(turns.schema).parquet(folder)
+    got = run_to_table(active_video_stream(stream))
+    held = F.when(F.col("turn") < 7, "").otherwise(F.concat(F.lit("v"), ((F.col("turn") - 7) - (F.col("turn") - 7) % 1000 + 7).cast("string")))
+    assert got.count() == 200_000 and got.filter(F.col("active_video") != held).count() == 0
+
+
+def test_repeated_micro_batches_replace_their_results(spark, tmp_path):
+    folder, target = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.range(3).write.parquet(folder)
+    stream = spark.readStream.schema("id bigint").parquet(folder)
+    calls = []
+
+    def work(rows):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        return rows.withColumn("twice", F.col("id") * 2)
+
+    assert run_batches(stream, work, target).count() == 3
+    spark.range(3, 5).write.mode("append").parquet(folder)
+    with pytest.raises(Exception, match="lost"):
+        run_batches(stream, work, target)
+    assert sorted(r["twice"] for r in run_batches(stream, work, target).collect()) == [0, 2, 4, 6, 8]
+    (tmp_path / "none").mkdir()
+    assert run_batches(spark.readStream.schema("id bigint").parquet(str(tmp_path / "none")), work, str(tmp_path / "never")) is None

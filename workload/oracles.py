@@ -402,7 +402,6 @@ ORACLES["clip_frame_members_join"] = ORACLES["clip_frame_members"]
 ORACLES["zero_shot_scores_blocks"] = ORACLES["zero_shot_scores"]
 ORACLES["stream_active_video"] = ORACLES["active_video"]
 ORACLES["stream_clips"] = ORACLES["clip_index_plan_padded"]
-ORACLES["stream_turns"] = ORACLES["chat_replies"]
 ORACLES["caption_batch_reuse"] = ORACLES["caption_batch"]
 ORACLES["caption_cut_batch"] = ORACLES["caption_batch"].replace(VIDEOS.strip(), CUT_VIDEOS.strip())
 ORACLES["hierarchical_summary_udf"] = ORACLES["hierarchical_summary"]
@@ -427,3 +426,34 @@ ORACLES["chat_questions"] = with_(
     REPLIES[-1],
     select=REPLIES_SELECT,
 )
+ORACLES["stream_turns"] = ORACLES["chat_questions"]
+ORACLES["stream_history"] = ORACLES["chat_questions"].replace(
+    REPLIES_SELECT,
+    """select conv_id,
+              string_agg(coalesce("user", '-') || '|' || coalesce(bot, '-'), chr(10) order by turn, pos) as history
+       from replies group by conv_id""",
+)
+ORACLES["stream_clips_lossy"] = with_(
+    VIDEOS, FRAMES, clips(8, 8),
+    select="""select video_id, clip_no, string_agg(frame_idx::varchar, ',' order by i) as frame_idx
+              from positions join frames using (video_id, frame_idx) where event_type <> 'error' group by video_id, clip_no""",
+)
+ORACLES["srt_document_lines"] = ORACLES["srt_document"].replace("|| text ||", "|| replace(text, chr(10), '') ||")
+_CELL = """case when {0} = '' then {1} when regexp_matches({0}, '[,"\n\r]') then '"' || replace({0}, '"', '""') || '"' else {0} end"""
+ORACLES["output_files"] = with_(
+    CAPTIONS, CAPTION_CATALOG, SRT_CUES, STRIPPED, JOINED,
+    "heads as (select video_id, substring(text, 1, 4000) as text from joined)", summary("s", "heads", "video_id", "text"),
+    f"""whole as (
+      select 'csv_captions/exp/folder/output_d_' || video_id || '.csv' as file,
+             'Start,End,Caption' || chr(10)
+             || string_agg(start_frame || ',' || end_frame || ',' || {_CELL.format("coalesce(caption, '')", "''")} || chr(10), '' order by clip_no) as content
+      from captions group by video_id
+      union all
+      select 'srt_captions/exp/folder/output_d_' || video_id || '.srt',
+             string_agg(cue_no || chr(10) || start_tc || ' --> ' || end_tc || chr(10) || text || chr(10) || chr(10), '' order by cue_no)
+      from cues group by video_id
+      union all
+      select 'summary/exp/summary_d_' || video_id || '.csv',
+             'Summary' || chr(10) || {_CELL.format("coalesce(summary, '')", "'" + '""' + "'")} || chr(10) from s)""",
+    select="select file, octet_length(encode(content))::bigint as length, sha256(content) as digest from whole",
+)

@@ -13,9 +13,10 @@ from clipflow.plans import captioning, chat as chat_plan, scoring as score_plan,
 from clipflow.schema import LONG, TEXT
 from clipflow.session import scratch_path
 from clipflow.sources import files
+from clipflow.sources.documents import list_named
 from clipflow.streaming.clips import assemble_clip_stream
-from clipflow.streaming.run import run_to_table
-from clipflow.streaming.sessions import active_video_stream, reply_stream
+from clipflow.streaming.run import latest, run_to_table
+from clipflow.streaming.sessions import active_video_stream, answer_stream
 
 from . import fixtures as fx
 
@@ -330,6 +331,25 @@ def srt_document(spark, sf):
     return subtitles.subtitle_documents(fx.captions(spark, sf), fx.caption_catalog(spark, sf), fx.PROMPT)
 
 
+@query
+def srt_document_lines(spark, sf):
+    """Cues whose texts have no line breaks of their own."""
+    return subtitles.subtitle_documents(fx.captions(spark, sf), fx.caption_catalog(spark, sf), fx.PROMPT, strip_newlines=True)
+
+
+@query
+def output_files(spark, sf):
+    """Caption, subtitle and summary files by name, as read back."""
+    root = scratch_path(spark, "files")
+    captions, catalog = fx.captions(spark, sf), fx.caption_catalog(spark, sf)
+    names = catalog.select("video_id", paths.base_name("path").alias("name"))
+    placed = lambda rows: files.with_coordinates(rows.join(names, "video_id"), "exp", "folder", "name")
+    files.write_caption_files(placed(captions), root)
+    files.write_subtitle_files(placed(subtitles.subtitle_blocks(captions, catalog, fx.PROMPT)), root)
+    files.write_summary_files(placed(summaries.head_summary(captions, fx.PROMPT)), root)
+    return list_named(spark, root).select("file", "length", F.sha2("content", 256).alias("digest"))
+
+
 @query
 def output_paths(spark, sf):
     name = paths.base_name("path")
@@ -440,25 +460,14 @@ def chat_replies(spark, sf):
 @query
 def chat_questions(spark, sf):
     """Every turn answered from captions made under its own question."""
-    videos = fx.videos(spark, sf)
-    n_videos = videos.count()
-    named = fx.messages(spark, sf).select("conv_id", "turn", F.explode("files").alias("path")).distinct()
-    uploads = named.select("path", ((F.col("conv_id") * 31 + F.col("turn")) % n_videos).alias("video_id"))
-
-    def describe(payload, prompt):
-        size, asked = F.size(payload).cast("string"), F.length(prompt).cast("string")
-        return F.concat(prompt, F.lit("Clip of "), size, F.lit(" frames, asked in "), asked, F.lit(" characters."))
-
     return chat_plan.answer_questions(
-        fx.messages(spark, sf), uploads, videos, fx.frames(spark, sf), fx.translation_of("conv_id"), describe, 5, 3
+        fx.messages(spark, sf), *_asked_videos(spark, sf), fx.translation_of("conv_id"), _describe, 5, 3
     )
 
 
 @query
 def chat_history(spark, sf):
-    said = chat.chat_history(_replies(spark, sf))
-    entry = lambda e: F.concat(F.coalesce(e["user"], F.lit("-")), F.lit("|"), F.coalesce(e["bot"], F.lit("-")))
-    return said.select("conv_id", F.array_join(F.transform("history", entry), "\n").alias("history"))
+    return _history(_replies(spark, sf))
 
 
 # ---------------------------------------------------------------- streams
@@ -467,7 +476,7 @@ def chat_history(spark, sf):
 @query
 def stream_active_video(spark, sf):
     gated = chat.gate_uploads(_message_stream(spark, sf)).select("conv_id", "turn", "active_set")
-    return run_to_table(active_video_stream(gated))
+    return latest(run_to_table(active_video_stream(gated)), "conv_id", "turn")
 
 
 @query
@@ -482,13 +491,35 @@ def stream_clips(spark, sf):
     return run_to_table(assemble_clip_stream(stream, 8, 8)).withColumn("frame_idx", listed("frame_idx"))
 
 
+@query
+def stream_clips_lossy(spark, sf):
+    """Frames that failed to decode never come, others come twice; clips that lack frames are closed by the end of the video."""
+    layout = T.StructType([T.StructField("video_id", LONG), T.StructField("frame_idx", LONG), T.StructField("eos", T.BooleanType())])
+    arriving = _decoded(spark, sf).select("video_id", "frame_idx", F.lit(False).alias("eos"))
+    ends = fx.videos(spark, sf).select("video_id", F.col("n_frames").alias("frame_idx"), F.lit(True).alias("eos"))
+    path, target = scratch_path(spark, "frames"), scratch_path(spark, "stream")
+    again = arriving.filter("frame_idx % 5 = 0")
+    arriving.unionByName(again).unionByName(ends).repartition(6).write.parquet(path)
+    for late in (ends, ends):  # ends that are delivered again bring micro-batches in which clips are closed
+        stream = files.stream_parquet(spark, path, layout, files_per_trigger=3)
+        found = run_to_table(assemble_clip_stream(stream, 8, 8, grace_ms=1), target)
+        late.repartition(1).write.mode("append").parquet(path)
+    stream = files.stream_parquet(spark, path, layout, files_per_trigger=3)
+    found = run_to_table(assemble_clip_stream(stream, 8, 8, grace_ms=1), target)
+    return found.withColumn("frame_idx", listed("frame_idx"))
+
+
 @query
 def stream_turns(spark, sf):
-    known = chat_plan.upload_summaries(fx.uploads(spark, sf), _summaries(spark, sf))
-    path = scratch_path(spark, "summaries")
-    known.write.parquet(path)
-    replies = reply_stream(_message_stream(spark, sf), spark.read.parquet(path), fx.translation_of("conv_id"))
-    return run_to_table(replies)
+    """Streamed turns, each answered inside its micro-batch from captions made under its own question."""
+    return answer_stream(_message_stream(spark, sf), *_asked_videos(spark, sf), fx.translation_of("conv_id"), _describe, 5, 3)
+
+
+@query
+def stream_history(spark, sf):
+    """Sessions' entries as they grow by micro-batches."""
+    replies = answer_stream(_message_stream(spark, sf), *_asked_videos(spark, sf), fx.translation_of("conv_id"), _describe, 5, 3)
+    return _history(replies)
 
 
 # ---------------------------------------------------------------- shared parts
@@ -527,9 +558,28 @@ def _message_stream(spark, sf):
     layout = T.StructType(
         [T.StructField("conv_id", LONG), T.StructField("turn", LONG), T.StructField("role", TEXT), T.StructField("text", TEXT)]
     )
-    # the table arrives in turns, six files and so six micro-batches; a conversation's turns keep their order
+    # eight files of rows in no order, three to a micro-batch: turns arrive late and out of turn
     path = scratch_path(spark, "conversations")
     said = fx.table(spark, sf, "conversations").select(*layout.names)
-    for part in range(6):
-        said.filter(F.least(F.col("turn"), F.lit(5)) == part).repartition(1).write.mode("append").parquet(path)
-    return fx.message_columns(files.stream_parquet(spark, path, layout, files_per_trigger=1))
+    said.repartition(8, F.xxhash64("conv_id", "turn", "role")).write.parquet(path)
+    return fx.message_columns(files.stream_parquet(spark, path, layout, files_per_trigger=3))
+
+
+def _asked_videos(spark, sf):
+    """Which video an upload stands for, the catalog, and the frames."""
+    videos = fx.videos(spark, sf)
+    n_videos = videos.count()
+    named = fx.messages(spark, sf).select("conv_id", "turn", F.explode("files").alias("path")).distinct()
+    uploads = named.select("path", ((F.col("conv_id") * 31 + F.col("turn")) % n_videos).alias("video_id"))
+    return uploads, videos, fx.frames(spark, sf)
+
+
+def _describe(payload, prompt):
+    size, asked = F.size(payload).cast("string"), F.length(prompt).cast("string")
+    return F.concat(prompt, F.lit("Clip of "), size, F.lit(" frames, asked in "), asked, F.lit(" characters."))
+
+
+def _history(replies):
+    said = chat.chat_history(replies)
+    entry = lambda e: F.concat(F.coalesce(e["user"], F.lit("-")), F.lit("|"), F.coalesce(e["bot"], F.lit("-")))
+    return said.select("conv_id", F.array_join(F.transform("history", entry), "\n").alias("history"))
