@@ -1,7 +1,8 @@
 """Model hooks: plain column functions, with deterministic defaults.
 
 A captioner maps ``(payload array, prompt)`` to the model's answer, which echoes
-the prompt. A translator maps a text to its translation, or NULL on failure.
+the prompt. A translator maps a text to its translation, or NULL on failure, or to a struct ``text, error``
+that keeps what a failure said.
 """
 
 from __future__ import annotations
@@ -74,6 +75,33 @@ def udf_summarizer(load: Callable[[], Callable[[pd.Series], pd.Series]]) -> Summ
     return summary.asNondeterministic()
 
 
+def udf_translator(load: Callable[[], Callable[[str], str]], attempts: int = 3) -> Translator:
+    """Wrap a translating function that may raise: ``load`` runs once per worker stream.
+
+    A text that an Arrow batch holds many times is asked for once. One that fails ``attempts`` times has no translation
+    but the text of its last error; NULL stays NULL and is not asked for.
+    """
+    if attempts < 1:
+        raise ValueError(f"at least one attempt is needed, got {attempts}")
+
+    @F.pandas_udf("text string, error string")
+    def translate(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        ask = load()
+        for texts in batches:
+            known: dict[str, tuple] = {}
+            for text in texts.dropna().unique():
+                for _ in range(attempts):
+                    try:
+                        known[text] = (ask(text), None)
+                        break
+                    except Exception as failure:  # whatever a remote service raises is its answer
+                        known[text] = (None, str(failure) or type(failure).__name__)
+            answers = [known.get(text, (None, None)) for text in texts]
+            yield pd.DataFrame(answers, columns=["text", "error"])
+
+    return translate.asNondeterministic()
+
+
 def lookup_translator(translations: dict[str, str]) -> Translator:
     """A fixed phrase table as translator; unknown texts count as failures."""
     pairs = [F.lit(x) for pair in translations.items() for x in pair]

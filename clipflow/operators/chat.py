@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import media, paths
 from ..functions.models import Translator
@@ -31,7 +31,7 @@ REPLY_CATALOG = [
     ("translated", "it", 0, "bot", "translation", ""),
     ("translated", "it", 1, "bot", "text", "Le didascalie sono nel file qui sotto."),
     ("translated", "it", 2, "bot", "file", ""),
-    ("untranslated", "it", 0, "bot", "text", "La traduzione non è riuscita."),
+    ("untranslated", "it", 0, "bot", "failure", "La traduzione non è riuscita."),
     ("untranslated", "it", 1, "bot", "text", "Segue il testo originale:"),
     ("untranslated", "it", 2, "bot", "summary", ""),
     ("untranslated", "it", 3, "bot", "text", "Le didascalie sono nel file qui sotto."),
@@ -86,22 +86,38 @@ def translate_with_fallback(
 ) -> DataFrame:
     """Ordered output rows per text: the translation, or two notices and the text itself.
 
-    Translations come from a table keyed like the texts or from a hook. ``request``
-    holds what a remote translator would be sent.
+    Translations come from a table keyed like the texts or from a hook; the first notice has the text of a hook's
+    error. ``request`` holds what a remote translator would be sent.
     """
     if translations is not None:
-        known = texts.join(translations.select(key, "translation"), key, "left")
+        known = texts.join(translations.select(key, "translation"), key, "left").withColumn("error", _nothing())
     else:
-        hook = translator or (lambda _: F.lit(None).cast("string"))
-        known = texts.withColumn("translation", hook(F.col(text)))
-    notice = {row[2]: row[5] for row in REPLY_CATALOG if row[0] == "untranslated" and row[4] == "text"}
-    failed = F.array(F.lit(notice[0]), F.lit(notice[1]), F.col(text))
+        known = with_translation(texts, text, translator or (lambda _: _nothing()))
+    notice = {row[2]: row[5] for row in REPLY_CATALOG if row[0] == "untranslated" and row[4] in ("text", "failure")}
+    failed = F.array(failure_notice(F.lit(notice[0]), F.col("error")), F.lit(notice[1]), F.col(text))
     rows = F.when(F.col("translation").isNull(), failed).otherwise(F.array("translation"))
     return known.select(
         key, F.concat(F.lit(prefix), F.col(text)).alias("request"), F.posexplode(rows).alias("pos", "output")
     )
 
 
+def _nothing() -> Column:
+    return F.lit(None).cast("string")
+
+
+def with_translation(texts: DataFrame, text: str, translator: Translator) -> DataFrame:
+    """Add what a hook says of a text as ``translation`` and ``error``."""
+    asked = texts.withColumn("_said", translator(F.col(text)))
+    if not isinstance(asked.schema["_said"].dataType, T.StructType):
+        return asked.withColumnsRenamed({"_said": "translation"}).withColumn("error", _nothing())
+    return asked.withColumns({"translation": F.col("_said.text"), "error": F.col("_said.error")}).drop("_said")
+
+
+def failure_notice(wording: Column, error: Column) -> Column:
+    """The notice of a failed translation, followed by what the failure said."""
+    return F.when(error.isNull(), wording).otherwise(F.concat(F.rtrim(wording, F.lit(".")), F.lit(": "), error))
+
+
 def reply_language(lang: str) -> Column:
     """Italian where that is asked for; everything else, NULL too, is answered in English."""
     return F.when(F.col(lang) == "it", "it").otherwise("en")
@@ -115,6 +131,8 @@ def reply_rows(turns: DataFrame, catalog: DataFrame) -> DataFrame:
     a few dozen rows and is broadcast.
     """
     turns = turns.withColumn("lang", reply_language("lang"))
+    if "error" not in turns.columns:
+        turns = turns.withColumn("error", _nothing())
     translated = F.when(F.col("translation").isNotNull(), "translated").otherwise("untranslated")
     answer = (
         F.when(F.col("active_video") == "", F.lit("no_video"))
@@ -128,13 +146,14 @@ def reply_rows(turns: DataFrame, catalog: DataFrame) -> DataFrame:
         F.struct(answer.alias("situation"), (verdict_rows + 1).alias("base")),
     )
     fanned = turns.select(
-        "conv_id", "turn", "lang", "text", "active_video", "summary", "translation", F.inline(situations)
+        "conv_id", "turn", "lang", "text", "active_video", "summary", "translation", "error", F.inline(situations)
     ).withColumnRenamed("situation", "status")
     filled = (
         F.when(F.col("kind") == "message", F.col("text"))
         .when(F.col("kind") == "video", F.col("active_video"))
         .when(F.col("kind") == "summary", F.col("summary"))
         .when(F.col("kind") == "translation", F.col("translation"))
+        .when(F.col("kind") == "failure", failure_notice(F.col("wording"), F.col("error")))
         .when(F.col("kind") == "file", F.concat(paths.root("active_video"), F.lit(".csv")))
         .otherwise(F.col("wording"))
     )

@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import text as ft
 from ..functions.models import MAX_CAPTION_WORDS, Captioner, Translator
 from ..operators.captions import caption_clips
-from ..operators.chat import active_context, gate_uploads, reply_catalog, reply_language, reply_rows
+from ..operators.chat import (
+    active_context, gate_uploads, reply_catalog, reply_language, reply_rows, with_translation
+)
 from ..operators.frames import assemble_clips
 from ..operators.skew import HotKeys, hot_keys, lookup
 from ..operators.summary import summarize_pieces
@@ -86,11 +88,11 @@ def answer_carried(
 
 
 def translated(turns: DataFrame, translator: Translator) -> DataFrame:
-    """``translation`` of the answers that are given in Italian; no other text reaches the translator."""
+    """``translation`` and ``error`` of the answers that are given in Italian; no other text reaches the translator."""
     wanted = (reply_language("lang") == "it") & (F.col("active_video") != "") & F.col("summary").isNotNull()
     nothing = F.lit(None).cast("string")
-    return turns.filter(wanted).withColumn("translation", translator(F.col("summary"))).unionByName(
-        turns.filter(~F.coalesce(wanted, F.lit(False))).withColumn("translation", nothing)
+    return with_translation(turns.filter(wanted), "summary", translator).unionByName(
+        turns.filter(~F.coalesce(wanted, F.lit(False))).withColumns({"translation": nothing, "error": nothing})
     )
 
 

@@ -10,6 +10,8 @@ from clipflow.operators.captions import caption_clips
 from clipflow.operators.clips import plan_clips
 from clipflow.operators.scoring import score_clips, score_prompts
 from clipflow.session import HOT_ROWS
+from clipflow.functions.models import udf_translator
+from clipflow.plans import chat as chat_plan
 from clipflow.streaming.clips import assemble_clip_stream
 from clipflow.streaming.run import latest, run_batches, run_to_table
 from clipflow.streaming.sessions import active_video_stream
@@ -334,3 +336,31 @@ def test_repeated_micro_batches_replace_their_results(spark, tmp_path):
     assert sorted(r["twice"] for r in run_batches(stream, work, target).collect()) == [0, 2, 4, 6, 8]
     (tmp_path / "none").mkdir()
     assert run_batches(spark.readStream.schema("id bigint").parquet(str(tmp_path / "none")), work, str(tmp_path / "never")) is None
+
+
+def test_replies_carry_what_a_failed_translation_said(spark):
+    turns = spark.createDataFrame(
+        [(1, 0, "hi", "it", None, "/v.mp4", "good"), (1, 1, "hi", "it", None, "/v.mp4", "bad"), (1, 2, "hi", "it", None, "/v.mp4", "bad"),
+         (1, 3, "hi", "en", None, "/v.mp4", "bad"), (1, 4, "hi", "it", None, "/v.mp4", None)],
+        "conv_id bigint, turn bigint, text string, lang string, status string, active_video string, summary string",
+    )
+
+    def load():
+        calls = []
+
+        def ask(text):
+            calls.append(text)
+            if text == "bad":
+                raise RuntimeError(f"call {len(calls)}")
+            return text.upper()
+
+        return ask
+
+    replies = chat.reply_rows(chat_plan.translated(turns.coalesce(1), udf_translator(load, attempts=2)), chat.reply_catalog(spark))
+    got = [[r["bot"] for r in sorted(replies.collect(), key=lambda r: (r["turn"], r["pos"])) if r["turn"] == t and r["bot"]] for t in range(5)]
+    assert got[0][0] == "GOOD"
+    # the text was asked for twice in all, in one batch for both turns
+    assert got[1][0] == got[2][0] == "La traduzione non è riuscita: call 3" and got[1][2] == "bad"
+    assert got[3][0] == "bad" and got[4][0] == "La traduzione non è riuscita."
+    with pytest.raises(ValueError):
+        udf_translator(load, attempts=0)

@@ -457,3 +457,6 @@ ORACLES["output_files"] = with_(
              'Summary' || chr(10) || {_CELL.format("coalesce(summary, '')", "'" + '""' + "'")} || chr(10) from s)""",
     select="select file, octet_length(encode(content))::bigint as length, sha256(content) as digest from whole",
 )
+ORACLES["translate_errors"] = ORACLES["translate_fallback"].replace(
+    "doc_id % 3 <> 0", "length(text) % 3 <> 0"
+).replace("'La traduzione non è riuscita.'", "'La traduzione non è riuscita: no answer for ' || length(text) || ' characters'")

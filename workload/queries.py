@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from clipflow.functions import clips as fc, media, paths, text as ft, timecode as tc
-from clipflow.functions.models import udf_captioner, udf_summarizer
+from clipflow.functions.models import udf_captioner, udf_summarizer, udf_translator
 from clipflow.operators import (
     captions as oc, chat, clips, documents, frames as of, scoring, skew, subtitles, summary
 )
@@ -452,6 +452,26 @@ def translate_fallback(spark, sf):
     return rows.withColumn("pos", F.col("pos").cast("bigint"))
 
 
+@query
+def translate_errors(spark, sf):
+    """A translator that fails for some texts always and for others at first; what it said of a failure is kept."""
+    docs = fx.table(spark, sf, "documents").select("doc_id", "text")
+
+    def load():
+        asked = {}
+
+        def ask(text):
+            asked[text] = asked.get(text, 0) + 1
+            if len(text) % 3 == 0 or len(text) % 3 == 1 and asked[text] == 1:
+                raise ValueError(f"no answer for {len(text)} characters")
+            return "IT:" + text
+
+        return ask
+
+    rows = chat.translate_with_fallback(docs, "doc_id", "text", translator=udf_translator(load), prefix="Translate: ")
+    return rows.withColumn("pos", F.col("pos").cast("bigint"))
+
+
 @query
 def chat_replies(spark, sf):
     return _replies(spark, sf)
