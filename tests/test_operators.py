@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from clipflow.operators import chat, documents, frames as of, skew, summary
 from clipflow.operators.captions import caption_clips
 from clipflow.operators.clips import plan_clips
-from clipflow.operators.scoring import score_clips, score_prompts
+from clipflow.operators.scoring import best_prompts, score_clips, score_prompts
 from clipflow.session import HOT_ROWS
 from clipflow.functions.models import udf_translator
 from clipflow.plans import chat as chat_plan
@@ -364,3 +364,22 @@ def test_replies_carry_what_a_failed_translation_said(spark):
     assert got[3][0] == "bad" and got[4][0] == "La traduzione non è riuscita."
     with pytest.raises(ValueError):
         udf_translator(load, attempts=0)
+
+
+def test_best_prompts_are_those_of_all_scores(spark):
+    rng = random.Random(4)
+    clips = spark.createDataFrame(
+        [(v, c, [rng.randint(-2, 2) * 0.5 for _ in range(3)]) for v in range(4) for c in range(3)] + [(9, 0, None), (9, 1, [1.0, None, 2.0])],
+        "video_id bigint, clip_no bigint, vector array<double>",
+    )
+    prompts = spark.createDataFrame([(i, f"p{i}", [rng.randint(-2, 2) * 0.5 for _ in range(3)]) for i in range(23)], "prompt_id bigint, prompt string, vector array<double>")
+    best = {}
+    for r in score_prompts(clips.filter("video_id < 9"), prompts, 2.0).collect():
+        best.setdefault((r["video_id"], r["clip_no"]), []).append((-round(r["prob"], 9), r["prompt_id"]))
+    expected = {(*clip, rank): (i, -p) for clip, found in best.items() for rank, (p, i) in enumerate(sorted(found)[:4], 1)}
+    for size in (3, 100):
+        got = best_prompts(clips, prompts, 4, 2.0, size).collect()
+        assert {(r["video_id"], r["clip_no"], r["rank"]): (r["prompt_id"], round(r["prob"], 9)) for r in got} == expected
+    assert len(best_prompts(clips.filter("video_id = 0"), prompts, 50, 2.0, 3).collect()) == 3 * 23
+    with pytest.raises(ValueError):
+        best_prompts(clips, prompts, 0)

@@ -460,3 +460,9 @@ ORACLES["output_files"] = with_(
 ORACLES["translate_errors"] = ORACLES["translate_fallback"].replace(
     "doc_id % 3 <> 0", "length(text) % 3 <> 0"
 ).replace("'La traduzione non è riuscita.'", "'La traduzione non è riuscita: no answer for ' || length(text) || ' characters'")
+ORACLES["zero_shot_top"] = with_(
+    SCORES.replace(" where vec_id < 5", "").replace(" where vec_id >= 5", ""),
+    select="""select video_id, clip_no, row_number() over (partition by video_id, clip_no order by z desc, prompt_id)::bigint as rank,
+                     prompt_id, prompt, round(e / sum(e) over (partition by video_id, clip_no), 6) as prob
+              from shifted qualify rank <= 3""",
+)

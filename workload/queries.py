@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from clipflow.functions.arith import int_div
 from clipflow.functions import clips as fc, media, paths, text as ft, timecode as tc
 from clipflow.functions.models import udf_captioner, udf_summarizer, udf_translator
 from clipflow.operators import (
@@ -427,6 +428,18 @@ def zero_shot_last_clip_many(spark, sf):
     return scored.withColumn("prob", F.round("prob", 6))
 
 
+@query
+def zero_shot_top(spark, sf):
+    """The three likeliest of all vectors' prompts for every vector as a clip: both sides grow with the table."""
+    embeddings = fx.table(spark, sf, "embeddings")
+    every = embeddings.select(
+        int_div("vec_id", 5).alias("video_id"), (F.col("vec_id") % 5).alias("clip_no"),
+        F.col("embedding").cast("array<double>").alias("vector"),
+    )
+    best = scoring.best_prompts(every, fx.as_prompts(embeddings), 3, fx.LOGIT_SCALE)
+    return best.withColumn("prob", F.round("prob", 6))
+
+
 # ---------------------------------------------------------------- chat
 
 
