@@ -18,6 +18,7 @@ from .text import words
 Captioner = Callable[[Column, Column], Column]
 Translator = Callable[[Column], Column]
 Summarizer = Callable[[Column], Column]
+Encoder = Callable[[Column], Column]
 
 #: Words a caption may have after the echoed prompt.
 MAX_CAPTION_WORDS = 100
@@ -75,6 +76,18 @@ def udf_summarizer(load: Callable[[], Callable[[pd.Series], pd.Series]]) -> Summ
     return summary.asNondeterministic()
 
 
+def udf_encoder(load: Callable[[], Callable[[pd.Series], pd.Series]]) -> Encoder:
+    """Wrap a Python model of texts or clips that gives vectors: ``load`` runs once per worker stream, the model per Arrow batch."""
+
+    @F.pandas_udf("array<double>")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for values in batches:
+            yield model(values)
+
+    return encode.asNondeterministic()
+
+
 def udf_translator(load: Callable[[], Callable[[str], str]], attempts: int = 3) -> Translator:
     """Wrap a translating function that may raise: ``load`` runs once per worker stream.
 

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from clipflow.operators import chat, documents, frames as of, skew, summary
 from clipflow.operators.captions import caption_clips
 from clipflow.operators.clips import plan_clips
-from clipflow.operators.scoring import best_prompts, score_clips, score_prompts
+from clipflow.operators.scoring import best_prompts, encode_texts, score_clips, score_prompts
 from clipflow.session import HOT_ROWS
-from clipflow.functions.models import udf_translator
+from clipflow.functions.models import udf_encoder, udf_translator
 from clipflow.plans import chat as chat_plan
+from clipflow.plans.summaries import Bounds, head_summary, hierarchical_summary, oneshot_summary
 from clipflow.streaming.clips import assemble_clip_stream
 from clipflow.streaming.run import latest, run_batches, run_to_table
 from clipflow.streaming.sessions import active_video_stream
@@ -383,3 +384,29 @@ def test_best_prompts_are_those_of_all_scores(spark):
     assert len(best_prompts(clips.filter("video_id = 0"), prompts, 50, 2.0, 3).collect()) == 3 * 23
     with pytest.raises(ValueError):
         best_prompts(clips, prompts, 0)
+
+
+def test_equal_texts_are_encoded_once(spark):
+    rows = spark.createDataFrame([(i, f"text {i % 3}" if i else None) for i in range(20)], "prompt_id bigint, prompt string")
+    calls = spark.sparkContext.accumulator(0)
+
+    def load():
+        def model(texts):
+            calls.add(len(texts))
+            return texts.map(lambda t: [float(len(t)), float(t[-1])])
+
+        return model
+
+    got = {r["prompt_id"]: r["vector"] for r in encode_texts(rows, udf_encoder(load)).collect()}
+    assert got == {i: [6.0, float(i % 3)] if i else None for i in range(20)} and calls.value == 3
+
+
+def test_bounds_of_summaries(spark):
+    words = " ".join(f"Word {k} is here and word {k % 7} is there too." for k in range(200))
+    captions = spark.createDataFrame([(1, 0, words), (2, 0, "A few words only.")], "video_id bigint, clip_no bigint, caption string")
+    few = Bounds(max_words=25, min_words=5, chunk_words=60, route_words=10)
+    for plan in (hierarchical_summary, oneshot_summary, head_summary):
+        found = {r["video_id"]: r["summary"] for r in plan(captions, "P", bounds=few).collect()}
+        assert found[2] == "A few words only." and 5 <= len(found[1].split()) <= 25
+        usual = {r["video_id"]: r["summary"] for r in plan(captions, "P").collect()}
+        assert 30 <= len(usual[1].split()) <= 130

@@ -466,3 +466,15 @@ ORACLES["zero_shot_top"] = with_(
                      prompt_id, prompt, round(e / sum(e) over (partition by video_id, clip_no), 6) as prob
               from shifted qualify rank <= 3""",
 )
+_TEXT_PROMPTS = """
+prompts as (
+  select item_id as prompt_id, text as prompt,
+         list_transform(range(64), lambda i: len(list_filter(points, lambda c: c % 64 = i))::double / greatest(1, len(points))) as v
+  from (select item_id, text, list_transform(list_filter(string_split(text, ''), lambda c: c <> ''), lambda c: unicode(c)) as points
+        from benchmark)),"""
+ORACLES["zero_shot_texts"] = with_(
+    _TEXT_PROMPTS + SCORES[SCORES.index("\nclip_vectors as"):],
+    select="""select video_id, clip_no, row_number() over (partition by video_id, clip_no order by z desc, prompt_id)::bigint as rank,
+                     prompt_id, prompt, round(e / sum(e) over (partition by video_id, clip_no), 6) as prob
+              from shifted qualify rank <= 2""",
+)

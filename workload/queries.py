@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from clipflow.functions.arith import int_div
 from clipflow.functions import clips as fc, media, paths, text as ft, timecode as tc
-from clipflow.functions.models import udf_captioner, udf_summarizer, udf_translator
+from clipflow.functions.models import udf_captioner, udf_encoder, udf_summarizer, udf_translator
 from clipflow.operators import (
     captions as oc, chat, clips, documents, frames as of, scoring, skew, subtitles, summary
 )
@@ -440,6 +440,25 @@ def zero_shot_top(spark, sf):
     return best.withColumn("prob", F.round("prob", 6))
 
 
+@query
+def zero_shot_texts(spark, sf):
+    """The two likeliest of all benchmark texts for every clip; each distinct text is encoded once."""
+    asked = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("prompt_id"), F.col("text").alias("prompt"))
+
+    def load():
+        import numpy as np
+        import pandas as pd
+
+        def shares(text):
+            points = np.frombuffer(text.encode("utf-32-le"), "<u4") % 64
+            return (np.bincount(points, minlength=64) / max(1, len(points))).tolist()
+
+        return lambda texts: pd.Series([shares(t) for t in texts])
+
+    best = score_plan.score_texts(fx.clip_vectors(spark, sf), asked, udf_encoder(load), fx.LOGIT_SCALE, best=2)
+    return best.withColumn("prob", F.round("prob", 6))
+
+
 # ---------------------------------------------------------------- chat
 
 
