@@ -10,7 +10,7 @@ from ..operators.captions import (
     align_captions, caption_clips, complete_videos, extend_captions, missing_captions
 )
 from ..operators.clips import plan_clips, with_span
-from ..operators.frames import assemble_clips
+from ..operators.frames import BLOCK, assemble_blocks, assemble_clips
 from ..operators.skew import hot_keys, lookup
 from ..operators.subtitles import subtitle_blocks
 from ..sources import files
@@ -31,7 +31,8 @@ def caption_videos(
 
     Captions echo the prompt unless ``strip`` is set and have at most ``max_length`` words after it. Videos whose
     planned clips are all among the ``stored`` captions keep those; only the others go through the model. Frames of
-    kept videos meet no planned clip, so the frame table is not joined to the catalog.
+    kept videos meet no planned clip, so the frame table is not joined to the catalog. Frames stored in blocks
+    (``files.write_frame_blocks``) are not shuffled, and those outside the id ranges of the others are not read.
     """
     todo, kept = videos, None
     if stored is not None:
@@ -39,8 +40,9 @@ def caption_videos(
         todo = missing_captions(videos, done)
         kept = missing_captions(stored, todo)
     spans = with_span(plan_clips(todo, length, stride))
+    assemble = assemble_blocks if BLOCK in frames.columns else assemble_clips
     inferred = caption_clips(
-        assemble_clips(todo, frames, length, stride), prompt, length, captioner, max_length=max_length
+        assemble(todo, frames, length, stride), prompt, length, captioner, max_length=max_length
     )
     captions = align_captions(spans, inferred)
     if strip:

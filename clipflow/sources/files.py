@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from .. import schema
 from ..functions import paths
+from ..functions.arith import int_div
+from ..operators.frames import BLOCK, BLOCK_FRAMES
 from .documents import write_named
 
 #: Output folders: one level per coordinate of a run, however many videos it has.
@@ -149,6 +151,19 @@ def read_frames(spark: SparkSession, path: str, payload: T.DataType | None = Non
     return spark.read.schema(layout).parquet(path)
 
 
+def write_frame_blocks(frames: DataFrame, table: str, buckets: int, path: str | None = None, mode: str = "errorifexists") -> None:
+    """Frames as a table bucketed by video and block of ``BLOCK_FRAMES`` numbers, sorted inside the buckets.
+
+    The one shuffle of the payload; ``assemble_blocks`` has none. A long video spreads over buckets by its blocks.
+    ``buckets`` is the number of tasks that read them: so many that one bucket suits a task. ``mode`` "append" adds files to the
+    buckets. Without ``path`` the table lies in the warehouse.
+    """
+    key = ("video_id", BLOCK)
+    dealt = frames.withColumn(BLOCK, int_div("frame_idx", BLOCK_FRAMES)).repartition(buckets, *key)
+    writer = dealt.write.mode(mode).bucketBy(buckets, *key).sortBy(*key, "frame_idx")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
 def list_media(spark: SparkSession, path: str, pattern: str = "*.mp4") -> DataFrame:
     """Paths, sizes and times of media files; their content is never read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")

@@ -50,11 +50,14 @@ def run_to_table(stream: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{target}/rows")
 
 
-def run_batches(stream: DataFrame, work: Callable[[DataFrame], DataFrame], path: str | None = None) -> DataFrame | None:
+def run_batches(
+    stream: DataFrame, work: Callable[..., DataFrame], path: str | None = None, look_back: bool = False
+) -> DataFrame | None:
     """Apply ``work`` to the rows of every micro-batch and return all results; None if nothing has ever arrived.
 
     The rows are written before ``work`` reads them, which may be often, and results go to a folder that the
     number of the micro-batch names: one that is repeated after a failure replaces its own and adds nothing.
+    With ``look_back``, ``work`` also gets the results of all earlier micro-batches, or None for the first.
     """
     spark = stream.sparkSession
     target = path or scratch_path(spark, "stream")
@@ -62,7 +65,9 @@ def run_batches(stream: DataFrame, work: Callable[[DataFrame], DataFrame], path:
     def step(rows: DataFrame, number: int) -> None:
         arrived = f"{target}/arrived/batch={number}"
         rows.write.mode("overwrite").parquet(arrived)
-        work(spark.read.schema(rows.schema).parquet(arrived)).write.mode("overwrite").parquet(f"{target}/rows/batch={number}")
+        known = [_results(spark, target, number)] if look_back else []
+        done = work(spark.read.schema(rows.schema).parquet(arrived), *known)
+        done.write.mode("overwrite").parquet(f"{target}/rows/batch={number}")
 
     with _store(spark):
         query = (
@@ -73,10 +78,18 @@ def run_batches(stream: DataFrame, work: Callable[[DataFrame], DataFrame], path:
             .start()
         )
         query.awaitTermination()
-    home = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/rows")
-    if not home.getFileSystem(spark._jsc.hadoopConfiguration()).exists(home):
+    return _results(spark, target)
+
+
+def _results(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
+    """Rows of the micro-batches that were written whole, of those numbered below ``before`` if given; None without any."""
+    marks = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/rows/batch=*/_SUCCESS")
+    found = marks.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(marks) or []
+    whole = [int(mark.getPath().getParent().getName().partition("=")[2]) for mark in found]
+    if not [number for number in whole if before is None or number < before]:
         return None
-    return spark.read.parquet(f"{target}/rows").drop("batch")
+    rows = spark.read.parquet(f"{target}/rows")
+    return (rows if before is None else rows.filter(F.col("batch") < before)).drop("batch")
 
 
 def latest(rows: DataFrame, *keys: str) -> DataFrame:

@@ -403,6 +403,8 @@ ORACLES["zero_shot_scores_blocks"] = ORACLES["zero_shot_scores"]
 ORACLES["stream_active_video"] = ORACLES["active_video"]
 ORACLES["stream_clips"] = ORACLES["clip_index_plan_padded"]
 ORACLES["caption_batch_reuse"] = ORACLES["caption_batch"]
+ORACLES["caption_batch_blocks"] = ORACLES["caption_batch"]
+ORACLES["caption_stream"] = ORACLES["caption_batch"]
 ORACLES["caption_cut_batch"] = ORACLES["caption_batch"].replace(VIDEOS.strip(), CUT_VIDEOS.strip())
 ORACLES["hierarchical_summary_udf"] = ORACLES["hierarchical_summary"]
 ORACLES["zero_shot_last_clip_many"] = ORACLES["zero_shot_last_clip"].replace(

@@ -11,10 +11,11 @@ from clipflow.operators import (
     captions as oc, chat, clips, documents, frames as of, scoring, skew, subtitles, summary
 )
 from clipflow.plans import captioning, chat as chat_plan, scoring as score_plan, summaries
-from clipflow.schema import LONG, TEXT
+from clipflow.schema import LONG, REAL, TEXT
 from clipflow.session import scratch_path
 from clipflow.sources import files
 from clipflow.sources.documents import list_named
+from clipflow.streaming.catalog import caption_catalog
 from clipflow.streaming.clips import assemble_clip_stream
 from clipflow.streaming.run import latest, run_to_table
 from clipflow.streaming.sessions import active_video_stream, answer_stream
@@ -209,6 +210,28 @@ def caption_batch_reuse(spark, sf):
     return captioning.caption_videos(videos, frames, fx.PROMPT, 5, 3, stored=spark.read.parquet(path))
 
 
+@query
+def caption_batch_blocks(spark, sf):
+    """Captions from frames stored in blocks; those of the catalog's first half by time are stored already."""
+    videos, frames = fx.videos(spark, sf), _frame_blocks(spark, sf)
+    older = videos.filter(F.col("video_id") < videos.agg(F.percentile_approx("video_id", 0.5)).scalar())
+    path = scratch_path(spark, "stored")
+    captioning.caption_videos(older, frames, fx.PROMPT, 5, 3).write.parquet(path)
+    return captioning.caption_videos(videos, frames, fx.PROMPT, 5, 3, stored=spark.read.parquet(path))
+
+
+@query
+def caption_stream(spark, sf):
+    """A catalog that comes in three parts, the first of them twice."""
+    layout = T.StructType([T.StructField("video_id", LONG), T.StructField("n_frames", LONG), T.StructField("fps", REAL)])
+    source, target = scratch_path(spark, "catalog"), scratch_path(spark, "stream")
+    frames, catalog = _frame_blocks(spark, sf), fx.videos(spark, sf).select(*layout.names)
+    for part in (0, 1, 0, 2):
+        catalog.filter(F.pmod(F.xxhash64("video_id"), F.lit(3)) == part).write.mode("append").parquet(source)
+        done = caption_catalog(files.stream_parquet(spark, source, layout), frames, fx.PROMPT, 5, 3, path=target)
+    return done
+
+
 @query
 def caption_cut_batch(spark, sf):
     """Captions of a catalog cut to its first seconds, from the whole frame table."""
@@ -581,6 +604,14 @@ def _payload():
     return F.array_join(F.transform("payload", lambda v: F.format_string("%.2f", v)), ",").alias("payload")
 
 
+def _frame_blocks(spark, sf):
+    path = scratch_path(spark, "frames")
+    table = path.rpartition("/")[2].replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files.write_frame_blocks(fx.frames(spark, sf).select("video_id", "frame_idx", "payload"), table, buckets, path)
+    return spark.table(table)
+
+
 def _decoded(spark, sf):
     """Frames without those that failed to decode."""
     events = fx.table(spark, sf, "events").select("event_id", "ts", F.col("user_id").alias("video_id"), "value", "event_type")
