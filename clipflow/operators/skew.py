@@ -62,20 +62,22 @@ def split_hot(df: DataFrame, key: str, hot: HotKeys) -> tuple[DataFrame, DataFra
     return df.filter(~is_hot(key, hot)), df.filter(is_hot(key, hot))
 
 
-def lookup(facts: DataFrame, dim: DataFrame, key: str, hot: HotKeys, how: str = "left") -> DataFrame:
-    """Join facts to one-row-per-key attributes.
+def lookup(
+    facts: DataFrame, dim: DataFrame, key: str, hot: HotKeys, how: str = "left", on: tuple[str, ...] = ()
+) -> DataFrame:
+    """Join facts to attributes of which there is one row per key, or per key and the columns ``on``.
 
     Whether the small side is broadcast is left to Spark, which knows its size;
     when it is shuffled, rows of hot keys spread over as many tasks as they need.
     """
     if not hot:
-        return facts.join(dim, key, how)
+        return facts.join(dim, [key, *on], how)
     salts = _salts(facts, key, hot)
     values = [c for c, kind in facts.dtypes if c != key and not kind.startswith(("array", "map", "struct", "binary"))]
     spread = F.pmod(F.xxhash64(*values), salts).cast("int") if values else F.lit(0)
     copies = F.explode(F.sequence(F.lit(0), _salts(facts, key, hot) - 1))
     salted = facts.withColumn(SALT, spread)
-    return salted.join(dim.withColumn(SALT, copies), [key, SALT], how).drop(SALT)
+    return salted.join(dim.withColumn(SALT, copies), [key, *on, SALT], how).drop(SALT)
 
 
 def _salts(facts: DataFrame, key: str, hot: HotKeys) -> Column:

@@ -7,6 +7,9 @@ be one row, or the ordered rows of a key whose join is never built.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as ft
@@ -39,31 +42,69 @@ def summarize_rows(
 ) -> DataFrame:
     """Summarise texts held in one row each: ``keys, summary``.
 
-    The keys identify a text and are never NULL. The text is shuffled once, by its
-    key; ranking reads the same shuffle and brings back only the numbers of the
-    chosen sentences, so no text is copied per word. Texts under ``min_input`` words
+    The keys identify a text and are never NULL. Nothing is shuffled: the words of a batch of texts are counted
+    together (``chosen_sentences``), and only the numbers of the chosen sentences come back. Texts under ``min_input`` words
     pass as they are; ``counted`` names a column that already holds the word count.
     """
     columns = [F.coalesce(text, F.lit("")).alias("_text"), *([F.col(counted).alias("_n")] if counted else [])]
-    rows = _with_keys(texts.select(*keys, *columns), keys).repartition(*keys)
-    n_words = F.col("_n") if counted else ft.word_count("_text")
+    rows = _with_keys(texts.select(*keys, *columns), keys)
+    matches = _matches(F.col("_text"))
+    if min_input:
+        n_words = F.col("_n") if counted else ft.word_count("_text")
+        matches = F.when(n_words < min_input, F.array("_text")).otherwise(matches)
+
+    def measured(match: Column) -> Column:
+        plain = ft.plain_spaces(match)
+        return F.struct(
+            match.alias("s"),
+            F.size(_split(plain)).cast("bigint").alias("n"),
+            F.regexp_replace(F.lower(plain), NOT_TERM, "").alias("t"),
+        )
 
-    def found(whole_text: Column) -> Column:
-        if not min_input:
-            return _matches(whole_text)
-        return F.when(n_words < min_input, F.array(whole_text)).otherwise(_matches(whole_text))
+    # The generator keeps the lambdas out of the arguments: Spark cannot hand those with lambdas to Python.
+    sentences = rows.select(*keys, F.explode(F.array(F.transform(matches, measured))).alias("_all"))
+    kept = chosen_sentences(max_words, min_words)(F.col("_all.n"), F.col("_all.t"))
+    joined = F.array_join(F.transform("_kept", lambda p: F.get(F.col("_all.s"), p)), " ")
+    return sentences.withColumn("_kept", kept).select(*keys, first_words(joined, max_words).alias("summary"))
 
-    # The outer form spares the size check Spark would run on the array beforehand.
-    sentences = rows.select(*keys, F.posexplode_outer(found(F.col("_text"))).alias("_pos", "_match"))
-    chosen = _chosen(sentences, keys, max_words, min_words, spread=False)
 
-    def picked(matches: Column) -> Column:
-        return F.transform("_kept", lambda p: F.get(matches, p))
+def chosen_sentences(max_words: int, min_words: int):
+    """Numbers of the sentences a summary keeps, in text order, from every sentence's word count and its terms.
 
-    joined = F.array_join(let(found(F.col("_text")), picked), " ")
-    return rows.join(chosen, keys, "left").select(
-        *keys, F.coalesce(first_words(joined, max_words), F.lit("")).alias("summary")
-    )
+    Terms are separated by single spaces. All texts of an Arrow batch are ranked by the same few array operations.
+    """
+
+    @F.arrow_udf("array<int>")
+    def chosen(sizes: pa.Array, terms: pa.Array) -> pa.Array:
+        per_text = pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        starts = np.concatenate([[0], np.cumsum(per_text)])
+        n = int(starts[-1])
+        text_of = np.repeat(np.arange(len(per_text)), per_text)
+        n_words = sizes.flatten().to_numpy(zero_copy_only=False)
+        words = pc.split_pattern(terms.flatten(), " ")
+        per_sentence = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+        coded = words.flatten().dictionary_encode()
+        real = pc.not_equal(coded.dictionary, "").to_numpy(zero_copy_only=False)
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        sentence_of = np.repeat(np.arange(n), per_sentence)
+        if len(codes):
+            sentence_of, codes = sentence_of[real[codes]], codes[real[codes]]
+        _, which, times = np.unique(text_of[sentence_of] * (len(real) + 1) + codes, return_inverse=True, return_counts=True)
+        total = np.bincount(sentence_of, weights=times[which], minlength=n)
+        score = total / np.maximum(np.bincount(sentence_of, minlength=n), 1)
+
+        asked = np.nonzero(n_words > 0)[0]  # a sentence of spaces is none
+        order = asked[np.lexsort((asked, -score[asked], text_of[asked]))]
+        upto = np.cumsum(n_words[order])
+        first = np.concatenate([[True], text_of[order][1:] != text_of[order][:-1]])[:len(order)]
+        before = upto - n_words[order]
+        before -= np.repeat(before[first], np.diff(np.append(np.nonzero(first)[0], len(order))))
+        fits = (before + n_words[order] <= max_words) | (before == 0) | (before < min_words)
+        kept = np.sort(order[fits])
+        ends = np.concatenate([[0], np.cumsum(np.bincount(text_of[kept], minlength=len(per_text)))])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(kept - starts[text_of[kept]], pa.int32()))
+
+    return chosen
 
 
 def summarize_pieces(

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import text as ft
+from ..functions import clips as fc, text as ft
 from ..functions.models import MAX_CAPTION_WORDS, Captioner, Translator
 from ..operators.captions import caption_clips
 from ..operators.chat import (
     active_context, gate_uploads, reply_catalog, reply_language, reply_rows, with_translation
 )
-from ..operators.frames import assemble_clips
-from ..operators.skew import HotKeys, hot_keys, lookup
+from ..operators.frames import BLOCK, assemble_blocks, assemble_clips
+from ..operators.skew import MAX_HOT_KEYS, HotKeys, hot_keys, lookup
 from ..operators.summary import summarize_pieces
+from ..session import HOT_ROWS, setting
 
 
 def answer_turns(
@@ -69,24 +70,41 @@ def answer_carried(
     stride: int = 3,
     max_length: int = MAX_CAPTION_WORDS,
 ) -> DataFrame:
-    """The replies of turns whose ``active_video`` and ``_video``, its id, are known."""
+    """The replies of turns whose ``active_video`` and ``_video``, its id, are known.
+
+    Turns meet the clips of their video one by one, and a video that very many ask about in several tasks, so neither a long
+    video nor a much-asked one is the work of one task. Which turns have very many clips is known before any clip is captioned.
+    """
     turns = turns.withColumn("_turn", F.concat_ws(":", "conv_id", "turn"))
     asked = turns.filter((F.col("active_video") != "") & F.col("_video").isNotNull()).select(
         "_turn", F.col("_video").alias("video_id"), ft.echoed_prompt(ft.chat_prompt("text")).alias("_prompt")
     )
     wanted = videos.join(asked.select("video_id").distinct(), "video_id", "left_semi")
-    seen = asked.join(assemble_clips(wanted, frames, length, stride), "video_id")
+    hot = hot_keys(asked, "video_id")
+    counts = wanted.groupBy("video_id").agg(F.max(fc.clip_count("n_frames", length, stride)).alias("_clips"))
+    counted = lookup(asked, counts.filter(F.col("_clips") > 0), "video_id", hot, "inner")
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.col("_clips") - 1)
+    each = counted.select("_turn", "video_id", "_prompt", F.explode(numbers).alias("clip_no"))
+    assemble = assemble_blocks if BLOCK in frames.columns else assemble_clips
+    seen = lookup(each, assemble(wanted, frames, length, stride), "video_id", hot, "inner", on=("clip_no",))
     # a clip under a question is a clip of its own to the captioner
     posed = seen.select(F.col("_turn").alias("video_id"), "clip_no", "payload", "n_fetched", "_prompt")
     said = caption_clips(posed, F.col("_prompt"), length, captioner, max_length=max_length, keep=("_prompt",))
     stripped = said.select("video_id", "clip_no", ft.strip_prompt("caption", F.col("_prompt")).alias("caption"))
-    found = summarize_pieces(stripped, "video_id", "clip_no", "caption", {}).select(
+    found = summarize_pieces(stripped, "video_id", "clip_no", "caption", _long_turns(counted)).select(
         F.col("video_id").alias("_turn"), "summary"
     )
     answered = turns.join(found, "_turn", "left").drop("_turn", "_video")
     return reply_rows(translated(answered, translator), reply_catalog(turns.sparkSession))
 
 
+def _long_turns(counted: DataFrame) -> HotKeys:
+    """Turns about videos of so many clips that one turn's captions are too much for a task, from the clip counts alone."""
+    rows = setting(counted.sparkSession, HOT_ROWS)
+    long = counted.filter(F.col("_clips") > rows).orderBy(F.desc("_clips"), "_turn").limit(MAX_HOT_KEYS)
+    return {row["_turn"]: row["_clips"] for row in long.select("_turn", "_clips").collect()}
+
+
 def translated(turns: DataFrame, translator: Translator) -> DataFrame:
     """``translation`` and ``error`` of the answers that are given in Italian; no other text reaches the translator."""
     wanted = (reply_language("lang") == "it") & (F.col("active_video") != "") & F.col("summary").isNotNull()

@@ -55,6 +55,30 @@ def test_lookup_spreads_hot_keys(spark, skewed):
         same(skew.lookup(skewed, dim, "k", {}, how), skew.lookup(skewed, dim, "k", {1: 400}, how))
 
 
+def test_lookup_by_further_columns(spark, skewed):
+    dim = spark.createDataFrame([(k, v, f"{k}-{v}") for k in (1, 2) for v in range(5)], "k bigint, v bigint, name string")
+    for how in ("left", "inner"):
+        plain = skewed.join(dim, ["k", "v"], how)
+        same(skew.lookup(skewed, dim, "k", {1: 400}, how, on=("v",)), plain)
+        same(skew.lookup(skewed, dim, "k", {}, how, on=("v",)), plain)
+
+
+def test_sentences_of_texts_that_share_a_batch(spark):
+    texts = {
+        0: "", 1: None, 2: "   ", 3: "...", 4: "One two. " * 3, 5: "a b c d. a a. c!", 6: "word " * 200 + ".",
+        7: "?! Same same. Same other words here. " + "Filler goes on and on. " * 40, 8: "x" * 5000, 9: "12 3. É é. \u2003b\u00a0c.",
+    }
+    rows = spark.createDataFrame(list(texts.items()), "k bigint, t string").coalesce(1)
+    apart = rows.repartition(7, "k")
+    for limits in ((130, 30, 0), (5, 2, 0), (10, 0, 4), (3, 9, 2)):
+        together = summary.summarize_rows(rows, ["k"], "t", *limits)
+        same(together, summary.summarize_rows(apart, ["k"], "t", *limits))
+        pieces = rows.withColumn("i", F.lit(0))
+        same(together, summary.summarize_pieces(pieces, "k", "i", "t", {}, *limits))
+    assert summary.summarize_rows(rows.limit(0), ["k"], "t").count() == 0
+    assert "Exchange" not in summary.summarize_rows(rows, ["k"], "t")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_hot_rows_are_cut_into_even_slices(spark, skewed, setting):
     setting(HOT_ROWS, 50)
     rows = skew._slice(skewed.filter("k = 1"), "k", ["a", "b"], {1: 400})

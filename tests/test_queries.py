@@ -9,7 +9,7 @@ from workload.queries import QUERIES
 
 HOT = [
     "frame_numbering", "clip_frame_members", "head_by_time", "word_chunks", "caption_join",
-    "hierarchical_summary", "oneshot_summary", "head_summary", "srt_document", "active_video", "chat_history",
+    "hierarchical_summary", "oneshot_summary", "head_summary", "srt_document", "active_video", "chat_history", "chat_questions",
 ]
 
 
