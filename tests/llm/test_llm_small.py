@@ -376,6 +376,23 @@ def test_url_regression_learns_its_table_and_generalises():
 
     assert all((score(u.partition("/")[0], "/" + u.partition("/")[2]) > 0) == bool(y) for u, y in urls.LABELLED)
     assert score("m.casino-bonus.example.com", "/en/3") > 0 > score("www.bakery.example.com", "/en/3")
+    harmless = "github.com/x/y www.bbc.co.uk/news/1 www.nasa.gov/missions harvard.edu/x www.zeit.de/wissen www.cnn.com/politics"
+    assert all(score(u.partition("/")[0], "/" + u.partition("/")[2]) < 0 for u in harmless.split())
+    assert score("", "") == score("www.", "")
+
+
+def test_url_regression_on_held_out_hosts():
+    fold = lambda url: zlib.crc32(url.partition("/")[0].encode()) % 5
+    blocked = {0: 0, 1: 0}
+    for left_out in range(5):
+        weights = urls.train([r for r in urls.LABELLED if fold(r[0]) != left_out])
+        for url, label in urls.LABELLED:
+            if fold(url) == left_out:
+                host, _, path = url.partition("/")
+                buckets, values = urls.features(host, f"/{path}")
+                blocked[label] += (weights[buckets] * values).sum() + weights[-1] > 0
+    of = {label: sum(y == label for _, y in urls.LABELLED) for label in (0, 1)}
+    assert blocked[1] >= 0.8 * of[1] and blocked[0] <= 0.1 * of[0]
 
 
 # ---------------------------------------------------------------- vantage points
