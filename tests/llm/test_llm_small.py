@@ -279,7 +279,64 @@ def test_pieces_follow_the_best_segmentation(text):
     table = {name: (-float(rng.randint(1, 9)), i) for i, name in enumerate(names)}
     model = pieces.PieceModel([(n, s, i) for n, (s, i) in table.items()], [100 + b for b in range(256)])
     assert model.divides
-    assert model.segment(text) == brute_pieces(table, model.byte_score, text)
+    expected = brute_pieces(table, model.byte_score, text)
+    assert model.segment(text) == expected
+    if text:
+        assert np.frombuffer(model._side_by_side([text, "b"])[text], "<u4").tolist() == expected
+
+
+def brute_merges(table, text):
+    parts = list(text)
+    while True:
+        found = [(-table[a + b][0], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in table]
+        if not found:
+            return [i for p in parts for i in ([table[p][1]] if p in table else [1000 + b for b in p.encode()])]
+        i = min(found)[1]
+        parts[i:i + 2] = [parts[i] + parts[i + 1]]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 60), st.booleans(), st.lists(st.text(alphabet="aabbc▁é", min_size=1, max_size=70), min_size=1, max_size=6))
+def test_merge_ranks_give_the_pieces_of_the_merges(seed, equal_scores, texts):
+    rng = random.Random(seed)
+    names = {"".join(rng.choices("abc", k=rng.randint(2, 6))) for _ in range(rng.randint(0, 40))}
+    ranks = [rng.randint(1, 9) for _ in names] if equal_scores else rng.sample(range(1, 100), len(names))
+    table = {c: (-1000.0 - i, i) for i, c in enumerate("abc")} | {n: (-float(r), 3 + i) for i, (n, r) in enumerate(zip(sorted(names), ranks))}
+    model = pieces.PieceModel([(n, s, i) for n, (s, i) in table.items()], [1000 + b for b in range(256)], merges=True)
+    side = model._side_by_side(list(dict.fromkeys(texts)))
+    for text in texts:
+        assert model.segment(text) == brute_merges(table, text) == np.frombuffer(side[text], "<u4").tolist()
+
+
+def test_a_model_of_merges_needs_the_characters_of_its_pieces():
+    with pytest.raises(ValueError):
+        pieces.PieceModel([("a", -1.0, 0), ("ab", -2.0, 1)], [0] * 256, merges=True)
+
+
+PIECEWISE = st.sampled_from([*"abethinrous T.é日🙂\n\t\x00=-/", "  ", "   ", " " * 17, "the", "ing ", "日本", "x" * 70])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(PIECEWISE, max_size=60).map("".join))
+def test_pieces_are_the_library_s(text):
+    public = pytest.importorskip("public_tokenizers")
+    import sentencepiece
+
+    path = public.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    assert np.frombuffer(pieces.piece_model(path).encode([text])[0], "<u4").tolist() == library.encode(text)
+
+
+def test_forgotten_pairs_and_stretches_change_nothing(monkeypatch):
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path("piece_bpe_32k.model")
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("etaoinshr", k=rng.randint(1, 9))) for _ in range(200)) for _ in range(6)]
+    expected = pieces.PieceModel.load(path).encode(texts)
+    monkeypatch.setattr(pieces, "PAIRS", 8)
+    monkeypatch.setattr(pieces, "CACHE", 5)
+    model = pieces.PieceModel.load(path)
+    assert [model.encode([t])[0] for t in texts] == expected
 
 
 @settings(max_examples=150, deadline=None)
