@@ -32,12 +32,14 @@ CLOSES = {
     "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",)),
 }
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: What tells that an element is not shown.
+UNSEEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true", re.I)
 NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 PATHS, WORDS, SIZE, HIDDEN = 512, 512, 12, 16
-#: Invented pages to learn from, and passes over them.
-TRAINING_PAGES = 500
-EPOCHS = 16
+#: Invented pages to learn from, a third of them of the other make, and passes over them.
+TRAINING_PAGES = 1050
+EPOCHS = 14
 #: Share of blocks whose words are blanked in training.
 BLANKED = 0.4
 #: Pages labelled at a time.
@@ -115,6 +117,8 @@ def blocks(page: str) -> list[Block]:
             for m in NAMED.finditer(token[3]):
                 value = m[2] or m[3] or m[4] or ""
                 tokens += [f"{m[1].lower()}={v}" for v in re.split(r"[^a-z0-9]+", value.lower()) if v]
+            if UNSEEN.search(token[3]):
+                tokens.append("unseen")
             stack.append((name, tokens))
     add(page[at:])
     flush()
@@ -250,12 +254,13 @@ class Labeller:
         return loss, g
 
     def fit(self, pages: list[tuple], labels: list[list[int]], epochs: int, rate: float = 0.01, batch: int = 25, seed: int = 1) -> None:
-        """Adam over shuffled batches."""
+        """Adam over shuffled batches, with steps that fall evenly to a tenth."""
         rng = np.random.default_rng(seed)
         mean = {k: np.zeros_like(v) for k, v in self.p.items()}
         square = {k: np.zeros_like(v) for k, v in self.p.items()}
         step = 0
-        for _ in range(epochs):
+        for epoch in range(epochs):
+            falling = rate * (1 - 0.9 * epoch / epochs)
             order = rng.permutation(len(pages))
             for at in range(0, len(order), batch):
                 own = order[at:at + batch]
@@ -270,7 +275,7 @@ class Labeller:
                     v = np.clip(v, -1, 1)
                     mean[k] = 0.9 * mean[k] + 0.1 * v
                     square[k] = 0.999 * square[k] + 0.001 * v * v
-                    self.p[k] -= rate * (mean[k] / (1 - 0.9 ** step)) / (np.sqrt(square[k] / (1 - 0.999 ** step)) + 1e-8)
+                    self.p[k] -= falling * (mean[k] / (1 - 0.9 ** step)) / (np.sqrt(square[k] / (1 - 0.999 ** step)) + 1e-8)
 
     def label(self, sequences: list[list[Block]]) -> list[np.ndarray]:
         """Per page which blocks belong to the article. Pages of like length share a batch."""
@@ -427,15 +432,174 @@ class _Page:
         return "".join(self.html), self.labels
 
 
-def invented(n: int, seed: int = 0) -> list[tuple[str, list[int]]]:
+#: Words of menus, notices and footers.
+PHRASES = (
+    "Home|News|Sport|Contact|About us|Log in|Sign in|Register|Subscribe|Search|Next|Previous|Back|Top|Archive|Links|Help|Privacy policy|"
+    "Terms of service|Cookie settings|All rights reserved|Copyright 2004|Most popular|Most viewed|Latest|Read more|Related|More from us|"
+    "Share|Share on social media|Print|Advertisement|Sponsored|Follow us|Newsletter|Sign up for updates|Page last updated 2 May|"
+    "Powered by|Visitors: 3812|Comments|Reply|Post a comment|Kontakt|Impressum|Datenschutz|Anmelden|Mehr|Accueil|Mentions légales|Inicio"
+).split("|")
+
+
+class _ForeignPage(_Page):
+    """A page of another make: laid out by tables or boxes, names that say nothing or none, lists, line breaks, unseen blocks."""
+
+    def words(self, low: int, high: int) -> str:
+        r = self.r
+        letters = "eeeettaaooiinnsshhrrddlluucmfywgpbvkäéñ"
+        words = ["".join(r.choices(letters, k=r.choice((1, 2, 3, 3, 4, 5, 6, 7, 9)))) for _ in range(r.randint(low, high))]
+        if r.random() < 0.15:
+            words.append(str(r.randint(1, 2000)))
+        text = " ".join(words)
+        return text[:1].upper() + text[1:]
+
+    def sentences(self, n: int) -> str:
+        return " ".join(self.words(5, 22) + self.r.choice("....!?") for _ in range(n))
+
+    def name(self) -> str:
+        r = self.r
+        roll = r.random()
+        if roll < 0.4:
+            return ""
+        if roll < 0.5:
+            return r.choice((" width=150", " valign=top", " align=center", " bgcolor=white"))
+        return f' {r.choice(("class", "class", "id"))}="{"".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789-", k=r.randint(1, 7)))}"'
+
+    def put(self, tag: str, text: str, label: int, attributes: str | None = None) -> None:
+        self.html.append(f"<{tag}{self.name() if attributes is None else attributes}>{text}</{tag.split()[0]}>")
+        self.labels.append(label)
+
+    def phrase(self) -> str:
+        return self.r.choice(PHRASES) if self.r.random() < 0.6 else self.words(1, 4)
+
+    def anchors(self, n: int) -> str:
+        gap = self.r.choice((" | ", " - ", " ", "<br>", " &middot; "))
+        return gap.join(f"<a href=/{i}>{self.phrase()}</a>" for i in range(n))
+
+    def rest(self, tags: str) -> None:
+        """Something that is not article."""
+        r = self.r
+        kind = r.random()
+        tag = r.choice(tags.split())
+        if kind < 0.4:
+            head = f"<b>{self.phrase()}</b><br>" if r.random() < 0.3 else ""
+            self.put(tag, head + self.anchors(r.randint(1, 7)), 0)
+        elif kind < 0.65:
+            self.put(tag, r.choice((" ", " - ", ". ")).join(r.choice(PHRASES) for _ in range(r.choice((1, 1, 2, 3)))), 0)
+        elif kind < 0.75:
+            self.put(r.choice((tag, "h3", "h4")), r.choice(PHRASES), 0)
+            for _ in range(r.randint(1, 5)):
+                self.put(tag, f"<a href=/x>{self.words(2, 8)}</a>", 0)
+        elif kind < 0.85:
+            self.put(r.choice((tag, "h3")), r.choice(("Comments", "Post a comment", "Reply", "Responses", "Discussion")), 0)
+            for _ in range(r.randint(1, 4)):
+                self.put(tag, f"{self.words(1, 1)} {r.choice(('says', 'wrote', 'said'))}: {self.words(2, 15)}", 0)
+        else:
+            self.put(r.choice(("small", "center", "address", "div", "p")), f"{r.choice(PHRASES)}{r.choice((', ', ' ', '. '))}{self.words(1, 6)}", 0)
+
+    def unseen(self) -> None:
+        mark = self.r.choice((" hidden", ' style="display:none"', ' style="color:red; visibility: hidden"', ' aria-hidden="true"', ' hidden=""'))
+        self.put(self.r.choice(("p", "div", "section")), self.sentences(self.r.randint(1, 2)), 0, mark)
+
+    def body(self) -> None:
+        r = self.r
+        title = self.words(2, 9)
+        self.put(r.choice(("h1", "h1", "h2", "h3", "div", "p")), r.choice((title, title, f"<font size=5>{title}</font>", f"<b>{title}</b>")), 1)
+        if r.random() < 0.25:
+            self.rest("p div")
+        tag = r.choice(("p", "p", "p", "div"))
+        names = self.name()
+        for _ in range(r.randint(1, 7)):
+            roll = r.random()
+            if roll < 0.6:
+                end = "" if tag == "p" and r.random() < 0.3 else f"</{tag}>"
+                gap = "<br><br>" if r.random() < 0.15 else " "
+                link = f' <a href="/y">{self.words(1, 3)}</a> {self.words(2, 6)}.' if r.random() < 0.15 else ""
+                self.html.append(f"<{tag}{names}>{gap.join(self.sentences(1) for _ in range(r.randint(1, 4)))}{link}{end}")
+                self.labels.append(1)
+            elif roll < 0.68:
+                self.put(r.choice(("h2", "h3", "h4", tag)), self.words(1, 7), 1)
+            elif roll < 0.82:
+                outer, inner = r.choice((("ul", ("li",)), ("ul", ("li",)), ("ol", ("li",)), ("dl", ("dt", "dd"))))
+                self.html.append(f"<{outer}>")
+                for _ in range(r.randint(2, 5)):
+                    for item in inner:
+                        text = r.choice((self.words(1, 7), f"{self.words(1, 2)}: {r.randint(2, 900)} {self.words(1, 1)}", self.sentences(1)))
+                        self.html.append(f"<{item}>{text}" + ("" if r.random() < 0.4 else f"</{item}>"))
+                        self.labels.append(1)
+                self.html.append(f"</{outer}>")
+            elif roll < 0.87:
+                self.put(r.choice(("blockquote", "pre")), self.sentences(r.randint(1, 2)), 1)
+            elif roll < 0.93:
+                self.unseen()
+            else:
+                self.put(r.choice(("div", "p")), r.choice(PHRASES), 0)
+        self.html.append(f"<{tag}{names}>{self.sentences(r.randint(1, 3))}</{tag}>")
+        self.labels.append(1)
+
+    def some(self, tags: str, most: int) -> None:
+        for _ in range(self.r.randint(0, most)):
+            self.rest(tags)
+
+    def write(self) -> tuple[str, list[int]]:
+        r = self.r
+        add = self.html.append
+        add("<html><body>")
+        make = r.random()
+        if make < 0.35:
+            add(f"<table{self.name()}>")
+            if r.random() < 0.7:
+                add("<tr>")
+                self.rest("td")
+                add("</tr>")
+            add("<tr>")
+            if r.random() < 0.5:
+                self.rest("td")
+            add(f"<td{self.name()}>")
+            self.body()
+            add("</td>")
+            if r.random() < 0.5:
+                self.rest("td")
+            add("</tr>")
+            if r.random() < 0.5:
+                add("<tr>")
+                self.rest("td")
+                add("</tr>")
+            add("</table>")
+            self.some("center p div", 1)
+        elif make < 0.6:
+            if r.random() < 0.6:
+                self.some("p center div", 2)
+                self.body()
+            else:
+                self.body()
+            self.some("p center div address", 3)
+        else:
+            inside = r.choice(("div", "div", "section", "main"))
+            for _ in range(r.randint(0, 2)):
+                add(f"<div{self.name()}>")
+                self.rest("div span p")
+                add("</div>")
+            add(f"<{inside}{self.name()}>")
+            self.body()
+            add(f"</{inside}>")
+            for _ in range(r.randint(0, 3)):
+                add(f"<div{self.name()}>")
+                self.rest("div p")
+                add("</div>")
+        add("</body></html>")
+        return "".join(self.html), self.labels
+
+
+def invented(n: int, seed: int = 0, foreign: bool = False) -> list[tuple[str, list[int]]]:
     """Pages and the labels of their blocks."""
-    return [_Page(seed * 1_000_003 + k).write() for k in range(n)]
+    return [(_ForeignPage if foreign else _Page)(seed * 1_000_003 + k).write() for k in range(n)]
 
 
 @lru_cache(maxsize=2)
 def trained(pages: int = TRAINING_PAGES, epochs: int = EPOCHS) -> Labeller:
     """The labeller after ``epochs`` passes over ``pages`` invented pages."""
-    known = [(blocks(page), labels) for page, labels in invented(pages)]
+    known = [(blocks(page), labels) for page, labels in invented(pages - pages // 3) + invented(pages // 3, foreign=True)]
     known = [(b, labels) for b, labels in known if len(b) == len(labels)]
     model = Labeller()
     model.fit([featured(b) for b, _ in known], [labels for _, labels in known], epochs)

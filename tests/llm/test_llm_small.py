@@ -480,3 +480,19 @@ def test_tree_search_against_brute_force(factor):
 
 def test_crc_is_unsigned():
     assert zlib.crc32(b"\xff" * 5) >= 0
+
+
+def test_labeller_on_pages_of_other_makes():
+    from foreign_pages import pages
+
+    known = pages()
+    found = html.trained().label([html.blocks(p) for p, _ in known])
+    assert all(len(f) == len(labels) for f, (_, labels) in zip(found, known))
+    pairs = [(bool(x), bool(y)) for f, (_, labels) in zip(found, known) for x, y in zip(f, labels)]
+    right = pairs.count((True, True))
+    assert right / (right + pairs.count((True, False))) > 0.85 and right / (right + pairs.count((False, True))) > 0.9
+
+
+def test_unseen_elements_are_marked():
+    page = '<p hidden>a</p><p style="display: none">b</p><div aria-hidden=true>c</div><p class=hidden-title>d</p><p title="un hiddenly">e</p>'
+    assert ["unseen" in path for path, _, _ in html.blocks(page)] == [True, True, True, False, False]
