@@ -65,7 +65,11 @@ def caption_catalog(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def prompts(spark: SparkSession, sf: str) -> DataFrame:
-    return as_prompts(table(spark, sf, "embeddings").filter("vec_id < 5"))
+    """One prompt per label: its vector of the smallest id, found over the whole table."""
+    first = table(spark, sf, "embeddings").groupBy("label").agg(
+        F.min("vec_id").alias("vec_id"), F.min_by("embedding", "vec_id").alias("embedding")
+    )
+    return as_prompts(first)
 
 
 def as_prompts(embeddings: DataFrame) -> DataFrame:
@@ -77,7 +81,7 @@ def as_prompts(embeddings: DataFrame) -> DataFrame:
 
 
 def clip_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").filter("vec_id >= 5").select(
+    return table(spark, sf, "embeddings").select(
         int_div("vec_id", 5).alias("video_id"),
         (F.col("vec_id") % 5).alias("clip_no"),
         F.col("embedding").cast("array<double>").alias("vector"),

@@ -157,10 +157,14 @@ HIERARCHICAL = (
     summary("level2", "rejoined", "video_id", "text", 130),
 )
 
-SCORES = """
-prompts as (select vec_id as prompt_id, 'p' || vec_id as prompt, embedding::double[] as v from embeddings where vec_id < 5),
-clip_vectors as (
-  select vec_id // 5 as video_id, vec_id % 5 as clip_no, embedding::double[] as v from embeddings where vec_id >= 5),
+LABEL_PROMPTS = """
+prompts as (
+  select min(vec_id) as prompt_id, 'p' || min(vec_id) as prompt, arg_min(embedding, vec_id)::double[] as v from embeddings group by label),"""
+VECTOR_PROMPTS = """
+prompts as (select vec_id as prompt_id, 'p' || vec_id as prompt, embedding::double[] as v from embeddings),"""
+
+SCORES = LABEL_PROMPTS + """
+clip_vectors as (select vec_id // 5 as video_id, vec_id % 5 as clip_no, embedding::double[] as v from embeddings),
 logits as (
   select c.video_id, c.clip_no, p.prompt_id, p.prompt, list_dot_product(c.v, p.v) * 10.0 as z
   from clip_vectors c, prompts p),
@@ -407,9 +411,7 @@ ORACLES["caption_batch_blocks"] = ORACLES["caption_batch"]
 ORACLES["caption_stream"] = ORACLES["caption_batch"]
 ORACLES["caption_cut_batch"] = ORACLES["caption_batch"].replace(VIDEOS.strip(), CUT_VIDEOS.strip())
 ORACLES["hierarchical_summary_udf"] = ORACLES["hierarchical_summary"]
-ORACLES["zero_shot_last_clip_many"] = ORACLES["zero_shot_last_clip"].replace(
-    "from embeddings where vec_id < 5", "from embeddings where vec_id % 5 <> 4"
-)
+ORACLES["zero_shot_last_clip_many"] = ORACLES["zero_shot_last_clip"].replace(LABEL_PROMPTS.strip(), VECTOR_PROMPTS.strip())
 ORACLES["chat_questions"] = with_(
     VIDEOS, FRAMES, clips(5, 3), gathered(5), MESSAGES,
     "user_count as (select count(*) as n from videos)",
@@ -463,7 +465,7 @@ ORACLES["translate_errors"] = ORACLES["translate_fallback"].replace(
     "doc_id % 3 <> 0", "length(text) % 3 <> 0"
 ).replace("'La traduzione non è riuscita.'", "'La traduzione non è riuscita: no answer for ' || length(text) || ' characters'")
 ORACLES["zero_shot_top"] = with_(
-    SCORES.replace(" where vec_id < 5", "").replace(" where vec_id >= 5", ""),
+    SCORES.replace(LABEL_PROMPTS, VECTOR_PROMPTS),
     select="""select video_id, clip_no, row_number() over (partition by video_id, clip_no order by z desc, prompt_id)::bigint as rank,
                      prompt_id, prompt, round(e / sum(e) over (partition by video_id, clip_no), 6) as prob
               from shifted qualify rank <= 3""",
@@ -475,7 +477,7 @@ prompts as (
   from (select item_id, text, list_transform(list_filter(string_split(text, ''), lambda c: c <> ''), lambda c: unicode(c)) as points
         from benchmark)),"""
 ORACLES["zero_shot_texts"] = with_(
-    _TEXT_PROMPTS + SCORES[SCORES.index("\nclip_vectors as"):],
+    SCORES.replace(LABEL_PROMPTS, _TEXT_PROMPTS),
     select="""select video_id, clip_no, row_number() over (partition by video_id, clip_no order by z desc, prompt_id)::bigint as rank,
                      prompt_id, prompt, round(e / sum(e) over (partition by video_id, clip_no), 6) as prob
               from shifted qualify rank <= 2""",

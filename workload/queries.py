@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from clipflow.functions.arith import int_div
 from clipflow.functions import clips as fc, media, paths, text as ft, timecode as tc
 from clipflow.functions.models import udf_captioner, udf_encoder, udf_summarizer, udf_translator
 from clipflow.operators import (
@@ -447,8 +446,8 @@ def zero_shot_last_clip(spark, sf):
 
 @query
 def zero_shot_last_clip_many(spark, sf):
-    """The last clips against prompts that grow with the table, hundreds at the least."""
-    asked = fx.table(spark, sf, "embeddings").filter("vec_id % 5 <> 4")
+    """The last clips against every vector as a prompt."""
+    asked = fx.table(spark, sf, "embeddings")
     scored = score_plan.score_videos(fx.clip_vectors(spark, sf), fx.as_prompts(asked), fx.LOGIT_SCALE, last_only=True)
     return scored.withColumn("prob", F.round("prob", 6))
 
@@ -456,12 +455,8 @@ def zero_shot_last_clip_many(spark, sf):
 @query
 def zero_shot_top(spark, sf):
     """The three likeliest of all vectors' prompts for every vector as a clip: both sides grow with the table."""
-    embeddings = fx.table(spark, sf, "embeddings")
-    every = embeddings.select(
-        int_div("vec_id", 5).alias("video_id"), (F.col("vec_id") % 5).alias("clip_no"),
-        F.col("embedding").cast("array<double>").alias("vector"),
-    )
-    best = scoring.best_prompts(every, fx.as_prompts(embeddings), 3, fx.LOGIT_SCALE)
+    asked = fx.as_prompts(fx.table(spark, sf, "embeddings"))
+    best = scoring.best_prompts(fx.clip_vectors(spark, sf), asked, 3, fx.LOGIT_SCALE)
     return best.withColumn("prob", F.round("prob", 6))
 
 
