@@ -1,5 +1,6 @@
 """Operators on small tables, and that skew changes no result."""
 
+import math
 import random
 
 import pytest
@@ -434,3 +435,49 @@ def test_bounds_of_summaries(spark):
         assert found[2] == "A few words only." and 5 <= len(found[1].split()) <= 25
         usual = {r["video_id"]: r["summary"] for r in plan(captions, "P").collect()}
         assert 30 <= len(usual[1].split()) <= 130
+
+
+def _plan(rows):
+    return rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _vector_rows(n, seed, copies=()):
+    rng = random.Random(seed)
+    rows = [(i, f"p{i}", [rng.gauss(0, 1) for _ in range(7)]) for i in range(n)]
+    for a, b in copies:
+        rows[b] = (b, f"p{b}", rows[a][2])
+    return rows
+
+
+def test_best_of_many_prompts_are_products_of_matrices(spark):
+    """Every pair as an expression over its components took minutes for 2,000 vectors."""
+    known = _vector_rows(700, 3, [(i, i + 350) for i in range(0, 350, 2)])
+    prompts = spark.createDataFrame(known, "prompt_id bigint, prompt string, vector array<double>").repartition(5)
+    clips = prompts.select((F.col("prompt_id") % 50).alias("video_id"), F.col("prompt_id").alias("clip_no"), "vector")
+    best = best_prompts(clips, prompts, 5, 2.0)
+    assert "zip_with" not in _plan(best)
+    got = {}
+    for r in best.collect():
+        got.setdefault(r["clip_no"], {})[r["rank"]] = r["prompt_id"], r["prob"]
+    for clip, _, x in known:
+        logits = []
+        for i, _, y in known:
+            z = 0.0
+            for a, b in zip(x, y):
+                z += a * b
+            logits.append((-2.0 * z, i))
+        total = sum(math.exp(-z) for z, _ in logits)
+        want = [(i, math.exp(-z) / total) for z, i in sorted(logits)[:5]]
+        assert [got[clip][n + 1][0] for n in range(5)] == [i for i, _ in want]
+        assert [got[clip][n + 1][1] for n in range(5)] == pytest.approx([p for _, p in want])
+
+
+def test_best_prompts_leave_out_what_has_no_logit(spark):
+    rows = [(0, "a", [1.0, 0.0]), (1, "b", None), (2, "c", [0.0, 1.0]), (3, "d", [1.0]), (4, "e", [1.0, None]), (None, "f", [1.0, 1.0])]
+    prompts = spark.createDataFrame(rows, "prompt_id bigint, prompt string, vector array<double>")
+    clips = prompts.select(F.col("prompt_id").alias("video_id"), F.lit(0).alias("clip_no"), "vector")
+    for size in (1, 2):
+        found = best_prompts(clips, prompts.filter("vector[0] is not null and size(vector) = 2"), 9, 1.0, size)
+        assert {r["video_id"] for r in found.collect()} <= {0, 2, None}
+    assert best_prompts(clips.filter("vector is null"), prompts, 2).count() == 0
+    assert best_prompts(clips, prompts.limit(0), 2).count() == 0
