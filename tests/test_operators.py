@@ -481,3 +481,21 @@ def test_best_prompts_leave_out_what_has_no_logit(spark):
         assert {r["video_id"] for r in found.collect()} <= {0, 2, None}
     assert best_prompts(clips.filter("vector is null"), prompts, 2).count() == 0
     assert best_prompts(clips, prompts.limit(0), 2).count() == 0
+
+
+def test_scores_of_many_prompts_move_no_logits(spark):
+    """Logits of every pair were shuffled to meet their sums."""
+    known = _vector_rows(300, 5)
+    prompts = spark.createDataFrame(known, "prompt_id bigint, prompt string, vector array<double>")
+    clips = spark.createDataFrame(
+        [(i, 0, v) for i, _, v in _vector_rows(20, 6)] + [(20, 0, None), (21, 0, [1.0]), (None, 0, [1.0] * 7)],
+        "video_id bigint, clip_no bigint, vector array<double>",
+    )
+    blocks = score_prompts(clips, prompts, 3.0, max_inline=100)
+    assert "zip_with" not in _plan(blocks)
+    inline = score_prompts(clips.filter("video_id is not null"), prompts, 3.0, max_inline=300)
+    got = {(r["video_id"], r["prompt_id"]): r["prob"] for r in blocks.collect()}
+    assert got == {
+        (r["video_id"], r["prompt_id"]): r["prob"] if r["prob"] is None else pytest.approx(r["prob"]) for r in inline.collect()
+    }
+    assert len(got) == 22 * 300 and got[20, 0] is None and got[21, 299] is None
