@@ -499,3 +499,11 @@ def test_scores_of_many_prompts_move_no_logits(spark):
         (r["video_id"], r["prompt_id"]): r["prob"] if r["prob"] is None else pytest.approx(r["prob"]) for r in inline.collect()
     }
     assert len(got) == 22 * 300 and got[20, 0] is None and got[21, 299] is None
+
+
+def test_few_prompts_go_to_the_clips(spark):
+    prompts = spark.createDataFrame(_vector_rows(200, 8), "prompt_id bigint, prompt string, vector array<double>")
+    clips = spark.createDataFrame([(i, 0, v) for i, _, v in _vector_rows(90, 9)], "video_id bigint, clip_no bigint, vector array<double>")
+    few, many = best_prompts(clips, prompts, 2, 4.0), best_prompts(clips, prompts, 2, 4.0, 50)
+    assert "zip_with" not in _plan(few) and "Join" not in _plan(few) and "CoGroup" not in _plan(few)
+    same(few.withColumn("prob", F.round("prob", 9)), many.withColumn("prob", F.round("prob", 9)))
