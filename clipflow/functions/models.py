@@ -22,6 +22,8 @@ Encoder = Callable[[Column], Column]
 
 #: Words a caption may have after the echoed prompt.
 MAX_CAPTION_WORDS = 100
+#: Texts whose translations go back together.
+ANSWERED_ROWS = 256
 #: What stands for a clip that was too short for the model.
 NO_CAPTION = "_"
 
@@ -91,7 +93,8 @@ def udf_encoder(load: Callable[[], Callable[[pd.Series], pd.Series]]) -> Encoder
 def udf_translator(load: Callable[[], Callable[[str], str]], attempts: int = 3) -> Translator:
     """Wrap a translating function that may raise: ``load`` runs once per worker stream.
 
-    A text that an Arrow batch holds many times is asked for once. One that fails ``attempts`` times has no translation
+    A text that an Arrow batch holds many times is asked for once; the answers to others are given back in small parts and
+    not held. One that fails ``attempts`` times has no translation
     but the text of its last error; NULL stays NULL and is not asked for.
     """
     if attempts < 1:
@@ -100,17 +103,30 @@ def udf_translator(load: Callable[[], Callable[[str], str]], attempts: int = 3)
     @F.pandas_udf("text string, error string")
     def translate(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         ask = load()
+
+        def answer(text: str) -> tuple:
+            for _ in range(attempts):
+                try:
+                    return ask(text), None
+                except Exception as failure:  # whatever a remote service raises is its answer
+                    said = None, str(failure) or type(failure).__name__
+            return said
+
         for texts in batches:
+            again = set(texts[texts.duplicated()].dropna())
             known: dict[str, tuple] = {}
-            for text in texts.dropna().unique():
-                for _ in range(attempts):
-                    try:
-                        known[text] = (ask(text), None)
-                        break
-                    except Exception as failure:  # whatever a remote service raises is its answer
-                        known[text] = (None, str(failure) or type(failure).__name__)
-            answers = [known.get(text, (None, None)) for text in texts]
-            yield pd.DataFrame(answers, columns=["text", "error"])
+            for at in range(0, len(texts), ANSWERED_ROWS):
+                answers = []
+                for text in texts.iloc[at:at + ANSWERED_ROWS]:
+                    if not isinstance(text, str):
+                        answers.append((None, None))
+                    elif text not in again:
+                        answers.append(answer(text))
+                    else:
+                        if text not in known:
+                            known[text] = answer(text)
+                        answers.append(known[text])
+                yield pd.DataFrame(answers, columns=["text", "error"])
 
     return translate.asNondeterministic()
 

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from clipflow.operators.captions import caption_clips
 from clipflow.operators.clips import plan_clips
 from clipflow.operators.scoring import best_prompts, encode_texts, score_clips, score_prompts
 from clipflow.session import HOT_ROWS
-from clipflow.functions.models import udf_encoder, udf_translator
+from clipflow.functions.models import udf_encoder, udf_summarizer, udf_translator
 from clipflow.plans import chat as chat_plan
 from clipflow.plans.summaries import Bounds, head_summary, hierarchical_summary, oneshot_summary
 from clipflow.streaming.clips import assemble_clip_stream
@@ -507,3 +508,48 @@ def test_few_prompts_go_to_the_clips(spark):
     few, many = best_prompts(clips, prompts, 2, 4.0), best_prompts(clips, prompts, 2, 4.0, 50)
     assert "zip_with" not in _plan(few) and "Join" not in _plan(few) and "CoGroup" not in _plan(few)
     same(few.withColumn("prob", F.round("prob", 9)), many.withColumn("prob", F.round("prob", 9)))
+
+
+def test_translations_are_not_held_by_the_batch(spark):
+    """All texts and answers of an Arrow batch were held until the last one was answered."""
+    texts = spark.range(3000).coalesce(1).select("id", F.concat(F.lit("x" * 3000), (F.col("id") % 2999).cast("string")).alias("text"))
+
+    def load():
+        import gc
+
+        class Answer(str):
+            pass
+
+        calls = []
+
+        def ask(text):
+            calls.append(text)
+            if text.endswith("x2500"):
+                raise ValueError(f"{sum(isinstance(o, Answer) for o in gc.get_objects())} held, {calls.count(text)} asked")
+            return Answer("IT:" + text)
+
+        return ask
+
+    said = texts.select("id", "text", udf_translator(load)("text").alias("said")).orderBy("id").collect()
+    for r in said:
+        if r["id"] != 2500:
+            assert r["said"]["text"] == "IT:" + r["text"] and r["said"]["error"] is None
+    held, _, asked = said[2500]["said"]["error"].partition(" held, ")
+    assert int(held) <= 600 and asked == "3 asked"
+
+
+def test_the_failing_translator_forgets_what_it_answered(spark, monkeypatch):
+    from workload import queries
+
+    kept = []
+    monkeypatch.setattr(queries, "udf_translator", lambda load: kept.append(load) or (lambda _: F.lit(None).cast("string")))
+    queries.translate_errors(spark, "/root/testdata/sf0.001")
+    ask = kept[0]()
+    for text in ("a", "abcd", "ab", "abc"):
+        for _ in range(3):
+            try:
+                ask(text)
+                break
+            except ValueError:
+                pass
+    assert not [c.cell_contents for c in ask.__closure__ if c.cell_contents and "a" in c.cell_contents]
