@@ -18,6 +18,8 @@ from .skew import HotKeys, running_totals, split_hot
 
 MAX_WORDS = 130
 MIN_WORDS = 30
+#: Bytes of terms that are ranked at a time, whole texts always.
+RANKED_BYTES = 1 << 20
 
 # What ends a sentence, and what a word loses before it is counted.
 SENTENCE = r"[^.!?]+[.!?]*"
@@ -71,11 +73,11 @@ def summarize_rows(
 def chosen_sentences(max_words: int, min_words: int):
     """Numbers of the sentences a summary keeps, in text order, from every sentence's word count and its terms.
 
-    Terms are separated by single spaces. All texts of an Arrow batch are ranked by the same few array operations.
+    Terms are separated by single spaces. Texts of an Arrow batch are ranked by the same few array operations, so many at a
+    time that what these hold follows the longest text and not the batch.
     """
 
-    @F.arrow_udf("array<int>")
-    def chosen(sizes: pa.Array, terms: pa.Array) -> pa.Array:
+    def ranked(sizes: pa.Array, terms: pa.Array) -> pa.Array:
         per_text = pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         starts = np.concatenate([[0], np.cumsum(per_text)])
         n = int(starts[-1])
@@ -104,6 +106,15 @@ def chosen_sentences(max_words: int, min_words: int):
         ends = np.concatenate([[0], np.cumsum(np.bincount(text_of[kept], minlength=len(per_text)))])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(kept - starts[text_of[kept]], pa.int32()))
 
+    @F.arrow_udf("array<int>")
+    def chosen(sizes: pa.Array, terms: pa.Array) -> pa.Array:
+        n_bytes = pc.fill_null(pc.binary_length(terms.flatten()), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        per_text = pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        upto = np.concatenate([[0], np.cumsum(n_bytes)])[np.cumsum(per_text)]
+        cuts = [0, *(np.nonzero(np.diff(upto // RANKED_BYTES))[0] + 1).tolist(), len(terms)]
+        parts = [ranked(sizes.slice(x, y - x), terms.slice(x, y - x)) for x, y in zip(cuts, cuts[1:])]
+        return pa.concat_arrays(parts)
+
     return chosen
 
 

@@ -553,3 +553,20 @@ def test_the_failing_translator_forgets_what_it_answered(spark, monkeypatch):
             except ValueError:
                 pass
     assert not [c.cell_contents for c in ask.__closure__ if c.cell_contents and "a" in c.cell_contents]
+
+
+def test_sentences_are_ranked_in_bounded_slices(spark, monkeypatch):
+    """An Arrow batch of texts was ranked in one go, with arrays of all its words."""
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    texts = [[" ".join(rng.choice("abcdefgh") * 3 for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(0, 30))] for _ in range(60)]
+    terms = pa.array([*texts, None, []], pa.list_(pa.string()))
+    sizes = pa.array([[len(s.split()) for s in t] for t in texts] + [None, []], pa.list_(pa.int64()))
+    whole = summary.chosen_sentences(30, 10).func(sizes, terms).to_pylist()
+    longest, cut = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: longest.append(len(keys[0])) or cut(keys))
+    monkeypatch.setattr(summary, "RANKED_BYTES", 2000)
+    assert summary.chosen_sentences(30, 10).func(sizes, terms).to_pylist() == whole
+    assert len(longest) > 5 and max(longest) < 200
+    assert summary.chosen_sentences(30, 10).func(sizes.slice(0, 0), terms.slice(0, 0)).to_pylist() == []
