@@ -11,6 +11,7 @@ from ..functions.models import Summarizer
 from ..operators.documents import join_text, word_chunks
 from ..operators.skew import HotKeys, hot_keys, running_totals, split_hot
 from ..operators.summary import MAX_WORDS, MIN_WORDS, summarize_pieces, summarize_rows
+from ..session import scratch_path
 
 # Words per chunk, the count below which a text is passed on, characters of a head.
 #: Words per chunk, and the count below which a text is passed on unsummarised.
@@ -39,7 +40,7 @@ def hierarchical_summary(
     """Summarise chunks of the joined captions, then their joined summaries.
 
     With a ``model`` every chunk and every joined text of ``bounds.route_words`` words or more goes through it; shorter
-    ones pass as they are and never reach it.
+    ones pass as they are and never reach it. What it says of the chunks is written to the scratch folder.
     """
     hot = hot_keys(captions, "video_id") if hot is None else hot
     texts = stripped(captions, prompt)
@@ -65,7 +66,10 @@ def _two_levels(texts: DataFrame, hot: HotKeys, bounds: Bounds) -> DataFrame:
 
 def _two_levels_by_model(texts: DataFrame, hot: HotKeys, model: Summarizer, bounds: Bounds) -> DataFrame:
     chunks = word_chunks(texts, "video_id", "clip_no", "caption", bounds.chunk_words, bounds.route_words, hot)
-    parts = _through(chunks, ["video_id", "chunk_no"], "chunk", F.col("n_words"), model, bounds)
+    path = scratch_path(texts.sparkSession, "parts")
+    # written once: two branches read them below, and the model is not asked for a chunk again
+    _through(chunks, ["video_id", "chunk_no"], "chunk", F.col("n_words"), model, bounds).write.parquet(path)
+    parts = texts.sparkSession.read.parquet(path)
     whole = join_text(parts, "video_id", "chunk_no", "summary").select("video_id", F.col("text").alias("_whole"))
     done = _through(whole, ["video_id"], "_whole", ft.word_count("_whole"), model, bounds)
     # a video whose captions hold no word has no chunk; its summary is empty

@@ -570,3 +570,17 @@ def test_sentences_are_ranked_in_bounded_slices(spark, monkeypatch):
     assert summary.chosen_sentences(30, 10).func(sizes, terms).to_pylist() == whole
     assert len(longest) > 5 and max(longest) < 200
     assert summary.chosen_sentences(30, 10).func(sizes.slice(0, 0), terms.slice(0, 0)).to_pylist() == []
+
+
+def test_a_model_is_asked_for_a_chunk_once(spark):
+    """Both branches of the second level asked it again for every chunk."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def load():
+        return lambda texts: calls.add(len(texts)) or texts.str.slice(0, 4)
+
+    rows = [(v, c, "some words of a caption. " * 20) for v in range(6) for c in range(2)]
+    captions = spark.createDataFrame(rows, "video_id bigint, clip_no bigint, caption string")
+    done = hierarchical_summary(captions, "", model=udf_summarizer(load), bounds=Bounds(chunk_words=60, route_words=50))
+    assert {r["summary"] for r in done.collect()} == {"some some some"}
+    assert calls.value == 6 * 3
