@@ -584,3 +584,20 @@ def test_a_model_is_asked_for_a_chunk_once(spark):
     done = hierarchical_summary(captions, "", model=udf_summarizer(load), bounds=Bounds(chunk_words=60, route_words=50))
     assert {r["summary"] for r in done.collect()} == {"some some some"}
     assert calls.value == 6 * 3
+
+
+def test_clips_share_values_of_the_state(spark, tmp_path, monkeypatch):
+    """Every clip was a group of its own, with several calls of the state store each."""
+    from clipflow.streaming import clips as clip_stream, run
+
+    monkeypatch.setattr(clip_stream, "BUCKETS", 4, raising=False)
+    rows = [(v, i * 3, False) for v in [*range(200), None] for i in range(3)] + [(v, 12, True) for v in range(100)]
+    layout = "video_id bigint, frame_idx bigint, eos boolean"
+    spark.createDataFrame(rows, layout).repartition(2).write.parquet(f"{tmp_path}/in")
+    found = assemble_clip_stream(spark.readStream.schema(layout).parquet(f"{tmp_path}/in"), 4, 3)
+    with run._store(spark):
+        query = (
+            found.writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/progress").trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    assert 0 < max(int(s["numRowsTotal"]) for p in query.recentProgress for s in p["stateOperators"]) <= 40
