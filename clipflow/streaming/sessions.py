@@ -17,6 +17,10 @@ from .run import latest, run_batches
 
 #: Turns whose numbers fall into one page of a session's state, which is read and written as a whole.
 PAGE_TURNS = 4096
+#: Buckets that sessions are dealt to; turns that a bucket's sessions have at hand before they are written.
+BUCKETS, NEAR_TURNS = 1024, 100_000
+#: The session of messages without an id; those of others begin with another letter.
+NO_SESSION = "none"
 
 
 def active_video_stream(
@@ -30,8 +34,8 @@ def active_video_stream(
     is delivered again replaces itself.
 
     A session's turns are kept in pages by turn number; a micro-batch reads and writes the pages it brings turns for
-    and those whose first video changes, one at a time. A session without news for
-    ``expire_ms`` is forgotten.
+    and those whose first video changes, a bounded number at a time. Sessions are dealt to buckets by hash, and those of
+    a bucket are worked through together. A session without news for ``expire_ms`` is forgotten.
     """
     rows = gated if context else gated.withColumn("_context", F.lit(None).cast("string"))
     known = context or "_context"
@@ -39,72 +43,120 @@ def active_video_stream(
     text = T.StringType()
     out = T.StructType([*kept.fields, T.StructField("active_video", text), T.StructField("revision", T.LongType())])
     own = [T.StructField("active_set", text), T.StructField("_told_video", text), T.StructField("_told_text", text)]
-    layout = to_arrow_schema(T.StructType([*kept.fields, *own]))
-    names, given = layout.names, rows.columns
+    layout, told_layout = to_arrow_schema(T.StructType([*kept.fields, *own])), to_arrow_schema(out)
+    arriving, given = to_arrow_schema(rows.schema), rows.columns
+    names = layout.names
+    conv_at, turn_at, text_at = names.index("conv_id"), names.index("turn"), names.index(known)
+    set_at, video_at, told_at = len(names) - 3, len(names) - 2, len(names) - 1
 
     class Sessions(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.pages = handle.getMapState("pages", "page bigint", "rows binary", expire_ms)
-            self.known = handle.getValueState("known", "pages array<bigint>, revision bigint", expire_ms)
-
-        def _load(self, page: int) -> pd.DataFrame:
-            return pa.ipc.open_stream(self.pages.getValue((page,))[0]).read_pandas()
+        """The sessions of a bucket; a page is rows by turn, as lists in the order of ``names``."""
 
-        def _store(self, page: int, turns: pd.DataFrame) -> None:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, layout) as writer:
-                writer.write_table(pa.Table.from_pandas(turns[names], schema=layout, preserve_index=False))
-            self.pages.updateValue((page,), (sink.getvalue().to_pybytes(),))
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.pages = handle.getMapState("pages", "session string, page bigint", "rows binary", expire_ms)
+            self.known = handle.getMapState("known", "session string", "pages array<bigint>, revision bigint", expire_ms)
+            self.near: dict[tuple, dict[int, list]] = {}
+            self.news: set[tuple] = set()
+            self.n_near = 0
+
+        def _load(self, session: str, page: int) -> dict[int, list]:
+            if (session, page) not in self.near:
+                held = self.pages.getValue((session, page))
+                columns = pa.ipc.open_stream(held[0]).read_all().columns if held else []
+                self._keep(session, page, {row[turn_at]: list(row) for row in zip(*(c.to_pylist() for c in columns))})
+            return self.near[session, page]
+
+        def _keep(self, session: str, page: int, turns: dict[int, list]) -> None:
+            if self.n_near >= NEAR_TURNS:
+                self._flush()
+            self.near[session, page] = turns
+            self.n_near += len(turns) + 1
+
+        def _flush(self) -> None:
+            for at in self.news:
+                columns = zip(*(turn for _, turn in sorted(self.near[at].items())))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, layout) as writer:
+                    writer.write_batch(pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, layout)], schema=layout))
+                self.pages.updateValue(at, (sink.getvalue().to_pybytes(),))
+            self.near, self.news, self.n_near = {}, set(), 0
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            word = lambda v: v if isinstance(v, str) else None
-            held = self.known.get()
-            pages, revision = (list(held[0]), held[1] + 1) if held else ([], 0)
-            touched = set()
+            known_of: dict[str, tuple] = {}
+            touched: dict[str, set] = {}
             for batch in rows:
                 # by place: names that begin with an underscore come changed; nothing has been told of these rows yet
-                batch = batch.set_axis(given, axis=1).reindex(columns=names)
-                for page, some in batch.groupby(batch["turn"] // page_turns):
-                    page = int(page)
-                    if page in touched or page in pages:
-                        some = pd.concat([self._load(page), some[names]])
-                    self._store(page, some.drop_duplicates("turn", keep="last").sort_values("turn", ignore_index=True))
-                    touched.add(page)
-            pages = sorted(touched.union(pages))
-            self.known.update((pages, revision))
-
-            end, behind = None, False  # what holds after the page before, if known; whether that may have changed
-            for at, page in enumerate(pages):
-                if page not in touched and not behind:
-                    end = None
-                    continue
-                turns = self._load(page)
-                if end is None:
-                    end = ("", None)
-                    if at:
-                        last = self._load(pages[at - 1]).iloc[-1]
-                        end = (last["_told_video"], word(last["_told_text"]))
-                then = [(v, word(t)) for v, t in zip(turns["_told_video"], turns["_told_text"])]
-                now = []
-                for video, of_video in zip(turns["active_set"], turns[known]):
-                    if isinstance(video, str):
-                        end = (video, word(of_video))
-                    now.append(end)
-                told = [a != b for a, b in zip(then, now)]
-                behind = page in touched or told[-1]
-                if any(told):
-                    self._store(page, turns.assign(_told_video=[v for v, _ in now], _told_text=[t for _, t in now]))
-                    news = turns[told].copy()
-                    news["active_video"] = [v for (v, _), t in zip(now, told) if t]
-                    news[known] = [c for (_, c), t in zip(now, told) if t]
-                    news["revision"] = revision
-                    yield news[out.names]
+                arrived = pa.Table.from_pandas(
+                    batch.iloc[:, :len(given)].set_axis(given, axis=1), schema=arriving, preserve_index=False
+                )
+                columns = [arrived.column(c).to_pylist() for c in names[:-2]]
+                by_page: dict[tuple, list] = {}
+                for session, *row in zip(batch.iloc[:, len(given)], *columns):
+                    if session == NO_SESSION:
+                        row[conv_at] = None
+                    by_page.setdefault((session, row[turn_at] // page_turns), []).append([*row, None, None])
+                for (session, page), some in by_page.items():
+                    if session not in known_of:
+                        held = self.known.getValue((session,))
+                        known_of[session] = (list(held[0]), held[1] + 1) if held else ([], 0)
+                        touched[session] = set()
+                    if page not in touched[session] and page not in known_of[session][0]:
+                        self._keep(session, page, {})
+                    touched[session].add(page)
+                    self._load(session, page).update((turn[turn_at], turn) for turn in some)
+                    self.n_near += len(some)
+                    self.news.add((session, page))
+
+            told: list[list] = []
+            for session, of_session in touched.items():
+                pages = sorted(of_session.union(known_of[session][0]))
+                revision = known_of[session][1]
+                self.known.updateValue((session,), (pages, revision))
+                end, behind = None, False  # what holds after the page before, if known; whether that may have changed
+                for at, page in enumerate(pages):
+                    if page not in of_session and not behind:
+                        end = None
+                        continue
+                    if end is None:
+                        end = ("", None)
+                        if at and (before := self._load(session, pages[at - 1])):
+                            last = before[max(before)]
+                            end = (last[video_at], last[told_at])
+                    behind, changed = page in of_session, False
+                    for _, turn in sorted(self._load(session, page).items()):
+                        if turn[set_at] is not None:
+                            end = (turn[set_at], turn[text_at])
+                        changed = (turn[video_at], turn[told_at]) != end
+                        if changed:
+                            turn[video_at], turn[told_at] = end
+                            self.news.add((session, page))
+                            row = turn[:set_at] + [end[0], revision]
+                            row[text_at] = end[1]
+                            told.append(row)
+                    behind = behind or changed
+                    if len(told) >= NEAR_TURNS:
+                        yield self._told(told)
+                        told = []
+            self._flush()
+            if told:
+                yield self._told(told)
+
+        def _told(self, rows: list[list]) -> pd.DataFrame:
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), told_layout)]
+            return pa.Table.from_arrays(columns, schema=told_layout).to_pandas(integer_object_nulls=True)
 
         def close(self) -> None:
             pass
 
     mode = "none" if expire_ms is None else "ProcessingTime"
-    carried = rows.groupBy("conv_id").transformWithStateInPandas(Sessions(), out, "append", mode)
+    # a session without an id gets one on the way, as integers among NULLs would become floating
+    bucket, conv_id = F.pmod(F.xxhash64("conv_id"), F.lit(BUCKETS)), F.col("conv_id")
+    session = F.coalesce(F.concat(F.lit("s"), conv_id.cast("string")), F.lit(NO_SESSION))
+    dealt = rows.filter(F.col("turn").isNotNull()).select(
+        *[F.coalesce(c, F.lit(0).cast(rows.schema[c].dataType)).alias(c) if c == "conv_id" else c for c in given],
+        session.alias("session"), bucket.alias("bucket"),
+    )
+    carried = dealt.groupBy("bucket").transformWithStateInPandas(Sessions(), out, "append", mode)
     return carried if context else carried.drop("_context")
 
 

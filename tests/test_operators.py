@@ -601,3 +601,26 @@ def test_clips_share_values_of_the_state(spark, tmp_path, monkeypatch):
         )
         query.awaitTermination()
     assert 0 < max(int(s["numRowsTotal"]) for p in query.recentProgress for s in p["stateOperators"]) <= 40
+
+
+def test_sessions_of_a_bucket_are_worked_through_together(spark, tmp_path, monkeypatch):
+    """Every session was a group of its own; with few turns at hand, what is not is written and read again."""
+    from clipflow.streaming import sessions
+
+    rng = random.Random(12)
+    rows = [(c, t, rng.choice([None, "", f"/v{c}_{t}.mp4"])) for c in [*range(40), 2**60 + 1, None] for t in rng.sample(range(60), 20)]
+    rng.shuffle(rows)
+    layout = "conv_id bigint, turn bigint, active_set string"
+    spark.createDataFrame(rows, layout).repartition(3).write.parquet(f"{tmp_path}/in")
+    want = {}
+    for c, t, v in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+        want[c, t] = v if v is not None else next((want[c, b] for b in range(t - 1, -1, -1) if (c, b) in want), "")
+    seen = []
+    monkeypatch.setattr(sessions, "BUCKETS", 5, raising=False)
+    monkeypatch.setattr(sessions, "NEAR_TURNS", 30, raising=False)
+    stream = spark.readStream.schema(layout).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    carried = active_video_stream(stream, page_turns=16)
+    seen.append(carried._jdf.queryExecution().analyzed().toString())
+    got = latest(run_to_table(carried), "conv_id", "turn").collect()
+    assert {(r["conv_id"], r["turn"]): r["active_video"] for r in got} == want and len(got) == len(want)
+    assert "AS bucket" in seen[0]
