@@ -147,6 +147,25 @@ def summarize_pieces(
     return keys.join(found, key, "left").select(key, F.coalesce("summary", F.lit("")).alias("summary"))
 
 
+def summarize_joined(
+    rows: DataFrame,
+    key: str,
+    order: str,
+    text: str,
+    max_words: int = MAX_WORDS,
+    min_words: int = MIN_WORDS,
+) -> DataFrame:
+    """As ``summarize_pieces`` for keys whose joined text is known to be small: ``key, summary`` of every key of ``rows``.
+
+    The text is built once per key, and its words are ranked where it lies (``summarize_rows``) instead of being rows
+    that are shuffled and sorted.
+    """
+    piece = F.struct(F.col(order).alias("_ord"), F.coalesce(text, F.lit("")).alias("_raw"))
+    pieces = _with_keys(rows, [key]).groupBy(key).agg(F.array_sort(F.collect_list(piece)).alias("_pieces"))
+    joined = pieces.select(key, F.array_join(F.col("_pieces._raw"), " ").alias("_joined"))
+    return summarize_rows(joined, [key], "_joined", max_words, min_words)
+
+
 def _summarize_stitched(rows: DataFrame, key: str, order: str, text: str, limits, hot: HotKeys) -> DataFrame:
     max_words, min_words, min_input = limits
     placed = _stitched(rows, key, order, text, min_input, hot)

@@ -12,9 +12,12 @@ from ..operators.chat import (
 )
 from ..operators.frames import BLOCK, assemble_blocks, assemble_clips
 from ..operators.skew import MAX_HOT_KEYS, HotKeys, hot_keys, lookup
-from ..operators.summary import summarize_pieces
+from ..operators.summary import summarize_joined, summarize_pieces
 from ..session import HOT_ROWS, setting
 
+#: Words that the captions of one turn may have together to be joined into one text.
+JOINED_WORDS = 1 << 18
+
 
 def answer_turns(
     messages: DataFrame,
@@ -70,10 +73,25 @@ def answer_carried(
     stride: int = 3,
     max_length: int = MAX_CAPTION_WORDS,
 ) -> DataFrame:
-    """The replies of turns whose ``active_video`` and ``_video``, its id, are known.
+    """The replies of turns whose ``active_video`` and ``_video``, its id, are known."""
+    answered = summarize_asked(turns, videos, frames, captioner, length, stride, max_length)
+    return reply_rows(translated(answered, translator), reply_catalog(turns.sparkSession))
+
+
+def summarize_asked(
+    turns: DataFrame,
+    videos: DataFrame,
+    frames: DataFrame,
+    captioner: Captioner | None = None,
+    length: int = 10,
+    stride: int = 3,
+    max_length: int = MAX_CAPTION_WORDS,
+) -> DataFrame:
+    """Turns with the ``summary`` of their video's captions under their own question, instead of ``_video``.
 
     Turns meet the clips of their video one by one, and a video that very many ask about in several tasks, so neither a long
-    video nor a much-asked one is the work of one task. Which turns have very many clips is known before any clip is captioned.
+    video nor a much-asked one is the work of one task. How many clips a turn has is known before any clip is captioned:
+    captions of up to ``JOINED_WORDS`` words are summarised as one text, those of longer turns stay rows.
     """
     turns = turns.withColumn("_turn", F.concat_ws(":", "conv_id", "turn"))
     asked = turns.filter((F.col("active_video") != "") & F.col("_video").isNotNull()).select(
@@ -91,18 +109,32 @@ def answer_carried(
     posed = seen.select(F.col("_turn").alias("video_id"), "clip_no", "payload", "n_fetched", "_prompt")
     said = caption_clips(posed, F.col("_prompt"), length, captioner, max_length=max_length, keep=("_prompt",))
     stripped = said.select("video_id", "clip_no", ft.strip_prompt("caption", F.col("_prompt")).alias("caption"))
-    found = summarize_pieces(stripped, "video_id", "clip_no", "caption", _long_turns(counted)).select(
-        F.col("video_id").alias("_turn"), "summary"
-    )
-    answered = turns.join(found, "_turn", "left").drop("_turn", "_video")
-    return reply_rows(translated(answered, translator), reply_catalog(turns.sparkSession))
-
-
-def _long_turns(counted: DataFrame) -> HotKeys:
-    """Turns about videos of so many clips that one turn's captions are too much for a task, from the clip counts alone."""
+    long, hot_turns = _long_turns(counted, max_length)
+    if long is None:
+        found = summarize_joined(stripped, "video_id", "clip_no", "caption")
+    else:
+        kept = stripped.join(long, "video_id", "left")
+        found = summarize_joined(kept.filter(F.col("_long").isNull()), "video_id", "clip_no", "caption").unionByName(
+            summarize_pieces(kept.filter("_long"), "video_id", "clip_no", "caption", hot_turns)
+        )
+    found = found.select(F.col("video_id").alias("_turn"), "summary")
+    return turns.join(found, "_turn", "left").drop("_turn", "_video")
+
+
+def _long_turns(counted: DataFrame, max_length: int) -> tuple[DataFrame | None, HotKeys]:
+    """Turns whose captions are too much for one text, and those whose captions are too much for a task, from the clip counts alone.
+
+    Clips are counted over all questions of a turn. The first are rows ``video_id, _long``, or None if there are none; at most
+    ``MAX_HOT_KEYS`` of the second reach the driver.
+    """
     rows = setting(counted.sparkSession, HOT_ROWS)
-    long = counted.filter(F.col("_clips") > rows).orderBy(F.desc("_clips"), "_turn").limit(MAX_HOT_KEYS)
-    return {row["_turn"]: row["_clips"] for row in long.select("_turn", "_clips").collect()}
+    joined = min(rows, JOINED_WORDS // max(max_length, 1))
+    long = counted.groupBy("_turn").agg(F.sum("_clips").alias("_clips")).filter(F.col("_clips") > joined)
+    heaviest = long.orderBy(F.desc("_clips"), "_turn").limit(MAX_HOT_KEYS).collect()
+    if not heaviest:
+        return None, {}
+    hot = {row["_turn"]: row["_clips"] for row in heaviest if row["_clips"] > rows}
+    return long.select(F.col("_turn").alias("video_id"), F.lit(True).alias("_long")), hot
 
 
 def translated(turns: DataFrame, translator: Translator) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,8 +12,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.models import MAX_CAPTION_WORDS, Captioner, Translator
-from ..operators.chat import gate_uploads
-from ..plans.chat import answer_carried
+from ..operators.chat import gate_uploads, reply_catalog, reply_rows
+from ..plans.chat import summarize_asked, translated
+from ..session import scratch_path
 from .run import latest, run_batches
 
 #: Turns whose numbers fall into one page of a session's state, which is read and written as a whole.
@@ -43,14 +45,16 @@ def active_video_stream(
     text = T.StringType()
     out = T.StructType([*kept.fields, T.StructField("active_video", text), T.StructField("revision", T.LongType())])
     own = [T.StructField("active_set", text), T.StructField("_told_video", text), T.StructField("_told_text", text)]
-    layout, told_layout = to_arrow_schema(T.StructType([*kept.fields, *own])), to_arrow_schema(out)
-    arriving, given = to_arrow_schema(rows.schema), rows.columns
-    names = layout.names
+    told_layout, arriving, given = to_arrow_schema(out), to_arrow_schema(rows.schema), rows.columns
+    names = [f.name for f in [*kept.fields, *own]]
     conv_at, turn_at, text_at = names.index("conv_id"), names.index("turn"), names.index(known)
     set_at, video_at, told_at = len(names) - 3, len(names) - 2, len(names) - 1
 
     class Sessions(StatefulProcessor):
-        """The sessions of a bucket; a page is rows by turn, as lists in the order of ``names``."""
+        """The sessions of a bucket; a page is rows by turn, as lists in the order of ``names``, and pickled in the state.
+
+        Most pages are a few rows, for which an Arrow stream costs fifty times as much.
+        """
 
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.pages = handle.getMapState("pages", "session string, page bigint", "rows binary", expire_ms)
@@ -62,8 +66,7 @@ def active_video_stream(
         def _load(self, session: str, page: int) -> dict[int, list]:
             if (session, page) not in self.near:
                 held = self.pages.getValue((session, page))
-                columns = pa.ipc.open_stream(held[0]).read_all().columns if held else []
-                self._keep(session, page, {row[turn_at]: list(row) for row in zip(*(c.to_pylist() for c in columns))})
+                self._keep(session, page, {row[turn_at]: row for row in pickle.loads(held[0])} if held else {})
             return self.near[session, page]
 
         def _keep(self, session: str, page: int, turns: dict[int, list]) -> None:
@@ -74,11 +77,7 @@ def active_video_stream(
 
         def _flush(self) -> None:
             for at in self.news:
-                columns = zip(*(turn for _, turn in sorted(self.near[at].items())))
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, layout) as writer:
-                    writer.write_batch(pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, layout)], schema=layout))
-                self.pages.updateValue(at, (sink.getvalue().to_pybytes(),))
+                self.pages.updateValue(at, (pickle.dumps([turn for _, turn in sorted(self.near[at].items())]),))
             self.near, self.news, self.n_near = {}, set(), 0
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -188,8 +187,14 @@ def answer_stream(
     turns = active_video_stream(asked, context="_video", expire_ms=expire_ms)
 
     def reply(rows: DataFrame) -> DataFrame:
+        spark = rows.sparkSession
         carried = rows.withColumn("_video", F.col("_video").cast("bigint"))
-        said = answer_carried(carried, videos, frames, translator, captioner, length, stride, max_length)
+        answered = summarize_asked(carried, videos, frames, captioner, length, stride, max_length)
+        # written, as what is translated and what is not are read from it apart
+        path = scratch_path(spark, "answered")
+        answered.write.parquet(path)
+        stored = spark.read.schema(answered.schema).parquet(path)
+        said = reply_rows(translated(stored, translator), reply_catalog(spark))
         revised = rows.select("conv_id", "turn", "revision").distinct()
         return said.join(revised, ["conv_id", "turn"])
 

@@ -197,6 +197,43 @@ def test_pieces_summarise_like_the_joined_text(spark, setting):
         setting(HOT_ROWS, 1_000_000)
 
 
+def test_joined_pieces_are_summarised_as_pieces(spark):
+    rows = [(k, i, t) for k, texts in enumerate(PIECES) for i, t in enumerate(texts)]
+    rows += [(100, 0, None), (101, 1, "two"), (101, 0, None), (None, 0, "Lost."), (102, 0, "Once."), (102, 0, "Once.")]
+    pieces = spark.createDataFrame(rows, "k bigint, i bigint, t string")
+    want = summary.summarize_pieces(pieces, "k", "i", "t", {}, 40, 10)
+    same(summary.summarize_joined(pieces.repartition(3), "k", "i", "t", 40, 10), want)
+
+
+@pytest.mark.parametrize("joined_words", [1 << 18, 250, 0])
+def test_turns_are_answered_alike_however_long_their_captions(spark, monkeypatch, joined_words):
+    videos = spark.createDataFrame([(1, 4), (2, 40), (3, 0)], "video_id bigint, n_frames bigint")
+    frames = spark.createDataFrame(
+        [(v, i, float(i)) for v, n in ((1, 4), (2, 40)) for i in range(n)], "video_id bigint, frame_idx bigint, payload double"
+    )
+    asked = [(7, 0, 1), (7, 1, 2), (8, 0, 2), (8, 1, 3), (9, 0, 1), (9, 0, 2), (None, 5, 2)]  # one turn comes twice
+    turns = spark.createDataFrame(
+        [(c, t, f"What, {c} {t}?", "/in.mp4", v) for c, t, v in asked],
+        "conv_id bigint, turn bigint, text string, active_video string, _video bigint",
+    )
+
+    def say(payload, prompt):
+        return F.concat(prompt, F.lit("Seen "), F.array_max(payload).cast("int").cast("string"), F.lit("; next. More"))
+
+    monkeypatch.setattr(chat_plan, "JOINED_WORDS", joined_words)
+    answers = chat_plan.summarize_asked(turns, videos, frames, say, length=2, stride=2, max_length=50)
+    got = {}
+    for row in answers.collect():
+        got.setdefault((row.conv_id, row.turn), []).append(row.summary)
+    long = " ".join(f"Seen {4 * i + 2}; next. More" for i in range(10))
+    assert got[7, 1] == got[8, 0] == got[None, 5] == [long]
+    assert got[7, 0] == ["Seen 2; next. More"] and got[8, 1] == [None]
+    assert len(got[9, 0]) == 2 and got[9, 0][0] == got[9, 0][1] and got[9, 0][0].count("Seen 2;") == 2
+    # words become rows, which are shuffled and sorted, only for turns with more captions than one text may have
+    by_words = "_term" in answers._jdf.queryExecution().optimizedPlan().toString()
+    assert by_words == (joined_words < 500)
+
+
 def brute_summary(text, most, least):
     import re
 
