@@ -30,8 +30,8 @@ MAX_PROFILES = 256
 _known: dict[tuple, HotKeys] = {}
 
 
-def hot_keys(df: DataFrame, key: str) -> HotKeys:
-    """The heaviest keys above the row threshold with their counts.
+def hot_keys(df: DataFrame, key: str, weight: int = 1) -> HotKeys:
+    """The heaviest keys above the row threshold with their counts, each row counted as ``weight`` of them.
 
     One pass over the key column with map-side counts; at most ``MAX_HOT_KEYS``
     rows reach the driver. The answer is kept for the session: if the data has
@@ -40,17 +40,17 @@ def hot_keys(df: DataFrame, key: str) -> HotKeys:
     spark = df.sparkSession
     limit = setting(spark, HOT_ROWS)
     keys = df.select(key)
-    asked = (spark.sparkContext.applicationId, keys.semanticHash(), key, limit)
+    asked = (spark.sparkContext.applicationId, keys.semanticHash(), key, limit, weight)
     if asked not in _known:
         heaviest = (
             keys.groupBy(key).count()
-            .filter((F.col("count") > limit) & F.col(key).isNotNull())
+            .filter((F.col("count") * weight > limit) & F.col(key).isNotNull())
             .orderBy(F.desc("count"), key)
             .limit(MAX_HOT_KEYS)
         )
         if len(_known) >= MAX_PROFILES:
             _known.clear()
-        _known[asked] = {row[0]: row[1] for row in heaviest.collect()}
+        _known[asked] = {row[0]: row[1] * weight for row in heaviest.collect()}
     return dict(_known[asked])
 
 
@@ -65,7 +65,7 @@ def split_hot(df: DataFrame, key: str, hot: HotKeys) -> tuple[DataFrame, DataFra
 def lookup(
     facts: DataFrame, dim: DataFrame, key: str, hot: HotKeys, how: str = "left", on: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Join facts to attributes of which there is one row per key, or per key and the columns ``on``.
+    """Join facts to attributes of which there are one or a few rows per key, or per key and the columns ``on``.
 
     Whether the small side is broadcast is left to Spark, which knows its size;
     when it is shuffled, rows of hot keys spread over as many tasks as they need.

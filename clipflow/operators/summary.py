@@ -20,6 +20,8 @@ MAX_WORDS = 130
 MIN_WORDS = 30
 #: Bytes of terms that are ranked at a time, whole texts always.
 RANKED_BYTES = 1 << 20
+#: Places per word at most that words are counted in; more distinct ones are sorted.
+COUNTED_SPREAD = 8
 
 # What ends a sentence, and what a word loses before it is counted.
 SENTENCE = r"[^.!?]+[.!?]*"
@@ -48,7 +50,9 @@ def summarize_rows(
     together (``chosen_sentences``), and only the numbers of the chosen sentences come back. Texts under ``min_input`` words
     pass as they are; ``counted`` names a column that already holds the word count.
     """
-    columns = [F.coalesce(text, F.lit("")).alias("_text"), *([F.col(counted).alias("_n")] if counted else [])]
+    # neither sentences nor words depend on which white space lies between them
+    plain = ft.plain_spaces(F.coalesce(text, F.lit("")))
+    columns = [plain.alias("_text"), *([F.col(counted).alias("_n")] if counted else [])]
     rows = _with_keys(texts.select(*keys, *columns), keys)
     matches = _matches(F.col("_text"))
     if min_input:
@@ -56,11 +60,10 @@ def summarize_rows(
         matches = F.when(n_words < min_input, F.array("_text")).otherwise(matches)
 
     def measured(match: Column) -> Column:
-        plain = ft.plain_spaces(match)
         return F.struct(
             match.alias("s"),
-            F.size(_split(plain)).cast("bigint").alias("n"),
-            F.regexp_replace(F.lower(plain), NOT_TERM, "").alias("t"),
+            F.size(_split(match)).cast("bigint").alias("n"),
+            F.regexp_replace(F.lower(match), NOT_TERM, "").alias("t"),
         )
 
     # The generator keeps the lambdas out of the arguments: Spark cannot hand those with lambdas to Python.
@@ -91,7 +94,11 @@ def chosen_sentences(max_words: int, min_words: int):
         sentence_of = np.repeat(np.arange(n), per_sentence)
         if len(codes):
             sentence_of, codes = sentence_of[real[codes]], codes[real[codes]]
-        _, which, times = np.unique(text_of[sentence_of] * (len(real) + 1) + codes, return_inverse=True, return_counts=True)
+        which = text_of[sentence_of] * (len(real) + 1) + codes
+        if len(per_text) * (len(real) + 1) <= COUNTED_SPREAD * len(codes):
+            times = np.bincount(which)
+        else:
+            _, which, times = np.unique(which, return_inverse=True, return_counts=True)
         total = np.bincount(sentence_of, weights=times[which], minlength=n)
         score = total / np.maximum(np.bincount(sentence_of, minlength=n), 1)
 

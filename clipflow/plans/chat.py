@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import clips as fc, text as ft
+from ..functions.arith import int_div
 from ..functions.models import MAX_CAPTION_WORDS, Captioner, Translator
 from ..operators.captions import caption_clips
 from ..operators.chat import (
@@ -17,6 +18,8 @@ from ..session import HOT_ROWS, setting
 
 #: Words that the captions of one turn may have together to be joined into one text.
 JOINED_WORDS = 1 << 18
+#: Clips of a video that a turn meets together.
+MET_CLIPS = 64
 
 
 def answer_turns(
@@ -89,8 +92,9 @@ def summarize_asked(
 ) -> DataFrame:
     """Turns with the ``summary`` of their video's captions under their own question, instead of ``_video``.
 
-    Turns meet the clips of their video one by one, and a video that very many ask about in several tasks, so neither a long
-    video nor a much-asked one is the work of one task. How many clips a turn has is known before any clip is captioned:
+    Turns meet the clips of their video ``MET_CLIPS`` at a time, and a video that very many ask about in several tasks, so neither
+    a long video nor a much-asked one is the work of one task; what is shuffled or broadcast for it is turns and clips, not their
+    pairs. How many clips a turn has is known before any clip is captioned:
     captions of up to ``JOINED_WORDS`` words are summarised as one text, those of longer turns stay rows.
     """
     turns = turns.withColumn("_turn", F.concat_ws(":", "conv_id", "turn"))
@@ -98,13 +102,17 @@ def summarize_asked(
         "_turn", F.col("_video").alias("video_id"), ft.echoed_prompt(ft.chat_prompt("text")).alias("_prompt")
     )
     wanted = videos.join(asked.select("video_id").distinct(), "video_id", "left_semi")
-    hot = hot_keys(asked, "video_id")
+    met = hot_keys(asked, "video_id", weight=MET_CLIPS)
+    hot = {video: n // MET_CLIPS for video, n in met.items() if n // MET_CLIPS > setting(turns.sparkSession, HOT_ROWS)}
     counts = wanted.groupBy("video_id").agg(F.max(fc.clip_count("n_frames", length, stride)).alias("_clips"))
     counted = lookup(asked, counts.filter(F.col("_clips") > 0), "video_id", hot, "inner")
-    numbers = F.sequence(F.lit(0).cast("bigint"), F.col("_clips") - 1)
-    each = counted.select("_turn", "video_id", "_prompt", F.explode(numbers).alias("clip_no"))
+    parts = F.sequence(F.lit(0).cast("bigint"), int_div(F.col("_clips") - 1, MET_CLIPS))
+    each = counted.withColumn("_part", F.explode(parts))
     assemble = assemble_blocks if BLOCK in frames.columns else assemble_clips
-    seen = lookup(each, assemble(wanted, frames, length, stride), "video_id", hot, "inner", on=("clip_no",))
+    clips = assemble(wanted, frames, length, stride).withColumn("_part", int_div("clip_no", MET_CLIPS))
+    seen = lookup(each, clips, "video_id", met, "inner", on=("_part",)).filter(
+        (F.col("clip_no") >= 0) & (F.col("clip_no") < F.col("_clips"))
+    )
     # a clip under a question is a clip of its own to the captioner
     posed = seen.select(F.col("_turn").alias("video_id"), "clip_no", "payload", "n_fetched", "_prompt")
     said = caption_clips(posed, F.col("_prompt"), length, captioner, max_length=max_length, keep=("_prompt",))

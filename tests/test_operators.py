@@ -661,3 +661,59 @@ def test_sessions_of_a_bucket_are_worked_through_together(spark, tmp_path, monke
     got = latest(run_to_table(carried), "conv_id", "turn").collect()
     assert {(r["conv_id"], r["turn"]): r["active_video"] for r in got} == want and len(got) == len(want)
     assert "AS bucket" in seen[0]
+
+
+@pytest.mark.parametrize("together, rows, hot_rows", [(4, 3, 500_000), (64, 1, 500_000), (4, 3, 3)])
+def test_turns_meet_clips_in_parts(spark, monkeypatch, setting, together, rows, hot_rows):
+    """What is shuffled for a turn is a row per part of its video, not one per clip; each clip is seen once."""
+    setting(HOT_ROWS, hot_rows)
+    met, lookup = [], chat_plan.lookup
+
+    def watched(facts, dim, key, hot, how="left", on=()):
+        if on:
+            met.append((facts.count(), hot))
+        return lookup(facts, dim, key, hot, how, on)
+
+    monkeypatch.setattr(chat_plan, "lookup", watched)
+    monkeypatch.setattr(chat_plan, "MET_CLIPS", together)
+    videos = spark.createDataFrame([(1, 40), (2, 3)], "video_id bigint, n_frames bigint")
+    frames = spark.createDataFrame(
+        [(v, i, float(i)) for v, n in ((1, 45), (2, 3)) for i in range(n)], "video_id bigint, frame_idx bigint, payload double"
+    )
+    asked = [(7, t, f"What {t}?", "/in.mp4", 1 + (t == 4)) for t in range(5)]
+    turns = spark.createDataFrame(asked, "conv_id bigint, turn bigint, text string, active_video string, _video bigint")
+
+    def say(payload, prompt):
+        return F.concat(prompt, F.array_max(payload).cast("int").cast("string"))
+
+    found = {r.turn: r.summary for r in chat_plan.summarize_asked(turns, videos, frames, say, length=2, stride=2).collect()}
+    whole = " ".join(str(4 * i + 2) for i in range(10))
+    assert found == {0: whole, 1: whole, 2: whole, 3: whole, 4: "2"}
+    (n_met, hot), = met
+    assert n_met == 4 * rows + 1
+    assert hot == ({} if hot_rows > 100 else {1: 4 * together, 2: together})
+
+
+def test_short_captions_are_not_counted_and_long_ones_are_cut(spark):
+    texts = ["", "a b", "a b c", "ab  cd", " a\tb ", "é è ê", None]
+    gathered = spark.createDataFrame(
+        [(1, i, [float(i)], 1, t) for i, t in enumerate(texts)],
+        "video_id bigint, clip_no bigint, payload array<double>, n_fetched bigint, said string",
+    )
+    for echo in (True, False):
+        hook = lambda payload, prompt: F.concat(prompt, F.col("said")) if echo else F.col("said")
+        said = caption_clips(gathered, "P: ", 1, hook, max_length=2).orderBy("clip_no").collect()
+        want = ["", "a b", "a b", "ab  cd", " a\tb ", "é è", None]
+        assert [r.caption for r in said] == [w if w is None else "P: " * echo + w for w in want]
+
+
+@pytest.mark.parametrize("spread", [0, 1 << 30])
+def test_words_are_counted_alike_in_places_and_sorted(spark, monkeypatch, spread):
+    rng = random.Random(11)
+    pick = lambda: rng.choice(["cat", "Dog", "ox", "ΑΣ", "-", "x1", "İl"]) + rng.choice([" ", "  ", "\t", " ", "\n", ". ", "! "])
+    rows = [(k, "".join(pick() for _ in range(rng.randint(0, 60)))) for k in range(30)]
+    texts = spark.createDataFrame(rows, "k bigint, t string").repartition(2)
+    pieces = texts.select("k", F.lit(0).alias("i"), "t")
+    want = summary.summarize_pieces(pieces, "k", "i", "t", {}, 12, 4)
+    monkeypatch.setattr(summary, "COUNTED_SPREAD", spread)
+    same(summary.summarize_rows(texts, ["k"], "t", 12, 4), want)
