@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clipflow.operators import chat, documents, frames as of, skew, summary
+from clipflow.operators import chat, documents, frames as of, scoring, skew, summary
 from clipflow.operators.captions import caption_clips
 from clipflow.operators.clips import plan_clips
 from clipflow.operators.scoring import best_prompts, encode_texts, score_clips, score_prompts
@@ -539,6 +539,22 @@ def test_scores_of_many_prompts_move_no_logits(spark):
     assert len(got) == 22 * 300 and got[20, 0] is None and got[21, 299] is None
 
 
+def test_many_prompts_and_clips_are_shuffled_once(spark, monkeypatch):
+    """Clips were copied for every block of prompts and prompts for every group of clips, on disk."""
+    monkeypatch.setattr(scoring, "TILE_CLIPS", 8)
+    monkeypatch.setattr(scoring, "LEAST_TASKS", 20, raising=False)
+    prompts = spark.createDataFrame(_vector_rows(90, 12), "prompt_id bigint, prompt string, vector array<double>")
+    clips = spark.createDataFrame([(i, 0, v) for i, _, v in _vector_rows(70, 13)], "video_id bigint, clip_no bigint, vector array<double>")
+    asked = scoring.score_clips_in_blocks(clips, prompts, 2.0, 6)
+    assert "explode" not in asked._jdf.queryExecution().analyzed().toString()
+    got = {(r["video_id"], r["prompt_id"]): r["prob"] for r in asked.collect()}
+    inline = score_prompts(clips, prompts, 2.0, max_inline=90).collect()
+    assert got == {(r["video_id"], r["prompt_id"]): pytest.approx(r["prob"]) for r in inline} and len(got) == 70 * 90
+    best = best_prompts(clips, prompts, 4, 2.0, 6)
+    assert "explode(sequence" not in best._jdf.queryExecution().analyzed().toString()
+    same(best.withColumn("prob", F.round("prob", 9)), best_prompts(clips, prompts, 4, 2.0, 200).withColumn("prob", F.round("prob", 9)))
+
+
 def test_few_prompts_go_to_the_clips(spark):
     prompts = spark.createDataFrame(_vector_rows(200, 8), "prompt_id bigint, prompt string, vector array<double>")
     clips = spark.createDataFrame([(i, 0, v) for i, _, v in _vector_rows(90, 9)], "video_id bigint, clip_no bigint, vector array<double>")
