@@ -1,11 +1,15 @@
 """What is written reads back."""
 
+import pickle
+import re
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from clipflow import session
 from clipflow.plans.captioning import caption_videos
-from clipflow.sources import files
+from clipflow.sources import documents, files
 from clipflow.sources.documents import list_named, write_named
 
 CAPTIONS = ['two\nlines and "quotes"', "", "NA", None, 'back\\slash "q\\" end', "  spaces around  ", "a,b;c"]
@@ -124,3 +128,48 @@ def test_failed_tasks_leave_no_files(spark, tmp_path):
     with pytest.raises(Exception, match="lost"):
         write_named(spark.range(50), str(root), F.concat(F.lit("f"), (F.col("id") % 5).cast("string")), broken, ["id"])
     assert not root.exists() or [p.name for p in root.rglob("*")] == []
+
+
+def test_messages_and_commit_do_not_hold_the_names(tmp_path, monkeypatch):
+    """The driver had the names of all files, and those of their staged ones."""
+    monkeypatch.setattr(documents, "COMPARED_NAMES", 7, raising=False)
+    part = lambda names: pa.record_batch([pa.array(names, pa.string()), pa.array([n.encode() for n in names], pa.binary())], ["file", "part"])
+    sizes = []
+    for n in (10, 1000):
+        writer = documents._Writer(str(tmp_path / f"out{n}"), False)
+        tasks = [writer.write(iter([part([f"a/{k}/{i} \n.txt" for i in range(n // 2)])])) for k in range(2)] + [writer.write(iter([]))]
+        sizes.append(len(pickle.dumps(tasks)))
+        writer.commit([*tasks, None])
+        found = {str(p.relative_to(writer.root)): p.read_text() for p in (tmp_path / f"out{n}").rglob("*") if p.is_file()}
+        assert found == {name: name for name in (f"a/{k}/{i} \n.txt" for k in range(2) for i in range(n // 2))}
+    assert sizes[1] < 2 * sizes[0]
+    writer = documents._Writer(str(tmp_path / "twice"), False)
+    tasks = [writer.write(iter([part([f"{k + i}.txt" for i in range(20)])])) for k in range(2)]
+    with pytest.raises(ValueError, match="19 files were written by two tasks"):
+        writer.commit(tasks)
+    assert list((tmp_path / "twice").iterdir()) == []
+
+
+def test_listing_takes_few_tasks_and_no_driver(spark, tmp_path, monkeypatch):
+    """Spark's file reader kept every file in the driver and dealt four of them to a task."""
+    monkeypatch.setattr(documents, "READ_BYTES", 40, raising=False)
+    monkeypatch.setattr(documents, "LISTED_NAMES", 16, raising=False)
+    want = {}
+    for k in range(300):
+        name = f"{k % 2}/x={k % 5}/file {k} ü%20.{'txt' if k % 3 else 'csv'}"
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(want.setdefault(name, b"\x00\xff" * (k % 31)))
+    for name in ("0/.hidden.txt", "0/_hidden.txt", "0/x._COPYING_", ".staged/file.txt", "_tmp/file.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("hidden")
+    want = {name: content for name, content in want.items() if content}
+    listed = list_named(spark, f"file:{tmp_path}/")
+    assert listed.rdd.getNumPartitions() <= 8
+    assert {r["file"]: (r["length"], bytes(r["content"])) for r in listed.collect()} == {n: (len(c), c) for n, c in want.items()}
+    assert "content" not in listed.select("file", "length")._jdf.queryExecution().optimizedPlan().toString()
+    some = list_named(spark, str(tmp_path), "file 1?*{0.csv,txt}").collect()
+    assert sorted(r["file"] for r in some) == sorted(n for n in want if re.fullmatch(r"file 1..*(0\.csv|txt)", n.rpartition("/")[2]))
+    (tmp_path / "none").mkdir()
+    assert list_named(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(Exception):
+        list_named(spark, str(tmp_path / "lost")).count()
